@@ -79,3 +79,43 @@ def slices(batch: pa.RecordBatch, text_col: str, max_bytes: int):
         stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without ASCII white space) in concatenated texts, and each word's text."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~space
+    starts = np.flatnonzero(np.diff(inside) == 1)
+    ends = np.flatnonzero(np.diff(inside) == -1)
+    # A word that runs over the border between two texts is two words.
+    cuts = offsets[1:-1]
+    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
+    cuts = cuts[~space[cuts] & ~space[cuts - 1]]
+    if len(cuts):
+        starts = np.sort(np.concatenate([starts, cuts]))
+        ends = np.sort(np.concatenate([ends, cuts]))
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers whose output bits look random."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words' bytes; A-Z count as a-z."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    inside = np.arange(lengths.sum()) - np.repeat(first, lengths)
+    letters = data[inside + np.repeat(starts, lengths)]
+    letters = np.where((letters >= 65) & (letters <= 90), letters + 32, letters).astype(np.uint64)
+    powers = np.cumprod(np.full(int(lengths.max()), _MULTIPLIER, np.uint64))
+    return mix64(np.add.reduceat(mix64(letters + np.uint64(1)) * powers[inside], first) + lengths.astype(np.uint64))
