@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, decontaminate, exact_dedup, lm_score, mixing, quality
+from tidemark.llm import chat, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality
 from tidemark.llm.common import read
 
 
@@ -70,11 +70,15 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
+def op8_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_exact_dedup, op2_lm_scoring, op4_quality_classifier, op5_chat_formatting, op6_decontamination, op9_mixing]
+_QUERIES = [op1_exact_dedup, op2_lm_scoring, op4_quality_classifier, op5_chat_formatting, op6_decontamination, op8_near_dedup, op9_mixing]
 
 
 def queries() -> dict:
