@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality
+from pyspark.sql import functions as F
+
+from tidemark.llm import chat, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, repeats
 from tidemark.llm.common import read
 
 
@@ -78,7 +80,12 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_exact_dedup, op2_lm_scoring, op4_quality_classifier, op5_chat_formatting, op6_decontamination, op8_near_dedup, op9_mixing]
+def op10_suffix_dedup(spark, sf_dir):
+    kept = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_QUERIES = [op1_exact_dedup, op2_lm_scoring, op4_quality_classifier, op5_chat_formatting, op6_decontamination, op8_near_dedup, op9_mixing, op10_suffix_dedup]
 
 
 def queries() -> dict:
