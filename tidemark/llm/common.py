@@ -54,6 +54,20 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(n))
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(own_id, id, text): id orders the rows by own_id and names each of them; null text is empty.
+
+    Integer identifiers that are neither null nor repeated name themselves;
+    otherwise rows are numbered in identifier order, nulls last.
+    """
+    rows = docs.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        odd = rows.groupBy("own_id").agg(F.count(F.lit(1)).alias("n")).where("own_id IS NULL OR n > 1")
+        if odd.isEmpty():
+            return rows.withColumn("id", F.col("own_id").cast("long"))
+    return scratch.save(rows.orderBy(F.col("own_id").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id()), "numbered")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

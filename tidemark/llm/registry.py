@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, repeats
+from tidemark.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, lm_score, mixing, near_dedup, quality, repeats
 from tidemark.llm.common import read
 
 
@@ -24,6 +24,27 @@ def op2_lm_scoring(spark, sf_dir):
     return lm_score.lm_scores(read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents),
+l AS (SELECT doc_id, i, own[i] AS body, len(regexp_extract_all(own[i], '[^\x20\x09-\x0D]+')) AS words
+      FROM (SELECT doc_id, own, unnest(range(1, len(own) + 1)) AS i FROM d)),
+p AS (SELECT a.doc_id, a.i, a.words, b.doc_id AS other, a.i - b.i AS shift
+      FROM l a JOIN l b ON a.body = b.body AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.i < a.i))),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS island FROM p),
+r AS (SELECT doc_id, min(i) AS lo, max(i) AS hi FROM g GROUP BY doc_id, other, shift, island HAVING sum(words) >= 3),
+gone AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM (SELECT DISTINCT doc_id, lo, hi FROM r)),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+             coalesce(string_agg(body, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '') AS kept
+      FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM k
+"""
+
+
 def op4_quality_classifier(spark, sf_dir):
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -72,6 +93,10 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -85,7 +110,7 @@ def op10_suffix_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-_QUERIES = [op1_exact_dedup, op2_lm_scoring, op4_quality_classifier, op5_chat_formatting, op6_decontamination, op8_near_dedup, op9_mixing, op10_suffix_dedup]
+_QUERIES = [op1_exact_dedup, op2_lm_scoring, op3_line_dedup, op4_quality_classifier, op5_chat_formatting, op6_decontamination, op7_license_scan, op8_near_dedup, op9_mixing, op10_suffix_dedup]
 
 
 def queries() -> dict:
@@ -93,4 +118,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op6_decontamination": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op6_decontamination": OP6_SQL}
