@@ -1 +1 @@
-
+"""Operators of repeated-landmark analyses, DataFrame to DataFrame."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.plans import evaluation, landmark, relational  # noqa: F401
+from tidemark.plans.base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

@@ -1 +1,75 @@
+"""Tables in and out: Parquet, CSV, catalog, schemas as tables, resumable output."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | str | None = None) -> DataFrame:
+    """A Parquet table; the filter and the column list reach the scan."""
+    df = spark.read.parquet(path)
+    if where is not None:
+        df = df.where(where)
+    return df if columns is None else df.select(*dict.fromkeys(columns))
+
+
+def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A CSV table with a header and a given schema; a row that does not fit it fails the job."""
+    return spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path)
+
+
+def catalog_table(spark: SparkSession, name: str) -> DataFrame:
+    """A table of the catalog, by its (qualified) name."""
+    return spark.table(name)
+
+
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the given rows."""
+    return spark.createDataFrame(rows, schema)
+
+
+def schema_table(df: DataFrame) -> DataFrame:
+    """(column_id, name, type) of a table's columns, as a table."""
+    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "column_id int, name string, type string")
+
+
+def write_sorted(df: DataFrame, path: str, *keys: str) -> None:
+    """Parquet with Zstandard, range-partitioned and sorted by the keys."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def append(df: DataFrame, path: str) -> None:
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def resume_parts(spark: SparkSession, path: str, parts: Iterable[tuple[str, int]], make: Callable[[str, int], DataFrame], keys: list[str]) -> DataFrame:
+    """Output with a part per (model_id, outer_fold), where finished parts are kept.
+
+    Parts that are there are not made again; they must have unique keys. The
+    others are made and written one by one, each replacing only itself.
+    """
+    done = set()
+    if _exists(spark, path):
+        found = spark.read.parquet(path)
+        done = {(r["model_id"], r["outer_fold"]) for r in found.select("model_id", "outer_fold").distinct().collect()}
+        if not found.groupBy("model_id", "outer_fold", *keys).count().where("count > 1").isEmpty():
+            raise ValueError("a finished part has repeated keys")
+    for model_id, fold in parts:
+        if (model_id, fold) not in done:
+            part = make(model_id, fold).withColumns({"model_id": F.lit(model_id), "outer_fold": F.lit(fold)})
+            part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id", "outer_fold").parquet(path)
+    return spark.read.parquet(path)
