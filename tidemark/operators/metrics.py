@@ -114,6 +114,11 @@ def against(found: DataFrame, references: list[str], keys: list[str], metric: st
     return out
 
 
+def rank_edges(n: int) -> list[float]:
+    """Inner edges of n rank bins as shares of the rank range, with the rounding of percentages in double."""
+    return [(i / n * 100) / 100 for i in range(1, n)]
+
+
 def rank_bins(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """(key, bin 1 .. n) by rank: edges are the interpolated quantiles of the ranks 1 .. m, each edge in the lower bin.
 
@@ -121,5 +126,7 @@ def rank_bins(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """
     order = Window.orderBy(value, key)
     ranks = df.select(key, value, F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy()).alias("m"))
-    bin_ = F.greatest(F.lit(1), F.ceil((F.col("rank") - 1) * n / F.greatest(F.col("m") - 1, F.lit(1))))
-    return ranks.select(key, value, F.least(F.lit(n), bin_).cast("int").alias("bin"))
+    bin_ = F.lit(1)
+    for edge in rank_edges(n):
+        bin_ = bin_ + (F.col("rank") > 1 + (F.col("m") - 1) * F.lit(edge)).cast("int")
+    return ranks.select(key, value, bin_.cast("int").alias("bin"))

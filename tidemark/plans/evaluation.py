@@ -213,7 +213,7 @@ def _strata(spark, d):
 
 
 _STRATA = PREDICTIONS + """, vr AS (SELECT cluster_key, row_number() OVER (ORDER BY size, cluster_key) AS r, count(*) OVER () AS m FROM (SELECT cluster_key, count(*) AS size FROM preds GROUP BY ALL)),
-vol AS (SELECT cluster_key, CAST(least(3, greatest(1, ceil((r - 1) * 3.0 / greatest(m - 1, 1)))) AS INTEGER) AS volume FROM vr),
+vol AS (SELECT cluster_key, 1 + CAST(r > 1 + (m - 1) * 0.33333333333333326e0 AS INTEGER) + CAST(r > 1 + (m - 1) * 0.6666666666666665e0 AS INTEGER) AS volume FROM vr),
 sr AS (SELECT model_id, 'volume' AS stratum, CAST(volume AS VARCHAR) AS level, outcome, probability FROM preds JOIN vol USING (cluster_key) UNION ALL SELECT model_id, 'period', CASE WHEN landmark_h < 336 THEN 'early' ELSE 'late' END, outcome, probability FROM preds)""" + METRICS.format(by="model_id, stratum, level", src="sr")
 
 
@@ -299,11 +299,15 @@ def _scored_outcomes(spark, d):
     return rows, p
 
 
-SCENARIOS = [
-    scenarios.Scenario("strict", F.col("outcome").isin(0, 1), F.col("outcome") == 1),
-    scenarios.Scenario("unknown_as_positive", F.lit(True), F.col("outcome").isin(1, 9)),
-    scenarios.Scenario("unknown_as_negative", F.lit(True), F.col("outcome") == 1),
-]
+def _scenarios():
+    y = F.col("outcome")
+    return [
+        scenarios.Scenario("strict", y.isin(0, 1), y == 1),
+        scenarios.Scenario("unknown_as_positive", F.lit(True), y.isin(1, 9)),
+        scenarios.Scenario("unknown_as_negative", F.lit(True), y == 1),
+    ]
+
+
 _SCEN = OUTCOME + """, seen AS (SELECT k.entity_key, k.landmark_h, count(value) AS n_seen FROM spine k JOIN obs o ON o.entity_key = k.entity_key AND offset_h > landmark_h - 168 AND offset_h <= landmark_h GROUP BY ALL),
 so AS (SELECT o.*, 'm1' AS model_id, round(1 / (1 + exp(-(-1 + 0.03 * coalesce(CAST(n_seen AS DOUBLE), 0)))), 3) AS probability FROM outcomes o LEFT JOIN seen USING (entity_key, landmark_h) WHERE horizon_h = 24),
 sx AS (SELECT 'strict' AS scenario, CAST(outcome = 1 AS INTEGER) AS y, * FROM so WHERE outcome IN (0, 1) UNION ALL SELECT 'unknown_as_positive', CAST(outcome IN (1, 9) AS INTEGER), * FROM so UNION ALL SELECT 'unknown_as_negative', CAST(outcome = 1 AS INTEGER), * FROM so),
@@ -313,7 +317,7 @@ sc0 AS (SELECT scenario, model_id, y AS outcome, probability FROM sx)"""
 @query("p01_scenarios", f"WITH {_SCEN}{METRICS.format(by='scenario, model_id', src='sc0')} SELECT scenario, model_id, {_M} FROM met")
 def _(spark, d):
     rows, _ = _scored_outcomes(spark, d)
-    return rounded(metrics.ranking_metrics(scenarios.apply_scenarios(rows, SCENARIOS), by=["scenario", "model_id"]))
+    return rounded(metrics.ranking_metrics(scenarios.apply_scenarios(rows, _scenarios()), by=["scenario", "model_id"]))
 
 
 @query("p02_competing_scenarios", f"""WITH {OUTCOME}, c AS (SELECT *, coalesce(death_h > landmark_h AND death_h <= end_h AND (strict_first_h IS NULL OR death_h < strict_first_h), false) AS dead FROM outcomes WHERE horizon_h = 24 AND outcome IN (0, 1))

@@ -283,7 +283,7 @@ def _(spark, d):
     return rounded(e.select("event_id", ((F.col("us") - F.lag("us").over(w)) / F.lit(3.6e9)).alias("gap_h"), F.lag("event_type").over(w).alias("before")))
 
 
-@query("e06_e08_rank_bins", "WITH n AS (SELECT o_custkey, count(*) AS size FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY size, o_custkey) AS k, count(*) OVER () AS m FROM n) SELECT o_custkey, size, CAST(least(3, greatest(1, ceil((k - 1) * 3.0 / greatest(m - 1, 1)))) AS INTEGER) AS bin FROM r")
+@query("e06_e08_rank_bins", "WITH n AS (SELECT o_custkey, count(*) AS size FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY size, o_custkey) AS k, count(*) OVER () AS m FROM n) SELECT o_custkey, size, 1 + CAST(k > 1 + (m - 1) * 0.33333333333333326e0 AS INTEGER) + CAST(k > 1 + (m - 1) * 0.6666666666666665e0 AS INTEGER) AS bin FROM r")
 def _(spark, d):
     n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("size"))
     return metrics.rank_bins(n, "o_custkey", "size", 3)
