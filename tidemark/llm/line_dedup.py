@@ -138,7 +138,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("own_id"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[id_col, "kept", "n_lines", "n_removed"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return rows.join(runs, "id", "left").select("own_id", "text", "runs").mapInArrow(cut, f"`{id_col}` {id_type}, kept string, n_lines long, n_removed long")
+    return rows.join(runs.hint("merge"), "id", "left").select("own_id", "text", "runs").mapInArrow(cut, f"`{id_col}` {id_type}, kept string, n_lines long, n_removed long")
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
