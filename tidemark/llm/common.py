@@ -112,9 +112,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits look random."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -122,14 +119,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_MULTIPLIER = 0x9E3779B97F4A7C15
+_LETTERS = mix64(np.array([x + 33 if 65 <= x <= 90 else x + 1 for x in range(256)], np.uint64))
+
+
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier modulo 2^64, and of its inverse."""
+    return tuple(np.cumprod(np.full(size, np.uint64(m))) for m in (_MULTIPLIER, pow(_MULTIPLIER, -1, 2**64)))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words' bytes; A-Z count as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    inside = np.arange(lengths.sum()) - np.repeat(first, lengths)
-    letters = data[inside + np.repeat(starts, lengths)]
-    letters = np.where((letters >= 65) & (letters <= 90), letters + 32, letters).astype(np.uint64)
-    powers = np.cumprod(np.full(int(lengths.max()), _MULTIPLIER, np.uint64))
-    return mix64(np.add.reduceat(mix64(letters + np.uint64(1)) * powers[inside], first) + lengths.astype(np.uint64))
+    powers, inverse = _powers(1 << int(len(data)).bit_length())
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * powers[: len(data)], out=prefix[1:])
+    return mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))

@@ -10,12 +10,14 @@ from tidemark.llm.common import Scratch
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label) for every node of the (a, b) links; label is the least node of its component.
+    A node's links to itself count for nothing.
 
     Each step gives a node the least label among its own and its neighbours',
     then that label's own label. Every step is a written table; a node with
     very many links is aggregated before the shuffle.
     """
-    both = scratch.save(links.where("a != b").select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges")
+    links = links.where("a != b")
+    both = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
     labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), f"{name}-0")
     step = 0
     while True:

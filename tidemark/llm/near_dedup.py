@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, Scratch, mix64, slices, utf8, word_hashes, word_spans
+from tidemark.llm.common import Scratch, mix64, numbered, slices, utf8, word_hashes, word_spans
 from tidemark.llm.components import components
 
 _U = np.uint64
@@ -20,8 +22,9 @@ _GOLDEN = 0x9E3779B97F4A7C15
 class NearConfig:
     words: int = 5  #: per shingle
     similarity: float = 0.8  #: weighted Jaccard of the shingle multisets that makes a link
-    bands: int = 32
-    band_rows: int = 4
+    bands: int = 36
+    band_rows: int = 5
+    extra: int = 4  #: weight by which the prefixes of the last comparison are longer than they must be
     slice_bytes: int = 2 << 20
 
     @property
@@ -29,6 +32,10 @@ class NearConfig:
         return self.bands * self.band_rows
 
 
+#: Odd factors of a shingle's words, by place.
+_PLACES = [mix64(np.array([j + 1], np.uint64))[0] | _U(1) for j in range(64)]
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of so many words and each one's text; a shorter text is one shingle, one without words none."""
     starts, ends, doc = word_spans(data, offsets)
@@ -39,19 +46,22 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     owner = np.repeat(np.arange(n_docs), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first[:-1], count)
-    size = np.minimum(n, words)[owner]
+    padded = np.concatenate([hashes, np.zeros(words, np.uint64)])
     total = np.zeros(len(at), np.uint64)
     for j in range(words):
-        inside = j < size
-        total[inside] += mix64(hashes[at[inside] + j] + _U((j + 1) * _GOLDEN & (2**64 - 1)))
-    return mix64(total + size.astype(np.uint64)), owner
+        total += padded[at + j] * _PLACES[j]
+    for d in np.flatnonzero((n > 0) & (n < words)):
+        own = hashes[first[d] : first[d + 1]]
+        total[np.searchsorted(owner, d)] = sum((own * np.array(_PLACES[: len(own)])).tolist()) & (2**64 - 1)
+    return mix64(total + np.minimum(n, words)[owner].astype(np.uint64)), owner
 
 
 def weighted(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (shingle, text) with how often the text has it."""
     key = hashes ^ mix64(owner.astype(np.uint64) + _U(1))
-    _, index, count = np.unique(key, return_index=True, return_counts=True)
-    return hashes[index], owner[index], count
+    order = np.argsort(key)
+    new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(key) else np.zeros(0, np.int64)
+    return hashes[order[new]], owner[order[new]], np.diff(np.append(new, len(key)))
 
 
 def bag_minhash(hashes: np.ndarray, owner: np.ndarray, count: np.ndarray, n_docs: int, slots: int) -> np.ndarray:
@@ -79,16 +89,19 @@ def bag_minhash(hashes: np.ndarray, owner: np.ndarray, count: np.ndarray, n_docs
     while len(seed):
         step += 1
         draw = mix64(seed + _U(step * 0xD1B54A32D192ED03 & (2**64 - 1)))
-        time = time - np.log(((draw >> _U(11)).astype(np.float64) + 0.5) / 2.0**53) / length
-        second = mix64(draw ^ _U(0xA0761D6478BD642F))
-        place = low + 1 + ((second >> _U(32)) % length.astype(np.uint64)).astype(np.int64)
-        slot = doc * slots + (second & _U(0xFFFFFFFF)).astype(np.int64) % slots
-        valid = place <= weight
-        np.minimum.at(earliest, slot[valid], time[valid])
-        won = valid & (earliest[slot] == time)
-        found[slot[won]] = draw[won]
+        time = time - np.log(((draw >> _U(24)).astype(np.float64) + 0.5) / 2.0**40) / length
+        slot = doc * slots + (((draw & _U(0xFFFFFF)) * _U(slots)) >> _U(24)).astype(np.int64)
+        valid = np.ones(len(seed), bool)
+        wide = np.flatnonzero(length > 1)
+        if len(wide):
+            second = mix64(draw[wide] ^ _U(0xA0761D6478BD642F))
+            valid[wide] = low[wide] + 1 + (second % length[wide].astype(np.uint64)).astype(np.int64) <= weight[wide]
+        at, when = (slot, time) if not len(wide) else (slot[valid], time[valid])
+        np.minimum.at(earliest, at, when)
+        won = earliest[at] == when
+        found[at[won]] = (draw if not len(wide) else draw[valid])[won]
         latest = earliest.reshape(n_docs, slots).max(axis=1)
-        alive = time < latest[doc]
+        alive = np.flatnonzero(time < latest[doc])
         seed, time, low, length, doc, weight = seed[alive], time[alive], low[alive], length[alive], doc[alive], weight[alive]
     return found.reshape(n_docs, slots)
 
@@ -113,12 +126,6 @@ def bag(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(data, np.array([0, len(data)]), words)[0], return_counts=True)
 
 
-def _digest(text: Column) -> Column:
-    """Of a text's sequence of words, with A-Z as a-z."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.unhex(F.sha2(F.trim(F.regexp_replace(low, SPACE, " ")), 256))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: NearConfig = NearConfig()) -> DataFrame:
     """Classes of texts that are linked by a similarity of 0.8 or more.
 
@@ -127,13 +134,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes are the connected components. Texts with equal words are one text
     from the start.
 
-    Bands of signatures (32 of 4 slots: a pair at 0.8 shares one with
-    probability 1 - 5e-8) make candidates. A band value that several texts
-    share is a bucket. In every round, each bucket that still holds several
-    classes compares one of its texts (from its smallest class) with all its
-    texts of other classes and then sets it aside, until it holds one class or
-    one text. So every candidate pair is compared unless its texts are already
-    connected, yet a bucket of n copies costs n comparisons, not n^2.
+    Bands of signatures (36 of 5 slots: a pair at 0.8 shares one with
+    probability 1 - 6e-7) make candidates. A band value that several texts
+    share is a bucket. Every bucket compares its first text with all others;
+    buckets that then hold several classes compare the text with the fewest
+    shingles of its own. What is left is joined by prefix filtering: a link
+    needs a common shingle among the rarest of both texts. So every candidate
+    pair is compared, or is within a class, or cannot have a link; a bucket of
+    n copies costs n comparisons, not n^2.
 
     Returns one row per input row: identifier, class_id (least identifier of
     the class), class_size (rows), kept (the row that stays). Null text counts
@@ -142,70 +150,125 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    ids = docs.schema[id_col].dataType.simpleString()
+    own_type = docs.schema[id_col].dataType.simpleString()
+    texts = numbered(docs, id_col, text_col, scratch)
 
     def sketch(batches):
         for batch in batches:
             for part in slices(batch, "text", config.slice_bytes):
-                n = part.num_rows
-                hashes, owner, count = weighted(*shingles(*utf8(part.column("text")), config.words))
-                keys = band_keys(bag_minhash(hashes, owner, count, n, config.slots), config.bands)
-                has = np.bincount(owner, minlength=n) > 0
+                data, offsets = utf8(part.column("text"))
+                raw, n = data.tobytes(), part.num_rows
+                digests = [hashlib.blake2b(b" ".join(raw[a:b].lower().split()), digest_size=16).digest() for a, b in itertools.pairwise(offsets.tolist())]
+                every, owner = shingles(data, offsets, config.words)
+                keys = band_keys(bag_minhash(*weighted(every, owner), n, config.slots), config.bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * config.bands, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array(has), lists], names=["id", "digest", "has", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("own_id"), part.column("id"), pa.array(digests, pa.binary()), pa.array(np.bincount(owner, minlength=n), pa.int64()), lists], names=["own_id", "id", "digest", "weight", "bands"]
+                )
 
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _digest(F.col(text_col)).alias("digest"))
-    rows = scratch.save(texts.mapInArrow(sketch, f"id {ids}, digest binary, has boolean, bands array<bigint>"), "rows")
+    schema = f"own_id {own_type}, id long, digest binary, weight long, bands array<bigint>"
+    rows = scratch.save(texts.select("own_id", "id", "text").mapInArrow(sketch, schema), "rows")
 
-    # One text per digest, numbered by a written column.
-    unique = rows.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("has").alias("has")).withColumn("tid", F.monotonically_increasing_id())
+    # Texts of equal words are one text, named after the first of their rows.
+    unique = rows.groupBy("digest").agg(F.min("id").alias("tid"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
     unique = scratch.save(unique, "unique")
-    banded = unique.where("has").select("tid", F.explode("bands").alias("bucket"))
+    banded = unique.where("weight > 0").select("tid", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = scratch.save(banded.join(shared, "bucket"), "members-0")
-    candidates = members.select("tid").distinct().join(unique.select("tid", "digest"), "tid")
-    bodies = scratch.save(texts.select("digest", "text").join(candidates, "digest").groupBy("tid").agg(F.first("text").alias("text")), "bodies")
+    candidates = members.select(F.col("tid").alias("id")).distinct()
+    bodies = scratch.save(texts.join(candidates, "id").select(F.col("id").alias("tid"), "text"), "bodies")
 
     labels = scratch.save(members.select(F.col("tid").alias("node"), F.col("tid").alias("label")).distinct(), "labels-0")
-    tested = None
-    step = 0
-    while True:
-        placed = members.join(labels, F.col("tid") == F.col("node")).select("bucket", "tid", "label")
-        if step == 0:
-            centres = placed.groupBy("bucket").agg(F.min(F.struct("tid", "label")).alias("c"))
+    weights = unique.select("tid", "weight")
+    for step in ("first", "hub", "rest"):
+        placed = members.join(labels, F.col("tid") == F.col("node")).drop("node")
+        if step == "first":
+            centres = placed.groupBy("bucket").agg(F.min("tid").alias("centre")).withColumn("centre_label", F.col("centre"))
+        elif step == "hub":
+            centres = placed.groupBy("bucket").agg(F.min(F.struct("own_share", "tid", "label")).alias("c")).select("bucket", F.col("c")["tid"].alias("centre"), F.col("c")["label"].alias("centre_label"))
+        if step == "rest":
+            pairs = _prefix_pairs(placed, scratch, weights, config)
         else:
-            classes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("tid"))
-            centres = classes.groupBy("bucket").agg(F.min(F.struct("n", "tid", "label")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        around = placed.join(centres.select("bucket", F.col("c")["tid"].alias("centre"), F.col("c")["label"].alias("centre_label")), "bucket")
-        around = scratch.save(around.where("tid != centre"), f"around-{step}")
-        pairs = around.where("label != centre_label").select(F.least("centre", "tid").alias("a"), F.greatest("centre", "tid").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        links = scratch.save(_verify(pairs, bodies, config), f"links-{step}")
-        tested = links.select("a", "b") if tested is None else tested.union(links.select("a", "b"))
-        scratch.drop(f"members-{step}")
-        step += 1
-        linked = links.where(F.col("similarity") >= config.similarity)
-        of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-        merged = components(linked.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")), scratch, f"merge-{step}")
-        merged = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
-        labels = scratch.save(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), f"labels-{step}")
-        # Buckets go on without the text they compared, if they still hold several classes.
-        left = around.select("bucket", "tid")
-        open_ = left.join(labels, F.col("tid") == F.col("node")).groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-        members = scratch.save(left.join(open_, "bucket"), f"members-{step}")
-        scratch.drop(f"around-{step - 1}")
-        if members.isEmpty():
+            pairs = placed.join(centres, "bucket").where("label != centre_label").select(F.least("centre", "tid").alias("a"), F.greatest("centre", "tid").alias("b")).distinct()
+        links = scratch.save(_verify(pairs, bodies, config).where(F.col("similarity") >= config.similarity), f"links-{step}")
+        if not links.isEmpty():
+            of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+            merged = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")), scratch, f"merge-{step}")
+            merged = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
+            labels = scratch.save(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), f"labels-{step}")
+        if step == "rest":
             break
+        # Buckets that still hold several classes go on, with the texts that can still have a link.
+        named = members.select("bucket", "tid").join(labels, F.col("tid") == F.col("node"))
+        several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+        members = scratch.save(members.select("bucket", "tid").join(several, "bucket"), f"members-{step}")
+        if step == "first":
+            held = scratch.save(_shingle_rows(members, bodies, config), "held")
+        members = scratch.save(_hopeful(members, held, weights, config), f"hopeful-{step}")
 
     classes = unique.select("digest", "tid").join(labels.withColumnRenamed("node", "tid"), "tid", "left").select("digest", F.coalesce("label", "tid").alias("label"))
-    rows = rows.select("id", "digest", F.monotonically_increasing_id().alias("row")).join(classes, "digest").select("id", "label", "row")
-    rows = scratch.save(rows, "classed")
-    least = F.min(F.struct(F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("row").alias("row")))
-    totals = rows.groupBy("label").agg(least.alias("least"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(totals, "label").select(
-        F.col("id").alias(id_col), F.col("least")["id"].alias("class_id"), "class_size", (F.col("row") == F.col("least")["row"]).alias("kept")
-    )
+    # A label is the number of the class's first row.
+    rows = scratch.save(rows.select("own_id", "id", "digest").join(classes, "digest").select("own_id", "id", "label"), "classed")
+    totals = rows.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"))
+    totals = totals.join(rows.where("id = label").select(F.col("own_id").alias("class_id"), "label"), "label")
+    return rows.join(totals, "label").select(F.col("own_id").alias(id_col), "class_id", "class_size", (F.col("id") == F.col("label")).alias("kept"))
+
+
+def _shingle_rows(members: DataFrame, bodies: DataFrame, config: NearConfig) -> DataFrame:
+    """(tid, shingle, n, texts): the shingles of the members' texts, and how many of these texts have each."""
+
+    def bags(batches):
+        for batch in batches:
+            for part in slices(batch, "text", config.slice_bytes):
+                every, owner, count = weighted(*shingles(*utf8(part.column("text")), config.words))
+                yield pa.RecordBatch.from_arrays([part.column("tid").take(pa.array(owner)), pa.array(every.view(np.int64)), pa.array(count, pa.int64())], names=["tid", "shingle", "n"])
+
+    held = members.select("tid").distinct().join(bodies, "tid").mapInArrow(bags, "tid long, shingle long, n long")
+    return held.join(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")), "shingle").select("tid", "shingle", "n", "texts")
+
+
+def _hopeful(members: DataFrame, held: DataFrame, weights: DataFrame, config: NearConfig) -> DataFrame:
+    """(bucket, tid, needed, own_share) of texts that can still have a link in one of their buckets.
+
+    A link of similarity t between weights a and b needs an overlap of
+    t / (1 + t) * (a + b), and b is at least t * a and the least weight in a's
+    buckets: no link needs less than ``needed``. A text overlaps others by no
+    more than the weight of those of its shingles that some other text here
+    has too; texts for which that is too little drop out, which changes no
+    class.
+    """
+    own = held.where("texts = 1").groupBy("tid").agg(F.sum("n").alias("own"))
+    sized = members.join(weights, "tid")
+    least = sized.groupBy("bucket").agg(F.min("weight").alias("least"))
+    texts = sized.join(least, "bucket").groupBy("tid").agg(F.min("weight").alias("weight"), F.min("least").alias("least")).join(own, "tid", "left")
+    t = config.similarity
+    needed = t / (1 + t) * (F.col("weight") + F.greatest(t * F.col("weight"), F.col("least"))) - 1e-6
+    texts = texts.select("tid", "weight", F.coalesce("own", F.lit(0)).alias("own"), needed.alias("needed"))
+    kept = texts.where(F.col("weight") - F.col("own") >= F.col("needed")).select("tid", "needed", (F.col("own") / F.col("weight")).alias("own_share"))
+    return members.join(kept, "tid").select("bucket", "tid", "needed", "own_share")
+
+
+def _prefix_pairs(placed: DataFrame, scratch: Scratch, weights: DataFrame, config: NearConfig) -> DataFrame:
+    """(a, b) pairs of different classes that can have a link.
+
+    Shingles have one order, rare ones first. If a link needs an overlap of
+    ``needed``, no more than weight - needed of either text is outside it, so
+    the first shingles of both, up to a weight of weight - needed + extra, have
+    a weight of more than extra in common: these prefixes are joined. One side
+    takes the texts that are not of the largest class of some bucket of theirs.
+    """
+    held = scratch.spark.read.parquet(f"{scratch.root}/held")
+    texts = placed.groupBy("tid").agg(F.min("needed").alias("needed"), F.min("label").alias("label")).join(weights, "tid")
+    before = F.sum("n").over(Window.partitionBy("tid").orderBy("texts", "shingle").rowsBetween(Window.unboundedPreceding, -1))
+    prefix = held.join(texts, "tid").withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= F.col("weight") - F.col("needed") + config.extra)
+    prefix = scratch.save(prefix.select("tid", "shingle", "n", "label"), "prefix")
+    sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top")).select("bucket", F.col("top")["label"].alias("top"))
+    small = placed.join(largest, "bucket").where("label != top").select("tid").distinct()
+    left = prefix.join(small, "tid").select(F.col("tid").alias("x"), "shingle", F.col("n").alias("x_n"), F.col("label").alias("x_label"))
+    both = left.join(prefix, "shingle").where("label != x_label")
+    common = both.groupBy("x", "tid").agg(F.sum(F.least("n", "x_n")).alias("common")).where(F.col("common") > config.extra)
+    return common.select(F.least("x", "tid").alias("a"), F.greatest("x", "tid").alias("b")).distinct()
 
 
 def _verify(pairs: DataFrame, bodies: DataFrame, config: NearConfig) -> DataFrame:
