@@ -37,21 +37,23 @@ def render(turns: Column, fold) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<s>[INST] "), fold(t["role"]), F.lit(" [/INST]"), fold(t["text"]), F.lit("</s>"))), "")
 
 
-def parse(chat: Column) -> Column:
-    """The (role, text) turns of a chat, null where it doesn't follow the grammar.
+def parse(df: DataFrame, chat: str, out: str) -> DataFrame:
+    """df with the (role, text) turns of a chat as column ``out``, null where it doesn't follow the grammar.
 
     The control strings of a chat must be whole turns of four, and the fields
-    between them must be empty but for the role and the text.
+    between them must be empty but for the role and the text. Control strings
+    and fields are columns of their own, split once, so the work is linear in
+    the number of turns. Fields stay as column ``{out}_fields``.
     """
-    markers = F.regexp_extract_all(chat, F.lit(MARKER), F.lit(0))
-    fields = F.split(chat, MARKER, -1)
-    n = F.floor(F.size(markers) / 4).cast("int")
+    markers, fields, n = F.col("__markers"), F.col(f"{out}_fields"), F.col("__n")
+    df = df.withColumns({"__markers": F.regexp_extract_all(chat, F.lit(MARKER), F.lit(0)), f"{out}_fields": F.split(chat, MARKER, -1)})
+    df = df.withColumn("__n", F.floor(F.size(markers) / 4).cast("int"))
     whole = F.flatten(F.array_repeat(F.array(F.lit("<s>"), F.lit("[INST]"), F.lit("[/INST]"), F.lit("</s>")), n))
     place = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     at = lambda i, k: F.get(fields, i * 4 + k)
     plain = F.forall(place, lambda i: (at(i, 0) == "") & (at(i, 1) == "") & at(i, 2).startswith(" ") & at(i, 2).endswith(" ") & (F.length(at(i, 2)) >= 2))
     turns = F.transform(place, lambda i: F.struct(unescape(F.substring(at(i, 2), F.lit(2), F.length(at(i, 2)) - 2)).alias("role"), unescape(at(i, 3)).alias("text")))
-    return F.when((markers == whole) & plain & (F.element_at(fields, -1) == ""), turns)
+    return df.withColumn(out, F.when((markers == whole) & plain & (F.element_at(fields, -1) == ""), turns)).drop("__markers", "__n")
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -72,13 +74,13 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     chats = turns.groupBy(F.col(conv_col).alias("conv")).agg(F.array_sort(F.collect_list(clean)).alias("rows"))
     chats = chats.select("conv", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     chats = chats.withColumn("plain", render(F.col("source"), lambda x: x))
-    same = F.coalesce(parse(F.col("plain")) == F.col("source"), F.lit(False))
-    chats = chats.withColumn("escaped", ~same)
+    chats = parse(chats, "plain", "read")
+    chats = chats.withColumn("escaped", ~F.coalesce(F.col("read") == F.col("source"), F.lit(False))).drop("read", "read_fields")
     chats = chats.withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), escape)).otherwise(F.col("plain"))).drop("plain")
-    chats = chats.withColumn("turns", parse(F.col("formatted")))
+    chats = parse(chats, "formatted", "turns")
     identical = F.coalesce(F.col("turns") == F.col("source"), F.lit(False))
     chats = chats.withColumn("turns", F.when(identical, F.col("turns")).otherwise(F.raise_error(F.lit("a chat does not read back as its turns"))))
-    fields = F.split("formatted", MARKER, -1)
+    fields = F.col("turns_fields")
     mask = F.flatten(
         F.transform(
             "turns",
