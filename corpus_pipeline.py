@@ -36,6 +36,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their size and the words taken (repeats counted)."""
     taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), "size", "target", "taken")
+    docs = docs.drop("size", "target", "taken")
     return docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).drop("__id")
 
 
