@@ -80,14 +80,11 @@ def _training(docs: DataFrame, id_col: str, text_col: str, config: LicenseConfig
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(config.unknown_docs).distinct()
     sample = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(chosen), "id", "left_semi")
     lines = sample.select(F.xxhash64("id").alias("order"), F.posexplode(F.slice(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), 1, config.unknown_lines)).alias("line", "paragraph"))
-    templates = _templates(spark).withColumn("triples", grams(terms(F.col("statement")), 3))
-    known = templates.select(F.explode("triples").alias("triple")).distinct().agg(F.collect_list("triple").alias("known"))
-    unknown = lines.join(F.broadcast(known)).where(F.size(F.array_intersect(grams(terms(F.col("paragraph")), 3), F.col("known"))) == 0).drop("known")
-    unknown = unknown.where(F.size(terms(F.col("paragraph"))) > 0)
-    filler = unknown.orderBy("order", "line", "paragraph").limit(config.variants).select(F.slice(terms(F.col("paragraph")), 1, 8).alias("filler"))
-    filler = filler.agg(F.collect_list("filler").alias("fillers"))
-    variants = templates.join(F.broadcast(filler)).select("template", "family", "statement", "fillers", F.explode(F.sequence(F.lit(0), F.lit(config.variants - 1))).alias("v"))
-    own = F.when(F.size("fillers") > 0, F.array_join(F.get("fillers", F.pmod(F.col("v") + 7 * F.col("template"), F.greatest(F.size("fillers"), F.lit(1)))), " ")).otherwise(F.lit(""))
+    known = F.flatten(F.array(*(grams(terms(F.lit(t)), 3) for _, t in TEMPLATES)))
+    unknown = lines.where((F.size(F.array_intersect(grams(terms(F.col("paragraph")), 3), known)) == 0) & (F.size(terms(F.col("paragraph"))) > 0))
+    fillers = [r[0] for r in unknown.orderBy("order", "line", "paragraph").limit(config.variants).select(F.array_join(F.slice(terms(F.col("paragraph")), 1, 8), " ")).collect()]
+    variants = _templates(spark).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(config.variants - 1))))
+    own = F.get(F.array(*(F.lit(f) for f in fillers or [""])), F.pmod(F.col("v") + 7 * F.col("template"), F.lit(len(fillers) or 1)))
     text = F.when(F.col("v") % 3 == 0, F.col("statement")).when(F.col("v") % 3 == 1, F.concat_ws(" ", own, "statement")).otherwise(F.concat_ws(" ", "statement", own))
     label = F.array_position(F.array(*(F.lit(f) for f in FAMILIES)), F.col("family")) - 1
     rows = variants.select(label.cast("double").alias("label"), text.alias("paragraph"), (F.col("v") % 4 == 3).alias("held"))
