@@ -206,6 +206,26 @@ def test_nested_cv_scores_every_row_once(spark):
     assert stable["x"].median_coefficient > 0 and stable["x"].sign_consistency_nonzero == 1
 
 
+def test_model_round_trip(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    rng = np.random.default_rng(1)
+    rows = [(f"e{i}", int(rng.uniform() < 1 / (1 + np.exp(-3 * x))), float(x)) for i, x in enumerate(rng.normal(size=60))]
+    df = spark.createDataFrame(rows, "entity_key string, outcome int, x double")
+    config = models.elastic_net_grid([0.0], [1.0])[0]
+    scored, model = models.transport(df, df, ["x"], [], config, models.fit_elastic_net, ["entity_key"])
+    models.save_model(model, f"{tmp_path}/model")
+    again = models.load_model(LogisticRegressionModel, f"{tmp_path}/model")
+    assert again.coefficients.toArray().tolist() == model.coefficients.toArray().tolist() and scored.count() == 60
+
+
+def test_refit_selection(spark):
+    rows = [(1, 1, 0.5, 0.3, 40.0), (2, 1, 0.6, 0.3, 44.0), (1, 2, 0.7, 0.2, 900.0), (2, 2, 0.8, 0.2, 901.0), (1, 3, 0.99, 0.1, 10.0)]
+    df = spark.createDataFrame(rows, "outer_fold int, config_id int, mean_auprc double, mean_logloss double, median_iterations double")
+    best = models.refit_selection(df).first()
+    assert (best.config_id, best.refit_iterations) == (2, 700)
+
+
 def test_scenarios_copy_rows(spark):
     df = spark.createDataFrame([(1,), (0,), (9,)], "outcome int")
     got = scenarios.apply_scenarios(df, [scenarios.Scenario("s", F.col("outcome") != 9, F.col("outcome") == 1), scenarios.Scenario("p", F.lit(True), F.col("outcome") != 0)])

@@ -1 +1 @@
-
+"""No operator in scope is a stream: all inputs are finite tables."""
