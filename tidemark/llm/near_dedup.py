@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = scratch.save(members.select("bucket", "tid").join(several, "bucket"), f"members-{step}")
         if step == "first":
             held = scratch.save(_shingle_rows(members, bodies, config), "held")
-        members = scratch.save(_hopeful(members, held, weights, config), f"hopeful-{step}")
+        members = scratch.save(_hopeful(members, held, labels, weights, config), f"hopeful-{step}")
 
     classes = unique.select("digest", "tid").join(labels.withColumnRenamed("node", "tid"), "tid", "left").select("digest", F.coalesce("label", "tid").alias("label"))
     # A label is the number of the class's first row.
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _shingle_rows(members: DataFrame, bodies: DataFrame, config: NearConfig) -> DataFrame:
-    """(tid, shingle, n, texts): the shingles of the members' texts, and how many of these texts have each."""
+    """(tid, shingle, n): the shingles of the members' texts."""
 
     def bags(batches):
         for batch in batches:
@@ -223,21 +223,28 @@ def _shingle_rows(members: DataFrame, bodies: DataFrame, config: NearConfig) ->
                 every, owner, count = weighted(*shingles(*utf8(part.column("text")), config.words))
                 yield pa.RecordBatch.from_arrays([part.column("tid").take(pa.array(owner)), pa.array(every.view(np.int64)), pa.array(count, pa.int64())], names=["tid", "shingle", "n"])
 
-    held = members.select("tid").distinct().join(bodies, "tid").mapInArrow(bags, "tid long, shingle long, n long")
-    return held.join(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")), "shingle").select("tid", "shingle", "n", "texts")
+    return members.select("tid").distinct().join(bodies, "tid").mapInArrow(bags, "tid long, shingle long, n long")
 
 
-def _hopeful(members: DataFrame, held: DataFrame, weights: DataFrame, config: NearConfig) -> DataFrame:
+def _spread(held: DataFrame, texts: DataFrame) -> DataFrame:
+    """(tid, shingle, n, texts, alone): of the given (tid, label) texts, how many have the shingle, and whether all of them are of one class."""
+    own = held.join(texts.select("tid", "label"), "tid")
+    by = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return own.join(by, "shingle").select("tid", "shingle", "n", "texts", (F.col("lo") == F.col("hi")).alias("alone"))
+
+
+def _hopeful(members: DataFrame, held: DataFrame, labels: DataFrame, weights: DataFrame, config: NearConfig) -> DataFrame:
     """(bucket, tid, needed, own_share) of texts that can still have a link in one of their buckets.
 
     A link of similarity t between weights a and b needs an overlap of
     t / (1 + t) * (a + b), and b is at least t * a and the least weight in a's
-    buckets: no link needs less than ``needed``. A text overlaps others by no
-    more than the weight of those of its shingles that some other text here
-    has too; texts for which that is too little drop out, which changes no
-    class.
+    buckets: no link needs less than ``needed``. A text overlaps those of
+    other classes by no more than the weight of those of its shingles that
+    some other class here has too; texts for which that is too little drop
+    out, which changes no class.
     """
-    own = held.where("texts = 1").groupBy("tid").agg(F.sum("n").alias("own"))
+    classed = members.select("tid").distinct().join(labels, F.col("tid") == F.col("node"))
+    own = _spread(held, classed).where("alone").groupBy("tid").agg(F.sum("n").alias("own"))
     sized = members.join(weights, "tid")
     least = sized.groupBy("bucket").agg(F.min("weight").alias("least"))
     texts = sized.join(least, "bucket").groupBy("tid").agg(F.min("weight").alias("weight"), F.min("least").alias("least")).join(own, "tid", "left")
@@ -251,22 +258,33 @@ def _hopeful(members: DataFrame, held: DataFrame, weights: DataFrame, config: Ne
 def _prefix_pairs(placed: DataFrame, scratch: Scratch, weights: DataFrame, config: NearConfig) -> DataFrame:
     """(a, b) pairs of different classes that can have a link.
 
-    Shingles have one order, rare ones first. If a link needs an overlap of
+    Shingles have one order: those of one class, which no link has in common,
+    then rare ones first. If a link needs an overlap of
     ``needed``, no more than weight - needed of either text is outside it, so
     the first shingles of both, up to a weight of weight - needed + extra, have
     a weight of more than extra in common: these prefixes are joined. One side
     takes the texts that are not of the largest class of some bucket of theirs.
+    The join has both weights, so it takes the overlap that this pair needs
+    (``needed`` is for the lightest partner), cuts both prefixes to that, and
+    passes over shingles at which the texts no longer can reach it: what comes
+    before a common shingle (without the shingles of one class), and what
+    follows, overlaps by the lesser of both.
     """
     held = scratch.spark.read.parquet(f"{scratch.root}/held")
     texts = placed.groupBy("tid").agg(F.min("needed").alias("needed"), F.min("label").alias("label")).join(weights, "tid")
-    before = F.sum("n").over(Window.partitionBy("tid").orderBy("texts", "shingle").rowsBetween(Window.unboundedPreceding, -1))
-    prefix = held.join(texts, "tid").withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= F.col("weight") - F.col("needed") + config.extra)
-    prefix = scratch.save(prefix.select("tid", "shingle", "n", "label"), "prefix")
+    before = F.sum("n").over(Window.partitionBy("tid").orderBy(F.desc("alone"), "texts", "shingle").rowsBetween(Window.unboundedPreceding, -1))
+    spread = _spread(held, texts)
+    own = spread.groupBy("tid").agg(F.coalesce(F.sum(F.when(F.col("alone"), F.col("n"))), F.lit(0)).alias("own"))
+    prefix = spread.join(texts.join(own, "tid"), "tid").withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= F.col("weight") - F.col("needed") + config.extra)
+    prefix = scratch.save(prefix.where("NOT alone").select("tid", "shingle", "n", "label", "weight", "before", "own"), "prefix")
     sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top")).select("bucket", F.col("top")["label"].alias("top"))
     small = placed.join(largest, "bucket").where("label != top").select("tid").distinct()
-    left = prefix.join(small, "tid").select(F.col("tid").alias("x"), "shingle", F.col("n").alias("x_n"), F.col("label").alias("x_label"))
-    both = left.join(prefix, "shingle").where("label != x_label")
+    left = prefix.join(small, "tid").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("tid", "n", "label", "weight", "before", "own")))
+    pair_needs = config.similarity / (1 + config.similarity) * (F.col("weight") + F.col("x_weight")) - 1e-6
+    reach = F.least(F.col("before") - F.col("own"), F.col("x_before") - F.col("x_own")) + F.least(F.col("weight") - F.col("before"), F.col("x_weight") - F.col("x_before"))
+    short = (F.col("before") <= F.col("weight") - pair_needs + config.extra) & (F.col("x_before") <= F.col("x_weight") - pair_needs + config.extra)
+    both = left.join(prefix, "shingle").where("label != x_label").where(short & (reach >= pair_needs)).withColumnRenamed("x_tid", "x")
     common = both.groupBy("x", "tid").agg(F.sum(F.least("n", "x_n")).alias("common")).where(F.col("common") > config.extra)
     return common.select(F.least("x", "tid").alias("a"), F.greatest("x", "tid").alias("b")).distinct()
 
