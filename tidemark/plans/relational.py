@@ -57,6 +57,16 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
+@query("a10_append_all", "SELECT n_nationkey, n_name FROM nation")
+def _(spark, d):
+    """All regions, one append each; nations without a region are appended last."""
+    path, nation = work_path(spark, "append"), table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    regions = nation.select("n_regionkey").distinct().orderBy(F.col("n_regionkey").asc_nulls_last())
+    for r in [x[0] for x in regions.collect()]:
+        sources.append(nation.where(F.col("n_regionkey").eqNullSafe(F.lit(r))).drop("n_regionkey"), path)
+    return spark.read.parquet(path)
+
+
 @query("b01_b03_projection_filter", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, CASE WHEN l_quantity > 25 THEN 'bulk' ELSE 'small' END AS size FROM lineitem WHERE (l_returnflag = 'A' OR l_tax > 0.05) AND l_linestatus <> 'O'")
 def _(spark, d):
     rows = table(spark, d, "lineitem").where(((F.col("l_returnflag") == "A") | (F.col("l_tax") > 0.05)) & (F.col("l_linestatus") != "O"))
@@ -199,13 +209,21 @@ def _(spark, d):
     return joins.merge_one_to_one(table(spark, d, "supplier").select("s_suppkey", "s_name"), per, ["s_suppkey"])
 
 
-@query("c17_aligned_models", "SELECT o_orderkey, round(o_totalprice / 1e6, 9) AS a, round(o_totalprice / 2e6, 9) AS b FROM orders WHERE o_orderkey % 3 = 0 OR o_orderstatus = 'F'")
-def _(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0 OR o_orderstatus = 'F'")
+def _aligned(o):
     long = o.select("o_orderkey", F.lit("a").alias("model_id"), (F.col("o_totalprice") / 1e6).alias("probability")).union(o.select("o_orderkey", F.lit("b"), F.col("o_totalprice") / 2e6))
     return rounded(joins.align_models(long, ["o_orderkey"], ["a", "b"]), 9)
 
 
+@query("c17_aligned_models", "SELECT o_orderkey, round(o_totalprice / 1e6, 9) AS a, round(o_totalprice / 2e6, 9) AS b FROM orders WHERE o_orderkey % 3 = 0 OR o_orderstatus = 'F'")
+def _(spark, d):
+    return _aligned(table(spark, d, "orders").where("o_orderkey % 3 = 0 OR o_orderstatus = 'F'"))
+
+
+@query("c17_aligned_models_all", "SELECT o_orderkey, round(o_totalprice / 1e6, 9) AS a, round(o_totalprice / 2e6, 9) AS b FROM orders")
+def _(spark, d):
+    return _aligned(table(spark, d, "orders"))
+
+
 @query("c18_share_of_total", "SELECT o_orderstatus, round(count(*)::DOUBLE / (SELECT count(*) FROM orders), 6) AS share FROM orders GROUP BY ALL")
 def _(spark, d):
     n = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
@@ -338,13 +356,22 @@ def _(spark, d):
     return table(spark, d, "part").groupBy(pattern_of("p_name").alias("shape")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g10_g12_time", "SELECT event_id, date_diff('second', TIMESTAMP '2024-01-01', ts) / 3600.0 AS hours, ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-05' + INTERVAL 36 HOUR AS inside, CAST(unnest(generate_series(0, 24, 12)) AS INTEGER) AS step FROM events WHERE event_id < 2000")
-def _(spark, d):
-    e = table(spark, d, "events").where("event_id < 2000").withColumn("origin", F.lit("2024-01-01").cast("timestamp_ntz"))
+def _times(e):
+    e = e.withColumn("origin", F.lit("2024-01-01").cast("timestamp_ntz"))
     inside = F.col("ts").between(F.expr("timestamp_ntz'2024-01-05 00:00:00'"), F.expr("timestamp_ntz'2024-01-05 00:00:00' + interval 36 hours"))
     return e.select("event_id", (seconds_between("origin", "ts") / 3600.0).alias("hours"), inside.alias("inside"), F.explode(F.sequence(F.lit(0), F.lit(24), F.lit(12))).alias("step"))
 
 
+@query("g10_g12_time", "SELECT event_id, date_diff('second', TIMESTAMP '2024-01-01', ts) / 3600.0 AS hours, ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-05' + INTERVAL 36 HOUR AS inside, CAST(unnest(generate_series(0, 24, 12)) AS INTEGER) AS step FROM events WHERE event_id < 2000")
+def _(spark, d):
+    return _times(table(spark, d, "events").where("event_id < 2000"))
+
+
+@query("g10_g12_time_all", "SELECT event_id, date_diff('second', TIMESTAMP '2024-01-01', ts) / 3600.0 AS hours, ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-05' + INTERVAL 36 HOUR AS inside, CAST(unnest(generate_series(0, 24, 12)) AS INTEGER) AS step FROM events")
+def _(spark, d):
+    return _times(table(spark, d, "events"))
+
+
 @query("g15_hash_bucket", f"SELECT c_custkey, {HASH_FOLD.format(seed=42, value='CAST(c_custkey AS VARCHAR)', n=7)} AS bucket FROM customer")
 def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", hash_fold("c_custkey", 42, 7).alias("bucket"))
