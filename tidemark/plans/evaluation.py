@@ -371,10 +371,13 @@ def _(spark, d):
     return rounded(rows.select(*KEYS, pre.columns()["x"].alias("x")))
 
 
+#: The grid of the reference.
+ELASTIC_NET_GRID = models.elastic_net_grid([0.0, 0.25, 0.5, 0.75, 1.0], [0.01, 0.03, 0.1, 0.3, 1.0])
+
+
 def _elastic_net(spark, d):
     rows = spark.read.parquet(_written(spark, d))
-    grid = models.elastic_net_grid([0.0, 0.5], [0.01, 1.0])
-    return models.nested_cv(rows, KEYS, "cluster_key", FEATURES, ["segment"], grid, models.fit_elastic_net, [1, 2], n_inner=2, model_id="elastic_net")
+    return models.nested_cv(rows, KEYS, "cluster_key", FEATURES, ["segment"], ELASTIC_NET_GRID, models.fit_elastic_net, model_id="elastic_net")
 
 
 def _written(spark, d):
@@ -408,7 +411,8 @@ def _(spark, d):
     rows = spark.read.parquet(_written(spark, d))
     config = models.elastic_net_grid([0.5], [0.1])[0]
     kept = [f for f in FEATURES if f != "agents"]
-    return models.refit_folds(rows, {1: config, 2: config}, kept, ["segment"], models.fit_elastic_net, [*KEYS, "outer_fold", "outcome"])
+    found = models.refit_folds(rows, {f: config for f in models.outer_folds_of(rows)}, kept, ["segment"], models.fit_elastic_net, [*KEYS, "outer_fold", "outcome"])
+    return models.reconcile(found, rows, KEYS)
 
 
 @query("a08_resumable_parts", f"WITH {PREDICTIONS} SELECT model_id, outer_fold, count(*) AS n, CAST(sum(outcome) AS BIGINT) AS n_events FROM preds WHERE outer_fold <= 2 GROUP BY ALL")
