@@ -7,10 +7,9 @@ keeps, with the columns of ``documents``; the last adds what the mix takes.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality
-from tidemark.llm.common import Scratch, read
+from tidemark.llm.common import ROW, Scratch, keyed, read
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +34,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their size and the words taken (repeats counted)."""
-    taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), "size", "target", "taken")
-    docs = docs.drop("size", "target", "taken")
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).drop("__id")
+    rows = keyed(docs, "doc_id", Scratch(spark, "mixing-rows"))
+    taken = mixing.mix_sources(rows, keep=(ROW,)).where("taken > 0").select(ROW, "size", "target", "taken")
+    return rows.drop("size", "target", "taken").join(taken, ROW).drop(ROW)
 
 
 STAGES = [

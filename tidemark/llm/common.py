@@ -54,17 +54,39 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(n))
 
 
+#: The column by which a pipeline stage joins an operator's decisions back to its rows.
+ROW = "__row"
+
+
+def _distinct_integers(docs: DataFrame, id_col: str) -> bool:
+    """Whether the identifiers are integers, neither null nor repeated."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return False
+    return docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where(F.col(id_col).isNull() | (F.col("__n") > 1)).isEmpty()
+
+
+def keyed(docs: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
+    """docs with ROW, a number of their own for all rows, in identifier order (nulls last).
+
+    Identifiers that are distinct integers are the numbers; otherwise the
+    numbered rows are written with all their columns, so that every later
+    plan reads the same numbers.
+    """
+    if _distinct_integers(docs, id_col):
+        return docs.withColumn(ROW, F.col(id_col).cast("long"))
+    return scratch.save(docs.orderBy(F.col(id_col).asc_nulls_last()).withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(own_id, id, text): id orders the rows by own_id and names each of them; null text is empty.
 
     Integer identifiers that are neither null nor repeated name themselves;
-    otherwise rows are numbered in identifier order, nulls last.
+    otherwise rows are numbered in identifier order, nulls last. Rows that
+    keyed() numbered keep their numbers.
     """
     rows = docs.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
-        odd = rows.groupBy("own_id").agg(F.count(F.lit(1)).alias("n")).where("own_id IS NULL OR n > 1")
-        if odd.isEmpty():
-            return rows.withColumn("id", F.col("own_id").cast("long"))
+    if id_col == ROW or _distinct_integers(docs, id_col):
+        return rows.withColumn("id", F.col("own_id").cast("long"))
     return scratch.save(rows.orderBy(F.col("own_id").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id()), "numbered")
 
 

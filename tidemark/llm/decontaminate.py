@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, utf8
+from tidemark.llm.common import ROW, Scratch, keyed, slices, utf8
 
 #: Consecutive words of a test phrase.
 WINDOW = 13
@@ -271,9 +271,10 @@ def verdicts(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated, unchanged; rows with a null identifier are judged like others."""
-    bad = verdicts(contamination(docs, benchmark, id_col, text_col), id_col).where("contaminated").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of docs that are not contaminated, unchanged; each row is judged by itself, also where identifiers are null or repeat."""
+    rows = keyed(docs, id_col, Scratch(docs.sparkSession, "decontamination-rows"))
+    bad = verdicts(contamination(rows, benchmark, ROW, text_col), ROW).where("contaminated").select(ROW)
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
 
 
 def cut_spans(text: str | None, spans: list[list[int]]) -> str | None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, numbered, slices, utf8
+from tidemark.llm.common import ROW, Scratch, keyed, numbered, slices, utf8
 
 #: Words of a run of lines, at least, for its later copies to go.
 MIN_WORDS = 3
@@ -144,11 +144,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with their remaining lines as text; rows of which nothing remains are dropped.
 
-    Identifiers are taken to be distinct. Rows whose text keeps all lines
-    stay as they are; where lines went, chars_col is counted anew.
+    Every row is judged by itself, also where identifiers are null or repeat.
+    Rows whose text keeps all lines stay as they are; where lines went,
+    chars_col is counted anew.
     """
-    found = dedup_lines(docs, id_col, text_col, min_words).where("n_removed > 0").select(F.col(id_col).alias("__id"), F.col("kept").alias("__kept"))
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["__id"]), "left")
+    rows = keyed(docs, id_col, Scratch(docs.sparkSession, "line-dedup-rows"))
+    found = dedup_lines(rows, ROW, text_col, min_words).where("n_removed > 0").select(ROW, F.col("kept").alias("__kept"))
+    joined = rows.join(found, ROW, "left")
     changed = {text_col: F.coalesce("__kept", text_col)}
     if chars_col in docs.columns:
         changed[chars_col] = F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)

@@ -60,6 +60,7 @@ def mix_sources(
     budget: float = 1.5,
     max_epochs: int = 2,
     seed: int = 20260101,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many words of each document a weighted mix of the sources takes.
 
@@ -74,7 +75,7 @@ def mix_sources(
     of sorting, so no source has to fit one task.
 
     Returns one row per input row: identifier, source, size, source_size,
-    target, taken. Null text has size 0; null is a source of its own, the
+    target, taken, and the columns named in keep. Null text has size 0; null is a source of its own, the
     last. Repeated rows are separate documents with one key.
     """
     spark = docs.sparkSession
@@ -88,6 +89,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             F.regexp_count(text, F.lit(NOT_SPACE)).cast("long").alias("size"),
             (-F.log(unit) / quality).alias("key"),
+            *keep,
         ),
         "sized",
     )
@@ -103,7 +105,7 @@ def mix_sources(
     below = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     heights = heights.select(F.col("source").alias("h_source"), F.col("slice").alias("h_slice"), F.coalesce(F.sum("height").over(below), F.lit(0)).alias("base"))
     rows = rows.join(heights, F.col("source").eqNullSafe(F.col("h_source")) & (F.col("slice") == F.col("h_slice")))
-    within = Window.partitionBy("source", "slice").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "slice").orderBy("key", "id", "size", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.col("base") + F.sum("size").over(within) - F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(F.lit(0))
     rows = rows.withColumns({"before": before, "epochs": epochs})
@@ -115,4 +117,5 @@ def mix_sources(
         "source_size",
         "target",
         (F.col("size") * (F.col("epochs") + extra.cast("int"))).cast("long").alias("taken"),
+        *keep,
     )

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, mix64, numbered, slices, utf8, word_hashes, word_spans
+from tidemark.llm.common import ROW, Scratch, keyed, mix64, numbered, slices, utf8, word_hashes, word_spans
 from tidemark.llm.components import components
 
 _U = np.uint64
@@ -308,6 +308,7 @@ def _verify(pairs: DataFrame, bodies: DataFrame, config: NearConfig) -> DataFram
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: NearConfig = NearConfig()) -> DataFrame:
-    """One row of docs, with all its columns, of each class of near duplicates; ids are taken to be distinct."""
-    gone = near_duplicates(docs, id_col, text_col, config).where("NOT kept").select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """One row of docs, with all its columns, of each class of near duplicates; ids may be null or repeat."""
+    rows = keyed(docs, id_col, Scratch(docs.sparkSession, "near-dedup-rows"))
+    gone = near_duplicates(rows, ROW, text_col, config).where("NOT kept").select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
