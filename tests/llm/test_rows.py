@@ -64,3 +64,11 @@ def test_pipeline_with_repeated_rows_and_null_identifiers(spark, tmp_path):
     assert kept(docs.where(docs.text.isin(list(TEXTS.values())))) == [x for x in ONE_EACH if x[1] != "y"]
     mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert mixed and len({r.text for r in mixed}) == len(mixed) and {r.text for r in mixed} <= {r.text for r in docs.collect()}
+
+
+def test_items_without_an_identifier_are_hit(spark, rows):
+    benchmark = spark.createDataFrame([(None, TEXTS["u"]), (None, TEXTS["w"]), (3, TEXTS["w"])], "item_id long, text string")
+    found = decontaminate.contamination(rows, benchmark)
+    got = sorted((str(r.doc_id), r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.verdicts(found).collect() if r.n_hit)
+    assert got == [("8", 60, 1, decontaminate.items_digest([]), True), ("None", 60, 2, decontaminate.items_digest(["3"]), True)]
+    assert kept(decontaminate.decontaminate(rows, benchmark)) == sorted((str(i), k) for i, k in KEYS if k not in "uw")

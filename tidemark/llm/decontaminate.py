@@ -118,9 +118,9 @@ class FmIndex:
 class Phrases:
     """The distinct windows of a block of benchmark items, as symbols of the items' own words."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.symbol: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        owners: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             own = [self.symbol.setdefault(w, len(self.symbol) + 2) for w in words(text)]
             for i in range(max(1, len(own) - window + 1) if own else 0):
@@ -129,7 +129,7 @@ class Phrases:
         self.by_length = []
         for length, group in itertools.groupby(sorted(owners, key=len), len):
             group = list(group)
-            self.by_length.append((length, np.array(group, np.int64), [sorted(owners[p]) for p in group]))
+            self.by_length.append((length, np.array(group, np.int64), [list(owners[p]) for p in group]))
 
     def hits(self, texts: list[bytes]):
         """Per text: its number of words, merged spans of hit words, and the items with a window in it."""
@@ -154,7 +154,7 @@ class Phrases:
         index = FmIndex(np.append(seq[place], 0), len(self.symbol) + 2)
         doc_start = np.cumsum([0, *(n + 1 for n in sizes)])
         found: list[tuple[np.ndarray, np.ndarray, int]] = []
-        items: dict[int, set[str]] = {}
+        items: dict[int, set[str | None]] = {}
         for length, patterns, owners in self.by_length:
             low, high = index.search(patterns)
             n = np.maximum(high - low, 0)
@@ -184,7 +184,7 @@ class Phrases:
         return out
 
 
-def _search(docs: DataFrame, items: list[tuple[str, bytes]], id_col: str, text_col: str, window: int) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple[str | None, bytes]], id_col: str, text_col: str, window: int) -> DataFrame:
     schema = T.StructType(
         [
             T.StructField(id_col, docs.schema[id_col].dataType),
@@ -227,14 +227,16 @@ def contamination(
     is bounded; spans of several blocks are merged by document.
 
     Returns one row per input row: identifier, n_words, spans (merged [start,
-    end) word indices), items (identifiers as text, in string order). Null
+    end) word indices), items (identifiers as text, in string order; items
+    without an identifier are hit like others and are one null, the last,
+    which verdicts() counts and leaves out of the digest). Null
     text has no words; a benchmark item without words, or with null text, has
     no window. An empty benchmark hits nothing. Repeated identifiers stay
     separate rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.struct(F.col(id_col), F.monotonically_increasing_id().alias("row")).alias("key"), F.col(text_col).alias("text"))
-    sized = benchmark.select(F.col(item_col).cast("string").alias("item"), F.encode(F.col(item_text_col), "utf-8").alias("raw")).where("item IS NOT NULL AND raw IS NOT NULL")
+    sized = benchmark.select(F.col(item_col).cast("string").alias("item"), F.encode(F.col(item_text_col), "utf-8").alias("raw")).where("raw IS NOT NULL")
     total = sized.agg(F.sum(F.length("raw"))).first()[0] or 0
     n_blocks = -(-total // BLOCK_BYTES) or 1
     blocks = sized.withColumn("block", F.pmod(F.xxhash64("item", "raw"), F.lit(n_blocks)))
