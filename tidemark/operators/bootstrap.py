@@ -23,19 +23,23 @@ def cluster_weights(clusters: DataFrame, cluster: str, replicates: range, seed:
     return weights.join(numbered.drop("n"), "no").select("replicate", cluster, "weight")
 
 
-def bootstrap(predictions: DataFrame, pairs: list[tuple[str, str]], cluster: str = "cluster_key", replicates: int = 1000, seed: int = 20260101, by: list[str] = (), batch: int = 50) -> DataFrame:
+def bootstrap(predictions: DataFrame, pairs: list[tuple[str, str]], cluster: str = "cluster_key", replicates: int = 1000, seed: int = 20260101, by: list[str] = (), batch: int = 50, scratch: str | None = None) -> DataFrame:
     """(by, replicate, comparison, metric, reference, candidate, difference) for pairs of model_id.
 
     Rows are counted by cluster, score and outcome once; replicates then run in
-    batches over these counts. Replicates with one class only give no row.
+    batches over these counts; with a scratch path each batch is written before
+    the next one starts. Replicates with one class only give no row.
     """
     counts = score_counts(predictions, "outcome", "probability", None, ["model_id", *by, cluster]).persist()
     parts = []
     for start in range(0, replicates, batch):
         weights = cluster_weights(counts, cluster, range(start, min(start + batch, replicates)), seed)
         drawn = counts.join(weights, cluster).groupBy("replicate", "model_id", *by, "score").agg(F.sum(F.col("tp") * F.col("weight")).alias("tp"), F.sum(F.col("fp") * F.col("weight")).alias("fp"))
-        parts.append(long_metrics(metrics_of(drawn, ["replicate", "model_id", *by]), ["replicate", "model_id", *by]).where(F.col("value").isNotNull()))
-    long = reduce(DataFrame.unionByName, parts)
+        part = long_metrics(metrics_of(drawn, ["replicate", "model_id", *by]), ["replicate", "model_id", *by]).where(F.col("value").isNotNull())
+        if scratch:
+            part.write.mode("append").parquet(scratch)
+        parts.append(part)
+    long = predictions.sparkSession.read.schema(parts[0].schema).parquet(scratch) if scratch else reduce(DataFrame.unionByName, parts)
     keys = ["replicate", *by, "metric"]
     out = []
     for reference, candidate in pairs:

@@ -37,15 +37,22 @@ def complete_sites(df: DataFrame, flags: DataFrame, site: str, columns: list[str
     return df.join(full.select(site), site, "left_semi")
 
 
-def evaluate_scenarios(df: DataFrame, pairs: list[tuple[str, str]], thresholds: list[float], replicates: int, seed: int) -> dict[str, DataFrame]:
+def calibration_of(df: DataFrame) -> DataFrame:
+    return calibration.calibration(df, ["scenario", "model_id"])
+
+
+def utility_of(df: DataFrame, thresholds: list[float]) -> DataFrame:
+    return calibration.decision_curve(df, thresholds, ["scenario", "model_id"])
+
+
+def evaluate_scenarios(df: DataFrame, pairs: list[tuple[str, str]], thresholds: list[float], replicates: int, seed: int, scratch: str | None = None) -> dict[str, DataFrame]:
     """Points with confidence intervals, calibration and decision curves, per scenario."""
     points = metrics.paired(df, pairs, by=["scenario"])
-    intervals = bootstrap.percentile_ci(bootstrap.bootstrap(df, pairs, replicates=replicates, seed=seed, by=["scenario"]), ["scenario"])
-    by = ["scenario", "model_id"]
+    intervals = bootstrap.percentile_ci(bootstrap.bootstrap(df, pairs, replicates=replicates, seed=seed, by=["scenario"], scratch=scratch), ["scenario"])
     return {
         "comparison": points.join(intervals, ["scenario", "comparison", "metric"]),
-        "calibration": calibration.calibration(df, by),
-        "utility": calibration.decision_curve(df, thresholds, by),
+        "calibration": calibration_of(df),
+        "utility": utility_of(df, thresholds),
     }
 
 

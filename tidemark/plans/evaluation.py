@@ -15,6 +15,8 @@ from tidemark.spec import KEYS
 
 CUTS = [0.4, 0.5, 0.55, 0.6, 0.7]
 PAIRS = [("m1", "m2")]
+#: Of every bootstrap, as in the reference.
+REPLICATES = 1000
 
 
 def _hits(spark, d):
@@ -226,13 +228,13 @@ def _(spark, d):
 
 @query("n01_cluster_weights")
 def _(spark, d):
-    return bootstrap.cluster_weights(cohort(spark, d), "cluster_key", range(0, 50), 11)
+    return bootstrap.cluster_weights(cohort(spark, d), "cluster_key", range(REPLICATES), 11)
 
 
 @query("n02_n03_bootstrap_ci")
 def _(spark, d):
     p = predictions(spark, d)
-    reps = bootstrap.bootstrap(p, PAIRS, replicates=100, seed=11, batch=50)
+    reps = bootstrap.bootstrap(p, PAIRS, replicates=REPLICATES, seed=11, scratch=work_path(spark, "replicates"))
     return metrics.paired(p, PAIRS).join(bootstrap.percentile_ci(reps), ["comparison", "metric"])
 
 
@@ -343,10 +345,13 @@ def _(spark, d):
     return rounded(metrics.ranking_metrics(scenarios.complete_sites(predictions(spark, d), flags, "cluster_key", ["ok"]), by=["model_id"]))
 
 
-def _evaluated(spark, d):
+def _late_scenarios(spark, d):
     rows = predictions(spark, d)
-    late = scenarios.apply_scenarios(rows, [scenarios.Scenario("all", F.lit(True), F.col("outcome") == 1), scenarios.Scenario("late", F.col("landmark_h") >= 336, F.col("outcome") == 1)])
-    return scenarios.evaluate_scenarios(late, PAIRS, CUTS, 50, bootstrap.scenario_seed(11, 1))
+    return scenarios.apply_scenarios(rows, [scenarios.Scenario("all", F.lit(True), F.col("outcome") == 1), scenarios.Scenario("late", F.col("landmark_h") >= 336, F.col("outcome") == 1)])
+
+
+def _evaluated(spark, d):
+    return scenarios.evaluate_scenarios(_late_scenarios(spark, d), PAIRS, CUTS, REPLICATES, bootstrap.scenario_seed(11, 1), work_path(spark, "replicates"))
 
 
 @query("p06_scenario_comparison")
@@ -354,6 +359,16 @@ def _(spark, d):
     return _evaluated(spark, d)["comparison"]
 
 
+@query("p06_scenario_calibration")
+def _(spark, d):
+    return rounded(scenarios.calibration_of(_late_scenarios(spark, d)))
+
+
+@query("p06_scenario_utility")
+def _(spark, d):
+    return rounded(scenarios.utility_of(_late_scenarios(spark, d), CUTS))
+
+
 def _model_matrix(spark, d):
     y = outcomes(spark, d).where("horizon_h = 48 AND outcome IN (0, 1)").select(*KEYS, "outcome")
     return predictor_matrix(spark, d).join(y, KEYS)
