@@ -110,6 +110,26 @@ def op10_suffix_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Windows of 100 bytes as 200 hexadecimal digits, cut from blocks of 1,000 bytes so that long texts cost no more per byte.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, k * 1000 AS base, substr(h, k * 2000 + 1, 2198) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2000 + 1)) AS k FROM d)),
+w AS (SELECT doc_id, base + i AS lo, md5_number(substr(part, 2 * i + 1, 200)) AS win
+      FROM (SELECT doc_id, base, part, unnest(range(0, least(1000, length(part) // 2 - 99))) AS i FROM b)),
+f AS (SELECT win, min((doc_id, lo)) AS first FROM w GROUP BY win HAVING count(*) > 1),
+g AS (SELECT w.doc_id, w.lo FROM w JOIN f USING (win) WHERE (w.doc_id, w.lo) != f.first),
+t AS (SELECT doc_id, lo, sum(fresh) OVER (PARTITION BY doc_id ORDER BY lo) AS span
+      FROM (SELECT doc_id, lo, CAST(coalesce(lo > lag(lo) OVER (PARTITION BY doc_id ORDER BY lo) + 100, true) AS INTEGER) AS fresh FROM g)),
+s AS (SELECT doc_id, min(lo) AS lo, max(lo) + 100 AS hi FROM t GROUP BY doc_id, span),
+c AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS kept_from, row_number() OVER (PARTITION BY doc_id ORDER BY lo DESC) = 1 AS final FROM s),
+k AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans,
+             string_agg(substr(h, 2 * kept_from + 1, 2 * (lo - kept_from)) || CASE WHEN final THEN substr(h, 2 * hi + 1) ELSE '' END, '' ORDER BY lo) AS kept
+      FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 _QUERIES = [op1_exact_dedup, op2_lm_scoring, op3_line_dedup, op4_quality_classifier, op5_chat_formatting, op6_decontamination, op7_license_scan, op8_near_dedup, op9_mixing, op10_suffix_dedup]
 
 
@@ -118,4 +138,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op6_decontamination": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_suffix_dedup": OP10_SQL}
