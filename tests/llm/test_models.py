@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import licenses, lm_score, quality
+from tidemark.llm.common import Scratch
 from tests.llm.conftest import corpus, prose
 
 
@@ -45,13 +46,41 @@ def test_lm_learns_order(spark):
 
 
 def test_class_probabilities_sum_to_one(docs, spark):
-    from pyspark.sql import functions as F
-
-    from tidemark.llm.common import Scratch
-
-    config = lm_score.LmConfig(top=5, rest=4, rows=64)
-    table = lm_score.train_classes(docs.select(F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("held_out")), [b"kaban"], config, Scratch(spark, "t"))
-    assert (10**table).sum(axis=1) == pytest.approx(np.ones(config.classes**2))
+    config = lm_score.LmConfig(classes=9, rows=64)
+    scratch = Scratch(spark, "t")
+    table = lm_score.train_classes(lm_score.tokenised(docs, "doc_id", "text", config, scratch)[0], config, scratch)
+    assert np.exp(table).sum(axis=1) == pytest.approx(np.ones(config.classes**2))
+
+
+@pytest.mark.parametrize("unit_bytes", [1, 4000, 1 << 24])
+def test_lm_scores_equal_brute_force(docs, spark, unit_bytes):
+    """Counts of words, pairs and triples from plain dictionaries, under the fitted class softmax and strengths."""
+    config = lm_score.LmConfig(unit_bytes=unit_bytes, part_bytes=5000)
+    scratch = Scratch(spark, "t")
+    model = lm_score.fit_lm(lm_score.tokenised(docs, "doc_id", "text", config, scratch)[0], config, scratch)
+    rows, ones, twos, threes = [], Counter(), Counter(), Counter()
+    for r in corpus():
+        data = np.frombuffer((r[1] or "").encode(), np.uint8)
+        classes = lm_score.tokens(data, np.array([0, len(data)]), config)[0] & np.uint64(127)
+        words = ["<s>", "<s>", *(r[1] or "").encode().lower().split(), "</s>"]
+        rows.append((r[0], words, [0, 0, *classes.tolist()]))
+        if not held(r[0], 7, 2):
+            for a, b, c in zip(words, words[1:], words[2:]):
+                ones[c] += 1
+                twos[b, c] += 1
+                threes[a, b, c] += 1
+    ones["<s>"] = twos["<s>", "<s>"] = ones["</s>"]
+    want = Counter()
+    for i, words, classes in rows:
+        score = 0.0
+        for j in range(2, len(words)):
+            a, b, c = words[j - 2 : j + 1]
+            x, y, z = (int(v) for v in classes[j - 2 : j + 1])
+            p = math.exp(model.log_class[x * config.classes + y, z] - model.log_sizes[z]) * (ones[c] + 1)
+            p = (twos[b, c] + model.strength[0] * p) / (ones[b] + model.strength[0])
+            score += math.log10((threes[a, b, c] + model.strength[1] * p) / (twos[a, b] + model.strength[1]))
+        want[i, round(score, 5)] += 1
+    assert Counter((r.doc_id, round(r.score, 5)) for r in lm_score.lm_scores(docs, config=config).collect()) == want
 
 
 def test_lm_without_training_rows(spark, empty):

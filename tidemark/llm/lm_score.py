@@ -2,75 +2,243 @@
 
 from __future__ import annotations
 
-import itertools
-import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import Scratch, crc_mod, utf8
+from tidemark.llm.common import Scratch, crc_mod, mix64, slices, utf8, word_hashes, word_spans
 
-#: The end token; white space is in no word, so no word equals it.
-END = b"\n"
+_U = np.uint64
+#: Keys of the end token and of what is before a text; the low bits of a word's key are its class.
+END, START = _U(0), _U(1 << 7)
+_CLASS_BITS = _U((1 << 7) - 1)
+_LOWER = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint32)
+_WORDS, _PAIRS, _TRIPLES, _STREAM, _CELLS = range(5)
 
 
 @dataclass(frozen=True)
 class LmConfig:
-    """Sizes of the model; with them all of its tables are bounded."""
+    """Sizes of the class softmax, which is bounded; the word n-grams' table grows with the corpus."""
 
-    top: int = 63  #: commonest words, each a class of its own
-    rest: int = 32  #: classes of the other words, by a hash of their last two bytes
-    rows: int = 1 << 14  #: hashed feature rows
-    rounds: int = 6  #: gradient updates
+    classes: int = 96  #: classes of tokens: the end, and words by a hash of their last two bytes; 127 at most
+    rows: int = 1 << 14  #: hashed feature rows of the class softmax
+    spare_bits: int = 3  #: hashed rows of word n-grams: two to this power per byte of text, at least
+    rounds: int = 6  #: gradient updates of the class softmax
     rate: float = 0.5  #: of the first update
-    shrink: float = 20.0  #: prior tokens per context of the starting weights
-    block_bytes: int = 16 << 20  #: text per scoring block
+    shrink: float = 20.0  #: prior tokens per context of its starting weights
+    steps: int = 4  #: gradient updates of the n-grams' prior weights in each unit
+    unit_bytes: int = 16 << 20  #: text per unit
+    part_bytes: int = 64 << 20  #: text whose n-grams one group of counts gets on average
+    slice_bytes: int = 1 << 20
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, config: LmConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the tokens of concatenated texts, each text's end included, and the tokens of each text."""
+    starts, ends, doc = word_spans(data, offsets)
+    first = np.searchsorted(doc, np.arange(len(offsets)))
+    if not len(starts):
+        return np.full(len(offsets) - 1, END), np.ones(len(offsets) - 1, np.int64)
+    tail = _LOWER[data[ends - 1]] * np.uint32(257) + np.where(ends - starts > 1, _LOWER[data[ends - 2]], np.uint32(0))
+    own_class = (tail * np.uint32(2654435761) >> np.uint32(7)) % np.uint32(config.classes - 1) + 1
+    keys = (word_hashes(data, starts, ends) & ~_CLASS_BITS) | own_class.astype(np.uint64)
+    return np.insert(keys, first[1:], END), np.diff(first) + 1
+
+
+def before(keys: np.ndarray, first: np.ndarray, steps: int = 1, start: np.uint64 = START) -> np.ndarray:
+    """What is so many steps before each item; start where the text, whose first items are given, has no such item."""
+    for _ in range(steps):
+        keys = np.concatenate([np.full(1, start, keys.dtype), keys[:-1]])
+        keys[first] = start
+    return keys
+
+
+def ngram_keys(keys: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed rows of each token with the one before, and with the two before."""
+    last, skip = before(keys, first), before(keys, first, 2)
+    pair = mix64(last * _U(0x9E3779B97F4A7C15) + mix64(keys))
+    triple = mix64(skip * _U(0xC2B2AE3D27D4EB4F) + pair)
+    return pair >> _U(64 - bits), triple >> _U(64 - bits)
+
+
+def grouped(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each item's place among them; keys and places are sorted as one number each."""
+    n = len(keys)
+    if not n:
+        return keys, np.zeros(0, np.int64)
+    low = n.bit_length()
+    cut = max(0, bits - (64 - low))
+    packed = np.sort(((keys >> _U(cut)) << _U(low)) | np.arange(n, dtype=np.uint64))
+    at = (packed & _U((1 << low) - 1)).astype(np.int64)
+    packed >>= _U(low)
+    new = np.concatenate([[True], packed[1:] != packed[:-1]])
+    place = np.empty(n, np.int64)
+    place[at] = np.cumsum(new) - 1
+    distinct = keys[at[new]]
+    if cut and (distinct[place] != keys).any():  # keys that differ in their last bits alone
+        return np.unique(keys, return_inverse=True)
+    return distinct, place
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of unsigned numbers, all lowest bytes first."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    raw = b"".join(map(_planes, columns))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes, n: int) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    out, at = [], 0
+    while at < len(raw):
+        width = raw[at]
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, width * n, at + 1).reshape(width, n).T
+        out.append(wide.view(np.uint64)[:, 0])
+        at += 1 + width * n
+    return out
+
+
+def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Keys in rising order, as differences, and their counts."""
+    return pack(np.diff(keys, prepend=_U(0)) if len(keys) else keys, counts)
+
+
+def unpack_counts(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    gaps, counts = unpack(blob, n)
+    return np.cumsum(gaps, dtype=np.uint64), counts.astype(np.int64)
+
+
+def chain(p: np.ndarray, pair: np.ndarray, last: np.ndarray, triple: np.ndarray, both: np.ndarray, strength: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities after the pair feature, and after the triple feature: (count + k * lower) / (context + k)."""
+    q = (pair + strength[0] * p) / (last + strength[0])
+    return q, (triple + strength[1] * q) / (both + strength[1])
+
+
+def _fit_strengths(p, pair, last, triple, both, steps: int) -> np.ndarray:
+    """Logs of the two prior weights that predict a unit's training tokens best, each left out of its own counts."""
+    log_k = np.log(np.array([50.0, 2.0]))
+    for step in range(steps):
+        kb, kt = np.exp(log_k)
+        q, full = chain(p, pair, last, triple, both, np.exp(log_k))
+        of_pair = kt / (both + kt) * kb * (p * last - pair) / (last + kb) ** 2 / full
+        of_triple = kt * (q * both - triple) / (both + kt) ** 2 / full
+        gradient = np.array([of_pair.mean(), of_triple.mean()])
+        log_k += gradient / (np.abs(gradient) + 0.01) / (1 + step)
+    return log_k
+
+
+def _gather(config: LmConfig, bits: int, n_parts: int, id_type: pa.DataType):
+    """Per unit of text: its tokens as numbers, and the counts of its words, pairs and triples in training texts."""
+    schema = pa.schema(
+        [("unit", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("n", pa.int64()), ("blob", pa.binary()), ("log_k", pa.list_(pa.float64())),
+         ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))]
+    )
+
+    def rows_of(unit: int, keys, sizes, held, ids, cells):
+        first = np.cumsum(sizes) - sizes
+        train = np.repeat(~held, sizes)
+        k = config.classes
+        own = (keys & _CLASS_BITS).astype(np.int64)
+        context = before(own, first, 2, 0) * k + before(own, first, 1, 0)
+        cells += np.bincount((context * k + own)[train], minlength=k**3)
+        rows, counts, streams = [], [], None
+        pairs, triples = ngram_keys(keys, first, bits)
+        for kind, own_keys, own_bits in ((_WORDS, keys, 64), (_PAIRS, pairs, bits), (_TRIPLES, triples, bits)):
+            distinct, place = grouped(own_keys, own_bits)
+            n = np.bincount(place, train, len(distinct)).astype(np.int64)
+            counts.append(n[place])
+            if kind == _WORDS:
+                streams = pack(place)
+            part = ((distinct >> _U(max(own_bits - 32, 0))) * _U(n_parts)) >> _U(min(own_bits, 32))
+            edge = np.flatnonzero(np.diff(part, prepend=_U(n_parts)))
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(part)]):
+                rows.append({"unit": unit, "kind": kind, "part": int(part[a]) * 3 + kind, "n": b - a, "blob": pack_counts(distinct[a:b], n[a:b])})
+        total = int(train.sum())
+        strengths = None
+        if total:
+            one, two, three = (c[train] - 1.0 for c in counts)
+            docs = float((~held).sum())
+            last = before(counts[0].astype(float), first, 1, docs)[train] - 1
+            both = before(counts[1].astype(float), first, 1, docs)[train] - 1
+            log_k = _fit_strengths((one + 1) / (total + len(np.unique(keys))), two, last, three, both, config.steps)
+            strengths = [float(total), *(log_k * total).tolist()]
+        return rows + [{"unit": unit, "kind": _STREAM, "n": len(keys), "blob": streams, "log_k": strengths, "ids": ids, "held": held, "sizes": sizes}]
+
+    def gather(batches):
+        cells = np.zeros(config.classes**3, np.int64)
+        unit, parts, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush():
+            keys, sizes, held = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            ids = [x for p in parts for x in p[3]]
+            return pa.RecordBatch.from_pylist(rows_of(unit, keys, sizes, held, ids, cells), schema)
 
-    @property
-    def classes(self) -> int:
-        return 1 + self.top + self.rest
-
-
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
+        for batch in batches:
+            for part in slices(batch, "text", config.slice_bytes):
+                data, offsets = utf8(part.column("text"))
+                parts.append((*tokens(data, offsets, config), part.column("held_out").to_numpy(zero_copy_only=False), part.column("id").to_pylist()))
+                size += len(data)
+                if size >= config.unit_bytes:
+                    yield flush()
+                    unit, parts, size = unit + 1, [], 0
+        if parts:
+            yield flush()
+        found = np.flatnonzero(cells)
+        if len(found):
+            yield pa.RecordBatch.from_pylist([{"unit": unit, "kind": _CELLS, "n": len(found), "blob": pack(found, cells[found])}], schema)
 
+    return gather
 
-class Classes:
-    """Class of a token: 0 for the end, 1.. for the commonest words, a hash of the ending for the others."""
 
-    def __init__(self, top: list[bytes], config: LmConfig):
-        self.known = {END: 0} | {w: i + 1 for i, w in enumerate(top)}
-        self.config = config
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """The distinct keys of a group of requests, their counts over all units, and the requests as (row, keys, own counts, places)."""
+    asked = [unpack_counts(b, n) for b, n in zip(table.column("blob").to_pylist(), table.column("n").to_pylist())]
+    distinct = np.unique(np.concatenate([k for k, _ in asked]))
+    places = [np.searchsorted(distinct, k) for k, _ in asked]
+    total = np.zeros(len(distinct), np.int64)
+    for (_, n), at in zip(asked, places):
+        total[at] += n
+    return distinct, total, [(i, k, n, at) for i, ((k, n), at) in enumerate(zip(asked, places))]
 
-    def __call__(self, word: bytes) -> int:
-        found = self.known.get(word)
-        return 1 + self.config.top + zlib.crc32(word[-2:]) % self.config.rest if found is None else found
 
+def _elsewhere(table: pa.Table) -> pa.Table:
+    """For every request, the counts that other units have of its keys."""
+    _, total, asked = _merged(table)
+    units, kinds = table.column("unit").to_pylist(), table.column("kind").to_pylist()
+    rows = []
+    for i, keys, own, at in asked:
+        more = total[at] - own
+        keep = more > 0
+        rows.append((units[i], kinds[i], int(keep.sum()), pack_counts(keys[keep], more[keep])))
+    columns = list(zip(*rows))
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("unit", "kind", "n", "blob"), columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))})
 
-class _Memo(dict):
-    """Classes of the words seen so far."""
 
-    def __init__(self, classes: Classes):
-        super().__init__()
-        self.classes = classes
+def _vocabulary(config: LmConfig):
+    def vocabulary(table: pa.Table) -> pa.Table:
+        """Training tokens and words of a group, by class."""
+        distinct, total, _ = _merged(table)
+        own = (distinct & _CLASS_BITS).astype(np.int64)
+        return pa.table({"class": pa.array(range(config.classes), pa.int32()), "n": np.bincount(own, total, config.classes).astype(np.int64), "v": np.bincount(own[total > 0], minlength=config.classes).astype(np.int64)})
 
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = self.classes(word)
-        return found
+    return vocabulary
 
 
 def features(contexts: np.ndarray, config: LmConfig) -> np.ndarray:
     """Hashed rows of a context (class before last, last class): bias, bigram, skip and trigram."""
-    c = np.uint64(config.classes)
-    before, last = contexts.astype(np.uint64) // c, contexts.astype(np.uint64) % c
-    keys = np.stack([np.zeros_like(last), last + np.uint64(1 << 20), before + np.uint64(2 << 20), contexts.astype(np.uint64) + np.uint64(3 << 20)], 1)
-    keys = (keys + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return ((keys ^ (keys >> np.uint64(32))) % np.uint64(config.rows)).astype(np.int64)
+    c = _U(config.classes)
+    skip, last = contexts.astype(np.uint64) // c, contexts.astype(np.uint64) % c
+    keys = np.stack([np.zeros_like(last), last + _U(1 << 20), skip + _U(2 << 20), contexts.astype(np.uint64) + _U(3 << 20)], 1)
+    return (mix64(keys + _U(0x9E3779B97F4A7C15)) % _U(config.rows)).astype(np.int64)
 
 
 def log_softmax(logits: np.ndarray) -> np.ndarray:
@@ -78,55 +246,25 @@ def log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def _texts(batch, col: str):
-    data, at = utf8(batch.column(col))
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in itertools.pairwise(at.tolist())]
-
-
-def _block_words(table: pa.Table) -> pa.Table:
-    """Distinct words of a block, and how often its training texts have them."""
-    train: Counter[bytes] = Counter({END: 0})
-    for batch in table.to_batches():
-        for text, held in zip(_texts(batch, "text"), batch.column("held_out").to_pylist()):
-            if held:
-                train.update(dict.fromkeys(tokens(text), 0))
-            else:
-                train.update(tokens(text))
-                train[END] += 1
-    n = len(train)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()] * n, pa.int64()), "word": pa.array(train.keys(), pa.binary()), "n": pa.array(train.values(), pa.int64())})
+def train_classes(units: DataFrame, config: LmConfig, scratch: Scratch) -> np.ndarray:
+    """log p(class | two classes before), fitted to all training tokens.
 
-
-def train_classes(docs: DataFrame, top: list[bytes], config: LmConfig, scratch: Scratch) -> np.ndarray:
-    """log10 p(class | two classes before), fitted to the training rows of (text, held_out).
-
-    One pass counts how often each class follows each context; features
-    depend on the context alone, so these counts carry the whole gradient.
-    The weights start from shrunk log ratios and take gradient updates, each
-    summed over the partitions of the counts.
+    Features depend on the context alone, so counts of the classes after each
+    context carry the whole gradient. The weights start from shrunk log ratios
+    and take gradient updates, each summed by feature row in Spark; the driver
+    gets one sum a row.
     """
     k = config.classes
 
-    def count(batches):
-        classes, cells = Classes(top, config), np.zeros(k**3, np.int64)
-        memo = _Memo(classes)
+    def explode(batches):
         for batch in batches:
-            for text in _texts(batch, "text"):
-                own = tokens(text)
-                seq = np.zeros(len(own) + 3, np.int64)
-                seq[2:-1] = np.fromiter(map(memo.__getitem__, own), np.int64, len(own))
-                np.add.at(cells, (seq[:-2] * k + seq[1:-1]) * k + seq[2:], 1)
-            if len(memo) > 500_000:
-                memo.clear()
-        found = np.flatnonzero(cells)
-        for part in np.array_split(found, max(1, len(found) // 100_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(part // k, pa.int32()), pa.array(part % k, pa.int32()), pa.array(cells[part], pa.int64())], names=["context", "class", "n"])
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("blob").to_pylist()):
+                cell, count = unpack(blob, n)
+                yield pa.RecordBatch.from_arrays([pa.array((cell // _U(k)).astype(np.int32)), pa.array((cell % _U(k)).astype(np.int32)), pa.array(count.astype(np.int64))], names=["context", "class", "n"])
 
-    cells = docs.where(~F.col("held_out")).select("text").mapInArrow(count, "context int, class int, n long")
+    cells = units.where(F.col("kind") == _CELLS).select("n", "blob").mapInArrow(explode, "context int, class int, n long")
     cells = cells.groupBy("context", "class").agg(F.sum("n").alias("n"))
-    contexts = cells.groupBy("context").agg(F.collect_list(F.struct("class", "n")).alias("next"))
-    contexts = scratch.save(contexts.repartition(8, "context"), "contexts")
+    contexts = scratch.save(cells.groupBy("context").agg(F.collect_list(F.struct("class", "n")).alias("next")), "contexts")
 
     def dense(batch):
         counts = np.zeros((batch.num_rows, k))
@@ -136,11 +274,13 @@ def train_classes(docs: DataFrame, top: list[bytes], config: LmConfig, scratch:
         counts[who, flat.field("class").to_numpy(zero_copy_only=False)] = flat.field("n").to_numpy(zero_copy_only=False)
         return batch.column("context").to_numpy(zero_copy_only=False), counts
 
-    share = {r["class"]: r["n"] for r in cells.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # a row per class at most
-    prior = np.array([share.get(i, 0) + 1.0 for i in range(k)])
+    share = contexts.select(F.explode("next").alias("x")).groupBy("x.class").agg(F.sum("x.n").alias("n")).collect()  # a row per class
+    prior = np.ones(k)
+    for r in share:
+        prior[r["class"]] += r["n"]
     prior /= prior.sum()
 
-    def partial(weights: np.ndarray | None):
+    def gradient(weights: np.ndarray | None):
         def sums(batches):
             total, size = np.zeros((config.rows, k)), np.zeros(config.rows)
             for batch in batches:
@@ -151,108 +291,149 @@ def train_classes(docs: DataFrame, top: list[bytes], config: LmConfig, scratch:
                     np.add.at(total, rows[:, 3], np.log((counts + config.shrink * prior) / (n + config.shrink)) - np.log(prior))
                     np.add.at(size, rows[:, 3], 1.0)
                     continue
-                gradient = counts - n * np.exp(log_softmax(weights[rows].sum(axis=1)))
+                each = counts - n * np.exp(log_softmax(weights[rows].sum(axis=1)))
                 for j in range(rows.shape[1]):
-                    np.add.at(total, rows[:, j], gradient)
+                    np.add.at(total, rows[:, j], each)
                     np.add.at(size, rows[:, j], n[:, 0])
             touched = np.flatnonzero(size)
             if len(touched):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(touched, pa.int32()), pa.array(size[touched], pa.float64()), pa.array([total[i].tobytes() for i in touched], pa.binary())], names=["row", "size", "total"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int32()), pa.array(size[touched]), pa.array([total[i].tobytes() for i in touched], pa.binary())], names=["row", "size", "total"])
+
+        def by_row(table: pa.Table) -> pa.Table:
+            """Sums of the rows of one part of the table."""
+            row = table.column("row").to_numpy()
+            kept, place = np.unique(row, return_inverse=True)
+            total = np.zeros((len(kept), k))
+            np.add.at(total, place, np.stack([np.frombuffer(x, np.float64) for x in table.column("total").to_pylist()]))
+            return pa.table({"row": kept, "size": np.bincount(place, table.column("size").to_numpy()), "total": pa.array([t.tobytes() for t in total], pa.binary())})
 
         total, size = np.zeros((config.rows, k)), np.zeros(config.rows)
-        for r in contexts.mapInArrow(sums, "row int, size double, total binary").toLocalIterator():  # at most rows per partition of eight
-            total[r["row"]] += np.frombuffer(r["total"])
-            size[r["row"]] += r["size"]
+        summed = contexts.mapInArrow(sums, "row int, size double, total binary").groupBy((F.col("row") % 64).alias("g")).applyInArrow(by_row, "row int, size double, total binary")
+        for r in summed.toLocalIterator():  # config.rows rows at most
+            total[r["row"]], size[r["row"]] = np.frombuffer(r["total"]), r["size"]
         return total, size
 
     weights = np.zeros((config.rows, k))
-    total, size = partial(None)
+    total, size = gradient(None)
     weights += total / np.maximum(size, 1.0)[:, None]
     weights[features(np.zeros(1, np.int64), config)[0, 0]] += np.log(prior)
     for step in range(config.rounds):
-        total, size = partial(weights)
+        total, size = gradient(weights)
         weights += config.rate / (1 + step) / 4 * total / (np.maximum(size, 1.0)[:, None] * prior + config.shrink)
     every = np.arange(k * k)
-    return np.concatenate([log_softmax(weights[features(part, config)].sum(axis=1)) for part in np.array_split(every, 16)]) / np.log(10)
+    return np.concatenate([log_softmax(weights[features(part, config)].sum(axis=1)) for part in np.array_split(every, 16)])
+
+
+@dataclass(frozen=True)
+class LmModel:
+    """What scoring needs beside the counts of words, pairs and triples."""
+
+    total: int  #: training tokens
+    distinct: int  #: distinct ones
+    texts: int  #: training texts
+    log_sizes: np.ndarray  #: of a class: log of its tokens, words and one for unknown ones
+    log_class: np.ndarray  #: log probability of a class, by context
+    strength: np.ndarray  #: prior weights of the pair and the triple feature
+
+
+def _requests(units: DataFrame) -> DataFrame:
+    return units.where(F.col("kind").isin(_WORDS, _PAIRS, _TRIPLES)).select("unit", "kind", "part", "n", "blob")
+
+
+def fit_lm(units: DataFrame, config: LmConfig, scratch: Scratch) -> LmModel:
+    words = np.zeros((2, config.classes))
+    asked = _requests(units).where(F.col("kind") == _WORDS)
+    for r in asked.groupBy("part").applyInArrow(_vocabulary(config), "class int, n long, v long").groupBy("class").agg(F.sum("n"), F.sum("v")).collect():  # a row per class
+        words[:, r[0]] = r[1], r[2]
+    total, distinct = (int(x) for x in words.sum(axis=1))
+    w, kb, kt = (x or 0.0 for x in units.where("log_k IS NOT NULL").agg(*(F.sum(F.get("log_k", F.lit(i))) for i in range(3))).first())
+    strength = np.exp(np.array([kb, kt]) / w) if w else np.array([50.0, 2.0])
+    # Class 0 is the end token, once a text.
+    return LmModel(total, distinct, int(words[0, 0]), np.log(words.sum(axis=0) + 1), train_classes(units, config, scratch), strength)
+
+
+def tokenised(docs: DataFrame, id_col: str, text_col: str, config: LmConfig, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """The written units of the rows, the bits of an n-gram's row, and the number of parts of the counts."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (crc_mod(id_col, 7) == 2).alias("held_out"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(44, max(30, int(n_bytes).bit_length() + config.spare_bits))
+    n_parts = max(1, -(-n_bytes // config.part_bytes))
+    id_type = rows.schema["id"].dataType
+    schema = f"unit long, kind int, part long, n long, blob binary, log_k array<double>, ids array<{id_type.simpleString()}>, held array<boolean>, sizes array<long>"
+    return scratch.save(rows.mapInArrow(_gather(config, bits, n_parts, to_arrow_type(id_type)), schema), "units"), bits, n_parts
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: LmConfig = LmConfig()) -> DataFrame:
     """Scores of whole texts under a unigram base and a maximum-entropy model, both learnt from the training rows.
 
-    The model factors a token's probability into that of its class, given
-    hashed n-gram and skip features of the two classes before it, and that of
-    the word within its class, which has counts plus one over the class and
-    one unit for all unknown words. Both factors are normalised.
-
-    Training rows have crc32(identifier as text) mod 7 other than 2. Word
-    counts, the vocabulary and the gradient cover all of them. Texts are
-    dealt into blocks of about 16 MB; a block gets the counts of its own words
-    by a join and is scored with numpy.
+    The model is log-linear in hashed features. A softmax over classes of
+    tokens has n-gram and skip features of the two classes before and is
+    trained by gradient updates; a word within its class has its count plus
+    one, and one unit is for unknown words. Features of the actual words, the
+    pair with the word before and the triple with the two before, are hashed
+    into rows whose number grows with the corpus; the weights of a feature and
+    of its context are those that turn a lower probability p into
+    (count + k p) / (context count + k), so that the model stays normalised
+    without a sum over words. k is trained by gradient updates in every unit,
+    over all training tokens, and averaged.
+
+    Training rows have crc32(identifier as text) mod 7 other than 2. Texts are
+    tokenised once, in units of about 16 MB, and written as numbers; a unit
+    asks for the counts that other units have of its words, pairs and triples,
+    and is scored with numpy.
 
     Returns one row per input row: identifier, held_out, n_tokens, n_known,
     train_tokens, base_score, score. Null and empty texts have the end token
     only. A null identifier's text counts as empty for crc32. Without training
     rows all words are unknown. Repeated rows are scored (and learnt) each.
+    Words are known by 64-bit keys (57 bits of a hash, and the class).
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (crc_mod(id_col, 7) == 2).alias("held_out"))
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-n_bytes // config.block_bytes))
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
-
-    own = scratch.save(blocked.select("block", "text", "held_out").groupBy("block").applyInArrow(_block_words, "block long, word binary, n long"), "own")
-    counts = scratch.save(own.groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    known = counts.where("n > 0")
-    total, distinct = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = [bytes(r["word"]) for r in known.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(config.top).collect()]
-
-    def class_sums(batches):
-        classes, n, v = Classes(top, config), np.zeros(config.classes, np.int64), np.zeros(config.classes, np.int64)
-        for batch in batches:
-            own = np.array([classes(w) for w in batch.column("word").to_pylist()], np.int64)
-            n += np.bincount(own, batch.column("n").to_numpy(), config.classes).astype(np.int64)
-            v += np.bincount(own, minlength=config.classes)
-        yield pa.RecordBatch.from_arrays([pa.array(range(config.classes), pa.int32()), pa.array(n), pa.array(v)], names=["class", "n", "v"])
-
-    sizes = np.ones(config.classes)
-    for r in known.mapInArrow(class_sums, "class int, n long, v long").groupBy("class").agg((F.sum("n") + F.sum("v")).alias("n")).collect():  # a row per class
-        sizes[r["class"]] += r["n"]
-    log_class = train_classes(docs, top, config, scratch)
-    k, log_base, log_sizes = config.classes, np.log10(total + distinct + 1), np.log10(sizes)
-
-    def score(texts: pa.Table, dictionary: pa.Table) -> pa.Table:
-        words = dictionary.column("word").to_pylist()
-        n = dictionary.column("total").to_numpy()
-        index = {w: i for i, w in enumerate(words)}
-        classes = Classes(top, config)
-        own_class = np.fromiter(map(classes, words), np.int64, len(words))
-        log_n = np.log10(n + 1.0)
-        log_word = log_n - log_sizes[own_class]
-        rows = []
-        for batch in texts.to_batches():
-            for text in _texts(batch, "text"):
-                own = tokens(text)
-                own.append(END)
-                ids = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
-                seq = np.concatenate([[0, 0], own_class[ids]])
-                rows.append((len(ids), int((n[ids] > 0).sum()), float(log_n[ids].sum() - len(ids) * log_base), float(log_class[seq[:-2] * k + seq[1:-1], seq[2:]].sum() + log_word[ids].sum())))
-        n_tokens, n_known, base, full = zip(*rows)
+    scratch = Scratch(docs.sparkSession, "lm")
+    units, bits, n_parts = tokenised(docs, id_col, text_col, config, scratch)
+    model = fit_lm(units, config, scratch)
+    id_type = docs.schema[id_col].dataType
+    k, log_base = config.classes, np.log10(model.total + model.distinct + 1)
+
+    def score(stream: pa.Table, found: pa.Table) -> pa.Table:
+        row = stream.to_pylist()[0]
+        held, own_sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
+        first = np.cumsum(own_sizes) - own_sizes
+        train = np.repeat(~held, own_sizes)
+        replies = {kind: [] for kind in (_WORDS, _PAIRS, _TRIPLES)}
+        own_words = []
+        for kind, n, blob, own in zip(*(found.column(c).to_pylist() for c in ("kind", "n", "blob", "own"))):
+            (own_words if own else replies[kind]).append(unpack_counts(blob, n))
+        words = np.sort(np.concatenate([x for x, _ in own_words]))
+        at = unpack(row["blob"], row["n"])[0].astype(np.int64)
+        keys = words[at]
+
+        def counts(kind, distinct, place):
+            n = np.bincount(place, train, len(distinct))
+            for more, m in replies[kind]:
+                n[np.searchsorted(distinct, more)] += m
+            return n[place]
+
+        pairs, triples = ngram_keys(keys, first, bits)
+        n, pair, triple = counts(_WORDS, words, at), counts(_PAIRS, *grouped(pairs, bits)), counts(_TRIPLES, *grouped(triples, bits))
+        own = (keys & _CLASS_BITS).astype(np.int64)
+        context = before(own, first, 2, 0) * k + before(own, first, 1, 0)
+        p = np.exp(model.log_class[context, own] + np.log(n + 1) - model.log_sizes[own])
+        _, p = chain(p, pair, before(n, first, 1, model.texts), triple, before(pair, first, 1, model.texts), model.strength)
         return pa.table(
             {
-                id_col: texts.column("id"),
-                "held_out": texts.column("held_out"),
-                "n_tokens": pa.array(n_tokens, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
-                "train_tokens": pa.array([total] * len(rows), pa.int64()),
-                "base_score": pa.array(base, pa.float64()),
-                "score": pa.array(full, pa.float64()),
+                id_col: pa.array(row["ids"], to_arrow_type(id_type)),
+                "held_out": pa.array(held),
+                "n_tokens": pa.array(own_sizes),
+                "n_known": pa.array(np.add.reduceat(n > 0, first, dtype=np.int64)),
+                "train_tokens": pa.array(np.full(len(first), model.total, np.int64)),
+                "base_score": pa.array(np.add.reduceat(np.log10(n + 1) - log_base, first)),
+                "score": pa.array(np.add.reduceat(np.log10(p), first)),
             }
         )
 
-    dictionary = own.select("block", "word").join(counts.withColumnRenamed("n", "total"), "word").select("block", "word", "total")
-    id_type = blocked.schema["id"].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(score, schema)
+    asked = _requests(units)
+    elsewhere = asked.repartition(3 * n_parts, "part").groupBy("part").applyInArrow(_elsewhere, "unit long, kind int, n long, blob binary").withColumn("own", F.lit(False))
+    found = elsewhere.unionByName(asked.where(F.col("kind") == _WORDS).select("unit", "kind", "n", "blob", F.lit(True).alias("own")))
+    streams = units.where(F.col("kind") == _STREAM).select("unit", "n", "blob", "ids", "held", "sizes")
+    out = f"`{id_col}` {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return streams.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(score, out)
