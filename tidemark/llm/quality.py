@@ -9,28 +9,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, slices, utf8, word_hashes, word_spans
+from tidemark.llm.common import crc_mod, mix64, slices, utf8, word_hashes, word_spans
 
 #: Classes of bytes whose shares describe a passage.
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\t\n\r\v\f", ".,;:", "!", "?", "|", "#$%&*", "\"'()-/"]
 _BYTE_CLASS = np.full(256, len(_CLASSES), np.int64)
 for _i, _chars in enumerate(_CLASSES):
     _BYTE_CLASS[list(_chars.encode())] = _i
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_CLASS[128:192] = len(_CLASSES) + 1
 _BYTE_CLASS[192:] = len(_CLASSES) + 2
 _N_BYTES = len(_CLASSES) + 3
 #: Further features: word length, share of words equal to the one before, share of distinct words, words, capitalised shares.
-N_FEATURES = _N_BYTES + 5
+_N_SHAPE = _N_BYTES + 5
+#: Hashed features of a passage's words and word pairs.
+_N_HASHED = 256
+N_FEATURES = _N_SHAPE + _N_HASHED
 
 
 @dataclass(frozen=True)
 class QualityConfig:
     passage_words: int = 64
     sample_docs: int = 6000  #: labelled documents to learn from, at most
+    sample_passages: int = 48  #: passages of each of them, at most, evenly spaced over the whole text
     hidden: int = 16
-    epochs: int = 250
+    epochs: int = 150
     rate: float = 0.02
-    decay: float = 1e-4
+    decay: float = 1e-3
+    hashed_scale: float = 10.0
     threshold: float = 0.3
     seed: int = 11
     slice_bytes: int = 4 << 20
@@ -39,7 +45,9 @@ class QualityConfig:
 def encode_passages(data: np.ndarray, offsets: np.ndarray, passage_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage of the texts, and the first passage of each text (with the total at the end).
 
-    A passage is passage_words consecutive words with the white space that
+    Words and pairs of neighbouring words of a passage are hashed with a sign
+    into 256 sums, scaled by the root of their number; further features are
+    shares of byte classes and word statistics. A passage is passage_words consecutive words with the white space that
     follows them; a text without words is one passage.
     """
     n_docs = len(offsets) - 1
@@ -74,6 +82,12 @@ def encode_passages(data: np.ndarray, offsets: np.ndarray, passage_words: int) -
     x[:, _N_BYTES + 2] = np.bincount(passage[order], new, total) / per_word
     x[:, _N_BYTES + 3] = np.log1p(words) / 4
     x[:, _N_BYTES + 4] = np.bincount(passage, capital, total) / per_word
+    pairs = mix64(hashes[:-1] * _PAIR + hashes[1:])[passage[1:] == passage[:-1]] if len(hashes) else hashes
+    inside = passage[1:][passage[1:] == passage[:-1]] if len(hashes) else passage
+    every = np.concatenate([hashes, pairs])
+    cell = np.concatenate([passage, inside]) * _N_HASHED + (every >> np.uint64(56)).astype(np.int64)
+    sign = 1.0 - 2.0 * (every & np.uint64(1)).astype(np.float64)
+    x[:, _N_SHAPE:] = np.bincount(cell, sign, total * _N_HASHED).reshape(total, _N_HASHED) / np.sqrt(per_word)[:, None]
     return x.astype(np.float32), first
 
 
@@ -88,8 +102,8 @@ class GatedAttention:
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict:
         p, begin, n = self.p, first[:-1], np.diff(first)
-        z = (x - self.mean) / self.scale
-        h = np.tanh(z @ p["W"] + p["b"])
+        z = ((x - self.mean) / self.scale).astype(np.float32)
+        h = np.tanh(z @ p["W"].astype(np.float32) + p["b"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         e = (t * g) @ p["a"]
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, begin), n, axis=0))
@@ -99,9 +113,13 @@ class GatedAttention:
 
     def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, config: QualityConfig) -> None:
         """Full-batch Adam on the log loss."""
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+        self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
         n, p = np.diff(first), self.p
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+        # A single hashed sum is to count less than a statistic of the whole passage.
+        self.scale[_N_SHAPE:] *= config.hashed_scale
+        x = ((x - self.mean) / self.scale).astype(np.float32)
+        mean, scale, self.mean, self.scale = self.mean, self.scale, np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32)
         for step in range(1, config.epochs + 1):
             f = self.forward(x, first)
             d = ((f["score"] - y) / len(y))[:, None]
@@ -122,30 +140,35 @@ class GatedAttention:
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p[k] -= config.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        self.mean, self.scale = mean, scale
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, config: QualityConfig) -> GatedAttention:
     """A model of label_col, learnt from at most config.sample_docs labelled rows outside the held-out fold.
 
-    The sample is the rows of least hash, so reruns agree; its passages are
-    encoded in the tasks, and the driver gets their features alone.
+    The sample is the identifiers of least hash, so reruns agree; of several
+    rows of one, the least text counts, with the greatest label. Passages are
+    encoded in the tasks, and the driver gets the features of
+    config.sample_passages of each text at most.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 5) != 0))
     chosen = chosen.groupBy(F.col(id_col).alias("chosen")).agg(F.max(label_col).alias("label")).orderBy(F.xxhash64("chosen"), "chosen").limit(config.sample_docs)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("chosen")).dropDuplicates(["chosen"]).select(F.col("chosen").cast("string").alias("id"), text_col, F.col("label").cast("double").alias("label"))
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("chosen"))
+    rows = rows.groupBy("chosen").agg(F.min(F.coalesce(text_col, F.lit(""))).alias(text_col), F.max("label").alias("label"))
+    rows = rows.select(F.col("chosen").cast("string").alias("id"), text_col, F.col("label").cast("double").alias("label"))
 
     def encode(batches):
         for batch in batches:
-            x, first = encode_passages(*utf8(batch.column(text_col)), config.passage_words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["id", "label", "x"]
-            )
+            for part in slices(batch, text_col, config.slice_bytes):
+                x, first = encode_passages(*utf8(part.column(text_col)), config.passage_words)
+                bags = [x[a + np.arange(min(b - a, config.sample_passages)) * (b - a) // min(b - a, config.sample_passages)].tobytes() for a, b in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(bags, pa.binary())], names=["id", "label", "x"])
 
     found = sorted(rows.mapInArrow(encode, "id string, label double, x binary").collect(), key=lambda r: r["id"])  # config.sample_docs at most
     model = GatedAttention(config.hidden, config.seed)
     if found:
         bags = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in found]
-        model.fit(np.concatenate(bags).astype(np.float64), np.cumsum([0, *map(len, bags)]), np.array([r["label"] for r in found]), config)
+        model.fit(np.concatenate(bags), np.cumsum([0, *map(len, bags)]), np.array([r["label"] for r in found]), config)
     return model
 
 
