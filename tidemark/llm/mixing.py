@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import NOT_SPACE, Scratch
 
-#: Rows that one slice of a source's key order should hold.
-SLICE_ROWS = 20_000
+#: Rows of one slice of the key order.
+SLICE_ROWS = 50_000
 
 
 def text_quality(text: Column) -> Column:
@@ -71,8 +71,9 @@ def mix_sources(
     target is taken if more than half of it fits, so that a source misses its
     target by half a document at most.
 
-    Key order is cut into slices of equal expected size; a slice is the unit
-    of sorting, so no source has to fit one task.
+    The order of (source, key) is cut into slices of equal numbers of rows by
+    sampled splitters, whatever the weights are; a slice is the unit of
+    sorting, so no source has to fit one task.
 
     Returns one row per input row: identifier, source, size, source_size,
     target, taken, and the columns named in keep. Null text has size 0; null is a source of its own, the
@@ -82,7 +83,8 @@ def mix_sources(
     scratch = Scratch(spark, "mixing")
     text = F.coalesce(F.col(text_col), F.lit(""))
     quality = text_quality(F.col(text_col)) if quality is None else F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(1e-6))
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    unit = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     sized = scratch.save(
         docs.select(
             F.col(id_col).alias("id"),
@@ -94,19 +96,20 @@ def mix_sources(
         "sized",
     )
     targets = source_targets(sized, weights, budget, max_epochs)
-    counts = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    targets = targets.join(counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("t_source"), "source_size", "target", F.greatest(F.ceil(F.col("n") / SLICE_ROWS), F.lit(1)).alias("n_slices")
-    )
-    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    # 1 - exp(-key) grows with the key and spreads the keys over [0, 1).
-    rows = rows.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * F.col("n_slices")))
+    n_slices = max(1, -(-sized.count() // SLICE_ROWS))
+    order = [F.col(c).asc_nulls_last() for c in ("key", "id", "size", *keep)]
+    sliced = sized.repartitionByRange(n_slices, F.col("source").asc_nulls_last(), *order)
+    rows = scratch.save(sliced.withColumn("slice", F.spark_partition_id()), "sliced")
+    targets = targets.select(F.col("source").alias("t_source"), "source_size", "target")
+    # A row per source and slice.
     heights = rows.groupBy("source", "slice").agg(F.sum("size").alias("height"))
     below = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     heights = heights.select(F.col("source").alias("h_source"), F.col("slice").alias("h_slice"), F.coalesce(F.sum("height").over(below), F.lit(0)).alias("base"))
-    rows = rows.join(heights, F.col("source").eqNullSafe(F.col("h_source")) & (F.col("slice") == F.col("h_slice")))
-    within = Window.partitionBy("source", "slice").orderBy("key", "id", "size", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.col("base") + F.sum("size").over(within) - F.col("size")
+    heights = heights.join(targets, F.col("h_source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    within = Window.partitionBy("slice", "source").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("upto", F.sum("size").over(within))
+    rows = rows.join(heights, (F.col("slice") == F.col("h_slice")) & F.col("source").eqNullSafe(F.col("h_source")))
+    before = F.col("base") + F.col("upto") - F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(F.lit(0))
     rows = rows.withColumns({"before": before, "epochs": epochs})
     extra = (F.col("epochs") < max_epochs) & (F.col("before") + F.col("size") / 2 < F.col("target") - F.col("epochs") * F.col("source_size"))

@@ -110,6 +110,22 @@ def op10_suffix_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+q AS (SELECT *, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CASE WHEN length(text) > 0 THEN greatest(0.1::DOUBLE,
+        1.0::DOUBLE - (length(text) - length(translate(text, '!#$%&*|<>{}=+~^_@0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::DOUBLE / length(text)) ELSE 0.1::DOUBLE END AS quality FROM d),
+k AS (SELECT doc_id, source, size, -ln((CAST(('0x' || substr(md5('20260101|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / quality AS key FROM q),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM k GROUP BY source),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER w AS place, 1.5::DOUBLE * sum(source_size) OVER () AS goal, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+      FROM t WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST)),
+l AS (SELECT *, (goal - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / open_weight AS level FROM c),
+f AS (SELECT *, (SELECT level FROM l WHERE level * weight <= cap ORDER BY place LIMIT 1) AS found FROM l),
+g AS (SELECT source, source_size, CASE WHEN found IS NULL THEN cap ELSE least(cap, found * weight) END AS target FROM f),
+r AS (SELECT k.*, source_size, target, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before,
+             CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS epochs FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, source, size, source_size, target, CAST(size * (epochs + CAST(epochs < 2 AND before + size / 2 < target - epochs * source_size AS INTEGER)) AS BIGINT) AS taken FROM r
+"""
+
 #: Windows of 100 bytes as 200 hexadecimal digits, cut from blocks of 1,000 bytes so that long texts cost no more per byte.
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -138,4 +154,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_mixing": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
