@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clip, expit, logit
 from tidemark.operators.metrics import score_counts
+from tidemark.operators.ranks import exact_quantiles
 from tidemark.operators.reshape import widen_models
 
 #: Groups whose parameters a Newton step may send to the driver.
@@ -68,8 +69,8 @@ def calibration(df: DataFrame, by: list[str] = ("model_id",), outcome: str = "ou
 def calibration_bins(df: DataFrame, by: list[str] = ("model_id",), bins: int = 10, outcome: str = "outcome", score: str = "probability") -> DataFrame:
     """Observed and predicted risk in bins between the distinct quantiles of the scores; an edge belongs to the lower bin."""
     by = list(by)
-    qs = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = df.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile(score, qs))).alias("__edges"))
+    edges = exact_quantiles(df, by, score, [i / bins for i in range(bins + 1)])
+    edges = edges.select(*by, F.array_sort(F.array_distinct("quantiles")).alias("__edges"))
     inner = F.slice("__edges", 2, F.greatest(F.size("__edges") - 2, F.lit(0)))
     rows = df.join(edges, by).withColumn("risk_bin", F.size(F.filter(inner, lambda e: e < F.col(score))) + 1)
     return rows.groupBy(*by, "risk_bin").agg(

@@ -23,6 +23,17 @@ def bin_index(spec: WindowSpec, closed: str = "right") -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(spec.bins - 1), raw)).cast("int")
 
 
+def resolve_points(obs: DataFrame) -> DataFrame:
+    """(entity_key, variable, offset_h, value): of every time point the best source's value, the median where several remain.
+
+    Neither depends on a landmark, so points are resolved once, before they
+    are copied to the landmarks whose windows hold them.
+    """
+    point = ["entity_key", "variable", "offset_h"]
+    best = F.min("source_priority").over(Window.partitionBy(*point))
+    return obs.withColumn("best", best).where("source_priority = best").groupBy(*point).agg(F.median("value").alias("value"))
+
+
 def select_source(expanded: DataFrame, spec: WindowSpec, level: str = "timepoint") -> DataFrame:
     """The values of the best source (least source_priority) per time point or per bin; their median where several remain.
 
@@ -129,13 +140,11 @@ def longest_run(bins: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def trajectory_features(obs: DataFrame, spine: DataFrame, spec: WindowSpec, thresholds: DataFrame) -> DataFrame:
-    """All statistics of a window per (keys, variable), in one pass over the expanded observations.
+    """All statistics of a window per (keys, variable), in one pass over the resolved and expanded time points.
 
-    One shuffle brings a window's rows together; time points, bins, slopes
-    and runs follow from arrays that are as short as a window.
+    Bins, slopes and runs follow from arrays that are as short as a window.
     """
-    rows = joins.expand(obs, spec).join(spine.select(*KEYS), KEYS)
-    points = select_source(rows, spec)
+    points = joins.expand(resolve_points(obs), spec).join(spine.select(*KEYS), KEYS)
     binned = window_bins(points, spec)
     per_bin = F.array_sort(F.collect_list(F.struct(F.col("bin_midpoint_relative_h").alias("x"), F.col("bin_median").alias("y"), "bin_index")))
     q = F.percentile("bin_median", F.array(F.lit(0.25), F.lit(0.75)))

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.spec import WindowSpec
 
-#: Levels that complete() takes, at most.
-MAX_LEVELS = 1_000
-
 
 def grid_of(offset, spec: WindowSpec, lookback: float | None = None, delay: float = 0):
     """The landmarks t with t - lookback < offset <= t - delay, as an array; null where there is none."""
@@ -51,21 +48,38 @@ def near(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
     return a.join(b, [key, "__bucket"]).where(F.abs(F.col(left_time) - F.col(right_time)) <= tolerance).drop("__bucket")
 
 
-def in_range(df: DataFrame, events: DataFrame, key: str, low: str, high: str, event_time: str = "event_h", how: str = "left", low_closed: bool = False) -> DataFrame:
-    """df joined with the events of its key in (low, high] (or [low, high]); how: inner, left, left_semi or left_anti."""
-    e = events.withColumnRenamed(key, "__key")
-    after = e[event_time] >= df[low] if low_closed else e[event_time] > df[low]
-    joined = df.join(e, (df[key] == e["__key"]) & after & (e[event_time] <= df[high]), how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop("__key")
+def in_range(df: DataFrame, events: DataFrame, key: str, low: str, high: str, event_time: str = "event_h", how: str = "left", low_closed: bool = False, bucket: float = 24) -> DataFrame:
+    """df joined with the events of its key in (low, high] (or [low, high]); how: inner, left, left_semi or left_anti.
+
+    Time is cut into buckets: a row goes to the few that its range touches, an
+    event to its own, and they meet by key and bucket, so a key with many rows
+    and events is spread over its buckets and makes no pairs that are far
+    apart. left, left_semi and left_anti join rows back by all their columns.
+    """
+    at = lambda c: F.floor(F.col(c) / bucket)
+    spread = df.withColumn("__bucket", F.explode(F.when(at(low) <= at(high), F.sequence(at(low), at(high)))))
+    e = events.withColumnRenamed(key, "__key").withColumn("__at", at(event_time))
+    after = e[event_time] >= spread[low] if low_closed else e[event_time] > spread[low]
+    met = (spread[key] == e["__key"]) & (spread["__bucket"] == e["__at"]) & after & (e[event_time] <= spread[high])
+    extra = [c for c in events.columns if c != key]
+    if how == "inner":
+        return spread.join(e, met).select(*df.columns, *extra)
+    hits = spread.join(e, met, "left_semi").select(*(F.col(c).alias(f"__h_{c}") for c in df.columns)).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"__h_{c}")) for c in df.columns]
+    if how in ("left_semi", "left_anti"):
+        return df.join(hits, same, how)
+    alone = df.join(hits, same, "left_anti").select(*df.columns, *(F.lit(None).cast(events.schema[c].dataType).alias(c) for c in extra))
+    return spread.join(e, met).select(*df.columns, *extra).unionByName(alone)
 
 
 def complete(spine: DataFrame, levels: DataFrame, counts: DataFrame, on: list[str], value: str) -> DataFrame:
-    """Every spine row with every level, with its count or 0. levels is a short list of names."""
-    names = [tuple(r) for r in levels.distinct().limit(MAX_LEVELS + 1).collect()]
-    if len(names) > MAX_LEVELS:
-        raise ValueError("levels is no short list")
-    cells = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(r, levels.columns))) for r in names))
-    every = spine.withColumn("__level", F.explode(cells)).select(*spine.columns, *(F.col("__level")[c].alias(c) for c in levels.columns))
+    """Every spine row with every level, with its count or 0.
+
+    The levels' names travel as one array on the spine's rows, so their number
+    is that of a list of categories.
+    """
+    every = levels.distinct().agg(F.collect_list(F.struct(*levels.columns)).alias("__levels"), F.lit(1).alias("__one"))
+    every = spine.withColumn("__one", F.lit(1)).join(every, "__one").withColumn("__level", F.explode("__levels")).select(*spine.columns, *(F.col("__level")[c].alias(c) for c in levels.columns))
     return every.join(counts, on, "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Score buckets of the two-level prefix sums.
-BUCKETS = 1024
+from tidemark.operators.ranks import running
+
 #: Machine epsilon of double, the clip of the log loss.
 EPS = 2.220446049250313e-16
 METRICS = ["auroc", "auprc", "brier", "logloss"]
@@ -23,19 +23,9 @@ def score_counts(df: DataFrame, outcome: str, score: str, weight: str | None = N
 
 
 def ranked(counts: DataFrame, by: list[str] = ()) -> DataFrame:
-    """counts with cum_tp and cum_fp, the weight at this score or above.
-
-    Scores in [0, 1] are cut into buckets: sums per bucket are few and take
-    one window, and a second window runs within each bucket, so no group of
-    scores has to fit one task.
-    """
-    rows = counts.withColumn("bucket", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")) * BUCKETS))
-    sums = rows.groupBy(*by, "bucket").agg(F.sum("tp").alias("b_tp"), F.sum("fp").alias("b_fp"))
-    above = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*by, "bucket", F.coalesce(F.sum("b_tp").over(above), F.lit(0.0)).alias("base_tp"), F.coalesce(F.sum("b_fp").over(above), F.lit(0.0)).alias("base_fp"))
-    inside = Window.partitionBy(*by, "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(sums, [*by, "bucket"])
-    return rows.withColumns({"cum_tp": F.col("base_tp") + F.sum("tp").over(inside), "cum_fp": F.col("base_fp") + F.sum("fp").over(inside)}).drop("bucket", "base_tp", "base_fp")
+    """counts with cum_tp and cum_fp, the weight at this score or above."""
+    rows = running(counts, list(by), "score", ["tp", "fp"], descending=True)
+    return rows.withColumnsRenamed({"upto_tp": "cum_tp", "upto_fp": "cum_fp"}).drop("total_tp", "total_fp")
 
 
 def metrics_of(counts: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -47,6 +47,10 @@ def _(spark, d):
     return rounded(expanded(spark, d).groupBy(*features.GROUP).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("offset_h").alias("first_h")))
 
 
+def _points(spark, d):
+    return spine.expand_to_landmarks(features.resolve_points(observations(spark, d)), landmarks(spark, d), SPEC)
+
+
 _BEST = WOBS + """, best AS (SELECT entity_key, landmark_h, variable, offset_h, median(value) AS value FROM
   (SELECT *, min(source_priority) OVER (PARTITION BY entity_key, landmark_h, variable, offset_h) AS b FROM wobs) WHERE source_priority = b GROUP BY ALL)"""
 _BINS = _BEST + """, bins AS (SELECT entity_key, landmark_h, variable, CAST(greatest(0, least(5, ceil((offset_h - (landmark_h - 168)) / 28) - 1)) AS INTEGER) AS bin_index, median(value) AS bin_median
@@ -55,7 +59,7 @@ _BINS = _BEST + """, bins AS (SELECT entity_key, landmark_h, variable, CAST(grea
 
 @query("h05_source_priority_timepoint", f"WITH {_BEST} SELECT entity_key, landmark_h, variable, round(offset_h, 6) AS offset_h, round(value, 6) AS value FROM best")
 def _(spark, d):
-    return rounded(features.select_source(expanded(spark, d), SPEC))
+    return rounded(_points(spark, d))
 
 
 @query("h06_source_priority_bin", f"""WITH {WOBS}, b AS (SELECT *, CAST(greatest(0, least(5, ceil((offset_h - (landmark_h - 168)) / 28) - 1)) AS INTEGER) AS bin_index FROM wobs)
@@ -67,7 +71,7 @@ def _(spark, d):
 
 @query("h07_window_bins", f"WITH {_BINS} SELECT entity_key, landmark_h, variable, bin_index, round(bin_median, 6) AS bin_median, CAST(-154 + 28 * bin_index AS DOUBLE) AS bin_midpoint_relative_h FROM bins")
 def _(spark, d):
-    return rounded(features.window_bins(features.select_source(expanded(spark, d), SPEC), SPEC))
+    return rounded(features.window_bins(_points(spark, d), SPEC))
 
 
 @query("h08_global_bins", f"""WITH {SPINE}, g AS (SELECT entity_key, variable, CAST(ceil(offset_h / 24) * 24 AS BIGINT) AS bin_end_h, median(value) AS bin_median, count(value) AS measurement_count,
@@ -89,27 +93,27 @@ _RUNS = """rn AS (SELECT entity_key, landmark_h, variable, coalesce(max(n) FILTE
 
 @query("h09_level_stats", f"WITH {_BINS}, {_LEVELS} SELECT entity_key, landmark_h, variable, nonempty_bin_count, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max, round(sd, 6) AS sd, round(iqr, 6) AS iqr FROM lv")
 def _(spark, d):
-    return rounded(features.level_stats(features.window_bins(features.select_source(expanded(spark, d), SPEC), SPEC)))
+    return rounded(features.level_stats(features.window_bins(_points(spark, d), SPEC)))
 
 
 @query("h10_theil_sen", f"WITH {_BINS}, {_LEVELS}, {_SLOPES} SELECT entity_key, landmark_h, variable, round(CASE WHEN nonempty_bin_count >= 4 THEN slope END, 9) AS theilsen_slope FROM lv LEFT JOIN sl USING (entity_key, landmark_h, variable)")
 def _(spark, d):
-    return rounded(features.theil_sen(features.window_bins(features.select_source(expanded(spark, d), SPEC), SPEC)), 9)
+    return rounded(features.theil_sen(features.window_bins(_points(spark, d), SPEC)), 9)
 
 
 @query("h11_point_stats", f"WITH {_BEST} SELECT entity_key, landmark_h, variable, count(value) AS measurement_count, round(arg_max(value, offset_h), 6) AS latest_value, round(max(offset_h), 6) AS latest_offset_h FROM best GROUP BY ALL")
 def _(spark, d):
-    return rounded(features.point_stats(features.select_source(expanded(spark, d), SPEC)))
+    return rounded(features.point_stats(_points(spark, d)))
 
 
 @query("h12_abnormal_burden", f"WITH {_BINS}, {TH}, {_FLAGS} SELECT entity_key, landmark_h, variable, round(avg(CAST(abnormal AS INTEGER)), 6) AS abnormal_prop FROM fl GROUP BY ALL")
 def _(spark, d):
-    return rounded(features.abnormal_burden(features.window_bins(features.select_source(expanded(spark, d), SPEC), SPEC), thresholds(spark)))
+    return rounded(features.abnormal_burden(features.window_bins(_points(spark, d), SPEC), thresholds(spark)))
 
 
 @query("h13_longest_run", f"WITH {_BINS}, {TH}, {_FLAGS}, {_RUNS} SELECT * FROM rn")
 def _(spark, d):
-    return features.longest_run(features.window_bins(features.select_source(expanded(spark, d), SPEC), SPEC), thresholds(spark))
+    return features.longest_run(features.window_bins(_points(spark, d), SPEC), thresholds(spark))
 
 
 _TRAJECTORY = f"""{_BINS}, {TH}, {_LEVELS}, {_SLOPES}, {_FLAGS}, {_RUNS},

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import sources
-from tidemark.functions import clip, distinct_list, earliest, expit, finite, hash_fold, latest, logit, ordinal_level, pattern_of, quantiles, ratio, seconds_between, some, strict_double
+from tidemark.functions import clip, distinct_list, earliest, expit, finite, hash_fold, latest, logit, ordinal_level, pattern_of, ratio, seconds_between, some, strict_double
 from tidemark.operators import joins, matrix, metrics, quality, reshape
+from tidemark.operators.ranks import exact_quantiles
 from tidemark.plans.base import COHORT, HASH_FOLD, OBS, SPEC, SPINE, WOBS, cohort, landmarks, observations, query, rounded, table, work_path
 from tidemark.spec import KEYS, WindowSpec
 
@@ -236,15 +237,17 @@ def _(spark, d):
   round(avg(CAST(l_discount > 0.02 AS INTEGER)), 6) AS discounted, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS lines, count(*) || ' rows' AS detail, round(sum(l_quantity * l_tax) / sum(l_quantity), 6) AS weighted_tax
 FROM lineitem GROUP BY ALL""")
 def _(spark, d):
-    q = quantiles("l_extendedprice", 0.25, 0.75)
+    rows, by = table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]
+    mid = exact_quantiles(rows, by, "l_quantity", [0.5]).select(*by, F.get("quantiles", F.lit(0)).alias("mid"))
+    spread = exact_quantiles(rows, by, "l_extendedprice", [0.25, 0.75]).select(*by, F.round(F.get("quantiles", F.lit(1)) - F.get("quantiles", F.lit(0)), 4).alias("iqr"))
     return rounded(
-        table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+        rows.groupBy(*by).agg(
             F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("qty"), F.round(F.avg("l_extendedprice"), 4).alias("price"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"),
             F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct(F.struct("l_suppkey", "l_linenumber")).alias("pairs"), F.count_distinct(F.when(F.col("l_tax") > 0.04, F.col("l_partkey"))).alias("taxed_parts"),
-            F.median("l_quantity").alias("mid"), F.round(q[1] - q[0], 4).alias("iqr"), F.when(F.count(F.lit(1)) >= 2, F.stddev_samp("l_discount")).alias("sd"), F.round(F.sum(F.when(F.col("l_discount") > 0.05, F.col("l_quantity"))), 4).alias("promo_qty"),
+            F.when(F.count(F.lit(1)) >= 2, F.stddev_samp("l_discount")).alias("sd"), F.round(F.sum(F.when(F.col("l_discount") > 0.05, F.col("l_quantity"))), 4).alias("promo_qty"),
             F.count_if(F.col("l_tax") == 0).alias("untaxed"), F.bool_or(F.col("l_quantity") > 49).alias("any_large"), F.bool_and(F.col("l_quantity") > 0).alias("all_positive"), F.avg((F.col("l_discount") > 0.02).cast("int")).alias("discounted"),
             distinct_list("l_linenumber").alias("lines"), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" rows")).alias("detail"), (F.sum(F.col("l_quantity") * F.col("l_tax")) / F.sum("l_quantity")).alias("weighted_tax"),
-        )
+        ).join(mid, by).join(spread, by)
     )
 
 
@@ -256,13 +259,14 @@ def _(spark, d):
 @query("d13_two_level", "SELECT event_type, round(median(m), 6) AS median_of_medians FROM (SELECT event_type, user_id, median(value) AS m FROM events GROUP BY ALL) GROUP BY ALL")
 def _(spark, d):
     per_user = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.median("value").alias("m"))
-    return rounded(per_user.groupBy("event_type").agg(F.median("m").alias("median_of_medians")))
+    return rounded(exact_quantiles(per_user, ["event_type"], "m", [0.5]).select("event_type", F.get("quantiles", F.lit(0)).alias("median_of_medians")))
 
 
 @query("d14_named_quantiles", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.025), 6) AS low, round(quantile_cont(l_quantity, 0.975), 6) AS high, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY ALL")
 def _(spark, d):
-    q = quantiles("l_quantity", 0.025, 0.975)
-    return rounded(table(spark, d, "lineitem").groupBy("l_returnflag").agg(q[0].alias("low"), q[1].alias("high"), F.count_distinct("l_orderkey").alias("n_orders")))
+    rows = table(spark, d, "lineitem")
+    q = exact_quantiles(rows, ["l_returnflag"], "l_quantity", [0.025, 0.975]).select("l_returnflag", F.get("quantiles", F.lit(0)).alias("low"), F.get("quantiles", F.lit(1)).alias("high"))
+    return rounded(q.join(rows.groupBy("l_returnflag").agg(F.count_distinct("l_orderkey").alias("n_orders")), "l_returnflag"))
 
 
 @query("d16_d17_crosstab", "WITH c AS (SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice > 450000) SELECT a.o_orderstatus, b.o_orderpriority, count(c.o_orderstatus) AS n FROM (SELECT DISTINCT o_orderstatus FROM c) a CROSS JOIN (SELECT DISTINCT o_orderpriority FROM c) b LEFT JOIN c ON c.o_orderstatus = a.o_orderstatus AND c.o_orderpriority = b.o_orderpriority GROUP BY ALL")
