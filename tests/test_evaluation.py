@@ -171,7 +171,7 @@ def test_bootstrap_weights_and_intervals(spark):
     df, p, y = preds(spark)
     weights = bootstrap.cluster_weights(df, "cluster_key", range(5), 3)
     assert {r["sum"] for r in weights.groupBy("replicate").agg(F.sum("weight").alias("sum")).collect()} == {8}
-    ci = {r.metric: r for r in bootstrap.percentile_ci(bootstrap.bootstrap(df, [("m1", "m2")], replicates=40, seed=3, batch=20)).collect()}
+    ci = {r.metric: r for r in bootstrap.percentile_ci(bootstrap.bootstrap(df, [("m1", "m2")], replicates=40, seed=3)).collect()}
     point = metrics.ranking_metrics(df.where("model_id = 'm1'")).first()
     assert ci["auroc"].replicates == 40 and ci["auroc"].reference_low <= point.auroc <= ci["auroc"].reference_high
     assert ci["auroc"].difference_low == pytest.approx(0, abs=0.02)

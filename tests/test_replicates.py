@@ -1,4 +1,4 @@
-"""The registered bootstraps draw 1,000 replicates; written batches equal unwritten ones."""
+"""The registered bootstraps draw 1,000 replicates, each equal to weighted metrics."""
 
 from __future__ import annotations
 
@@ -6,20 +6,27 @@ import inspect
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_evaluation import preds
 from tidemark import plans
-from tidemark.operators import bootstrap
+from tidemark.operators import bootstrap, metrics
 from tidemark.plans import evaluation
 
 DATA = "/root/testdata/sf0.001"
 
 
-def test_written_batches_equal_unwritten(spark, tmp_path):
+def test_replicates_equal_weighted_metrics(spark):
+    """Every replicate's metrics are those of the rows weighted by its draws."""
     df, _, _ = preds(spark)
-    run = lambda **kw: sorted(map(tuple, bootstrap.bootstrap(df, [("m1", "m2")], replicates=4, seed=3, batch=2, **kw).select("replicate", "metric", "difference").collect()))
-    plain, written = run(), run(scratch=f"{tmp_path}/r")
-    assert [x[:2] for x in plain] == [x[:2] for x in written] and [x[2] for x in plain] == pytest.approx([x[2] for x in written])
+    df = df.withColumn("part", F.col("landmark_h") % 8)
+    got = {(r.replicate, r.part, r.metric): (r.reference, r.candidate) for r in bootstrap.bootstrap(df, [("m1", "m2")], replicates=3, seed=3, by=["part"]).collect()}
+    weights = bootstrap.cluster_weights(df, "cluster_key", range(3), 3)
+    want = metrics.ranking_metrics(df.join(weights, "cluster_key"), weight="weight", by=["model_id", "part", "replicate"]).collect()
+    assert len(got) == 4 * len(want) // 2
+    for r in want:
+        for m in metrics.METRICS:
+            assert got[r.replicate, r.part, m][r.model_id == "m2"] == pytest.approx(r[m], rel=1e-9)
 
 
 def test_replicates_are_the_default():

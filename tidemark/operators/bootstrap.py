@@ -4,49 +4,116 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.metrics import long_metrics, metrics_of, score_counts
+from tidemark.operators.metrics import EPS, METRICS, score_counts
+from tidemark.operators.ranks import with_bucket
+
+#: Rows of a slice that are weighted at a time.
+CHUNK = 1024
 
 
 def cluster_weights(clusters: DataFrame, cluster: str, replicates: range, seed: int) -> DataFrame:
     """(replicate, cluster, weight > 0): how often each replicate draws a cluster, n draws from n with replacement.
 
-    A draw is a hash of seed, replicate and its number, so any executor makes
-    the same draws, and models and comparisons share them.
+    A draw is the MD5 of seed, replicate and its number, so any executor makes
+    the same draws, and models and comparisons share them. Clusters are
+    numbered by one window over a row per cluster.
     """
     numbered = clusters.select(cluster).distinct().withColumn("no", F.row_number().over(Window.orderBy(cluster)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
     draws = numbered.select("n", "no", F.explode(F.sequence(F.lit(replicates.start), F.lit(replicates.stop - 1))).alias("replicate"))
-    draws = draws.select("replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "no"), F.col("n")).alias("no"))
-    weights = draws.groupBy("replicate", "no").agg(F.count(F.lit(1)).alias("weight"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "replicate", "no")), 1, 13), 16, 10).cast("long")
+    weights = draws.select("replicate", (number % F.col("n")).cast("int").alias("no")).groupBy("replicate", "no").agg(F.count(F.lit(1)).alias("weight"))
     return weights.join(numbered.drop("n"), "no").select("replicate", cluster, "weight")
 
 
-def bootstrap(predictions: DataFrame, pairs: list[tuple[str, str]], cluster: str = "cluster_key", replicates: int = 1000, seed: int = 20260101, by: list[str] = (), batch: int = 50, scratch: str | None = None) -> DataFrame:
+def _columns(table: pa.Table, replicates: int):
+    """Score, positives, negatives and the matrix of replicate weights of a slice's rows, by falling score, in chunks of whole scores."""
+    score = table.column("score").to_numpy()
+    order = np.argsort(-score, kind="stable")
+    table, score = table.take(pa.array(order)), score[order]
+    tp, fp = table.column("tp").to_numpy(), table.column("fp").to_numpy()
+    drawn = table.column("drawn").combine_chunks()
+    at = drawn.offsets.to_numpy()
+    who, weight = (drawn.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+    at = at - at[0]
+    ends = np.append(np.flatnonzero(np.diff(score)) + 1, len(score))
+    start = 0
+    while start < len(score):
+        stop = int(ends[min(np.searchsorted(ends, start + CHUNK), len(ends) - 1)])
+        w = np.zeros((stop - start, replicates))
+        rows = np.repeat(np.arange(stop - start), np.diff(at[start : stop + 1]))
+        w[rows, who[at[start] : at[stop]]] = weight[at[start] : at[stop]]
+        head = np.flatnonzero(np.diff(score[start:stop], prepend=np.inf))
+        yield score[start:stop][head], np.add.reduceat(w * tp[start:stop, None], head), np.add.reduceat(w * fp[start:stop, None], head)
+        start = stop
+
+
+_PARTS = ["events", "others", "area", "steps", "squares", "losses"]
+
+
+def bootstrap(predictions: DataFrame, pairs: list[tuple[str, str]], cluster: str = "cluster_key", replicates: int = 1000, seed: int = 20260101, by: list[str] = ()) -> DataFrame:
     """(by, replicate, comparison, metric, reference, candidate, difference) for pairs of model_id.
 
-    Rows are counted by cluster, score and outcome once; replicates then run in
-    batches over these counts; with a scratch path each batch is written before
-    the next one starts. Replicates with one class only give no row.
+    Rows are counted by cluster, score and outcome once, and clusters are
+    drawn once. A group's scores are cut into slices; the first pass sums a
+    slice's weighted rows for all replicates, the second adds the metrics'
+    terms of every score with the sums of the slices above it. All replicates
+    of a slice are columns of one matrix. Replicates with one class only give
+    no row.
     """
-    counts = score_counts(predictions, "outcome", "probability", None, ["model_id", *by, cluster]).persist()
-    parts = []
-    for start in range(0, replicates, batch):
-        weights = cluster_weights(counts, cluster, range(start, min(start + batch, replicates)), seed)
-        drawn = counts.join(weights, cluster).groupBy("replicate", "model_id", *by, "score").agg(F.sum(F.col("tp") * F.col("weight")).alias("tp"), F.sum(F.col("fp") * F.col("weight")).alias("fp"))
-        part = long_metrics(metrics_of(drawn, ["replicate", "model_id", *by]), ["replicate", "model_id", *by]).where(F.col("value").isNotNull())
-        if scratch:
-            part.write.mode("append").parquet(scratch)
-        parts.append(part)
-    long = predictions.sparkSession.read.schema(parts[0].schema).parquet(scratch) if scratch else reduce(DataFrame.unionByName, parts)
-    keys = ["replicate", *by, "metric"]
-    out = []
-    for reference, candidate in pairs:
-        r = long.where(F.col("model_id") == reference).select(*keys, F.col("value").alias("reference"))
-        c = long.where(F.col("model_id") == candidate).select(*keys, F.col("value").alias("candidate"))
-        out.append(r.join(c, keys).select(*by, "replicate", F.lit(f"{candidate}_vs_{reference}").alias("comparison"), "metric", "reference", "candidate", (F.col("candidate") - F.col("reference")).alias("difference")))
-    return reduce(DataFrame.unionByName, out)
+    keys = ["model_id", *by]
+    counts = score_counts(predictions, "outcome", "probability", None, [*keys, cluster])
+    packed = cluster_weights(counts, cluster, range(replicates), seed).groupBy(cluster).agg(F.collect_list(F.struct("replicate", F.col("weight").cast("int").alias("weight"))).alias("drawn"))
+    # A key for each group and slice, as the groups' columns may be of any type.
+    sliced = with_bucket(counts, keys, "score").join(packed, cluster).select(*keys, F.col("__bucket").alias("slice"), "score", "tp", "fp", "drawn")
+    types = {f.name: f.dataType.simpleString() for f in sliced.schema.fields}
+    group = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "slice"])
+
+    def named(table: pa.Table, columns: dict[str, np.ndarray]) -> pa.Table:
+        n = len(next(iter(columns.values())))
+        same = {c: pa.array([table.column(c)[0].as_py()] * n, table.schema.field(c).type) for c in [*keys, "slice"]}
+        return pa.table(same | columns)
+
+    def heights(table: pa.Table) -> pa.Table:
+        total = np.zeros((2, replicates))
+        for _, tp, fp in _columns(table, replicates):
+            total += tp.sum(axis=0), fp.sum(axis=0)
+        return named(table, {"replicate": np.arange(replicates, dtype=np.int32), "tp": total[0], "fp": total[1]})
+
+    height = sliced.groupBy(*keys, "slice").applyInArrow(heights, f"{group}, replicate int, tp double, fp double")
+    above = Window.partitionBy(*keys, "replicate").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    base = height.select(*keys, "slice", "replicate", F.coalesce(F.sum("tp").over(above), F.lit(0.0)).alias("base_tp"), F.coalesce(F.sum("fp").over(above), F.lit(0.0)).alias("base_fp"))
+
+    def terms(table: pa.Table, below: pa.Table) -> pa.Table:
+        cum_tp, cum_fp = np.zeros(replicates), np.zeros(replicates)
+        at = below.column("replicate").to_numpy()
+        cum_tp[at], cum_fp[at] = below.column("base_tp").to_numpy(), below.column("base_fp").to_numpy()
+        out = np.zeros((len(_PARTS), replicates))
+        for score, tp, fp in _columns(table, replicates):
+            ctp, cfp = cum_tp + np.cumsum(tp, axis=0), cum_fp + np.cumsum(fp, axis=0)
+            s, p = score[:, None], np.clip(score, EPS, 1 - EPS)[:, None]
+            every = ctp + cfp
+            out += (
+                tp.sum(axis=0), fp.sum(axis=0), (fp * (ctp - tp / 2)).sum(axis=0), (tp * np.divide(ctp, every, out=np.zeros_like(ctp), where=every > 0)).sum(axis=0),
+                (tp * (1 - s) ** 2 + fp * s**2).sum(axis=0), (-tp * np.log(p) - fp * np.log1p(-p)).sum(axis=0),
+            )
+            cum_tp, cum_fp = ctp[-1], cfp[-1]
+        return named(table, {"replicate": np.arange(replicates, dtype=np.int32), **dict(zip(_PARTS, out))})
+
+    parts = sliced.groupBy(*keys, "slice").cogroup(base.groupBy(*keys, "slice")).applyInArrow(terms, f"{group}, replicate int, " + ", ".join(f"{p} double" for p in _PARTS))
+    found = parts.groupBy(*keys, "replicate").agg(*(F.sum(p).alias(p) for p in _PARTS)).where("events > 0 AND others > 0")
+    c, n = F.col, F.col("events") + F.col("others")
+    values = dict(zip(METRICS, (c("area") / (c("events") * c("others")), c("steps") / c("events"), c("squares") / n, c("losses") / n)))
+    cells = F.array(*(F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()))
+    # A row per group and replicate from here on; all pairs of models come from one pivot.
+    wide = found.select(*by, "replicate", "model_id", F.explode(cells).alias("x")).groupBy(*by, "replicate", "x.metric").agg(F.map_from_entries(F.collect_list(F.struct("model_id", "x.value"))).alias("m"))
+    sides = F.array(*(F.struct(F.lit(f"{b}_vs_{a}").alias("comparison"), F.element_at("m", F.lit(a)).alias("reference"), F.element_at("m", F.lit(b)).alias("candidate")) for a, b in pairs))
+    rows = wide.select(*by, "replicate", "metric", F.explode(sides).alias("s")).select(*by, "replicate", "s.comparison", "metric", "s.reference", "s.candidate")
+    return rows.where("reference IS NOT NULL AND candidate IS NOT NULL").withColumn("difference", F.col("candidate") - F.col("reference"))
 
 
 def scenario_seed(seed: int, index: int) -> int:

@@ -226,7 +226,9 @@ def _(spark, d):
     return rounded(metrics.against(found, ["m1"], ["stratum", "level"]))
 
 
-@query("n01_cluster_weights")
+@query("n01_cluster_weights", f"""WITH {COHORT}, c AS (SELECT cluster_key, row_number() OVER (ORDER BY cluster_key) - 1 AS no, count(*) OVER () AS n FROM (SELECT DISTINCT cluster_key FROM cohort)),
+w AS (SELECT replicate, CAST(('0x' || substr(md5('11|' || replicate || '|' || no), 1, 13)) AS BIGINT) % n AS no FROM c, (SELECT unnest(range(0, 1000)) AS replicate))
+SELECT CAST(replicate AS INTEGER) AS replicate, cluster_key, count(*) AS weight FROM w JOIN c USING (no) GROUP BY ALL""")
 def _(spark, d):
     return bootstrap.cluster_weights(cohort(spark, d), "cluster_key", range(REPLICATES), 11)
 
@@ -234,7 +236,7 @@ def _(spark, d):
 @query("n02_n03_bootstrap_ci")
 def _(spark, d):
     p = predictions(spark, d)
-    reps = bootstrap.bootstrap(p, PAIRS, replicates=REPLICATES, seed=11, scratch=work_path(spark, "replicates"))
+    reps = bootstrap.bootstrap(p, PAIRS, replicates=REPLICATES, seed=11)
     return metrics.paired(p, PAIRS).join(bootstrap.percentile_ci(reps), ["comparison", "metric"])
 
 
@@ -351,7 +353,7 @@ def _late_scenarios(spark, d):
 
 
 def _evaluated(spark, d):
-    return scenarios.evaluate_scenarios(_late_scenarios(spark, d), PAIRS, CUTS, REPLICATES, bootstrap.scenario_seed(11, 1), work_path(spark, "replicates"))
+    return scenarios.evaluate_scenarios(_late_scenarios(spark, d), PAIRS, CUTS, REPLICATES, bootstrap.scenario_seed(11, 1))
 
 
 @query("p06_scenario_comparison")
