@@ -24,10 +24,10 @@ def matrix(spark, n_folds=5):
 
 
 def test_all_outer_folds_are_scored(spark):
-    df, grid = matrix(spark), models.elastic_net_grid([0.5], [1.0])
+    df, grid = matrix(spark, 3), models.elastic_net_grid([0.5], [1.0])
     found = models.nested_cv(df, ["entity_key"], "cluster_key", ["x"], [], grid, models.fit_elastic_net)
     scored = found.predictions.toPandas()
-    assert sorted(scored.entity_key) == sorted(f"e{i}" for i in range(300)) and set(scored.outer_fold) == {1, 2, 3, 4, 5}
+    assert sorted(scored.entity_key) == sorted(f"e{i}" for i in range(300)) and set(scored.outer_fold) == {1, 2, 3}
     assert {r.inner_folds for r in found.tuning.collect()} == {3}
     with pytest.raises(ValueError, match="outer folds"):
         models.nested_cv(df, ["entity_key"], "cluster_key", ["x"], [], grid, models.fit_elastic_net, [1, 2])
@@ -44,8 +44,29 @@ def test_lost_and_repeated_predictions_are_errors(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 def test_registered_queries_score_the_matrix(spark, monkeypatch):
     assert len(evaluation.ELASTIC_NET_GRID) == 25
+    assert len(evaluation.BOOSTING_GRID) == 6
     monkeypatch.setattr(evaluation, "ELASTIC_NET_GRID", evaluation.ELASTIC_NET_GRID[:1])
+    monkeypatch.setattr(evaluation, "BOOSTING_GRID", evaluation.BOOSTING_GRID[:1])
     want = evaluation._model_matrix(spark, DATA).count()
-    for name in ("l07_elastic_net_nested_cv", "l11_ablation_refit"):
+    for name in ("l07_elastic_net_nested_cv", "l11_ablation_refit", "l05_l06_boosting_nested_cv"):
         found = plans.queries()[name](spark, DATA).persist()
         assert found.count() == want and {r.outer_fold for r in found.select("outer_fold").distinct().collect()} == {1, 2, 3, 4, 5}
+    assert plans.queries()["l08_l13_selected_configs"](spark, DATA).where("consistent").count() == 5
+    best = plans.queries()["l09_refit_selection"](spark, DATA).first()
+    assert evaluation.BOOSTING_ROUNDS[0] <= best.refit_iterations <= evaluation.BOOSTING_ROUNDS[1]
+
+
+def test_early_stopping_and_refit(spark):
+    """Boosted trees stop on the inner held-out rows, and the refit takes their clamped median iterations."""
+    assert models.clamped_median([3, 900, 901], 50, 700) == 700 and models.clamped_median([3, 4], 1, 9) == 3 and models.clamped_median([1], 5, 9) == 5
+    df, given = matrix(spark, 2), []
+
+    def learner(rows, config, n, validation=None, iterations=None):
+        given.append((validation, iterations, rows.count(), n))
+        return models.fit_boosting(rows, config, iterations or 4, validation)
+
+    grid = models.boosting_grid([2], [0.3])
+    found = models.nested_cv(df, ["entity_key"], "cluster_key", ["x"], [], grid, learner, n_inner=2, early_stop=(1, 4))
+    tuned = {r.outer_fold: r.median_iterations for r in found.tuning.collect()}
+    assert found.predictions.count() == 300 and len(given) == 6
+    assert all(n < total for v, _, total, n in given if v) and sorted(i for v, i, _, _ in given if not v) == sorted(int(x) for x in tuned.values())

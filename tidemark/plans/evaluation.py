@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import hash_fold, strict_double
-from tidemark.operators import bootstrap, calibration, folds, joins, metrics, models, quality, scenarios
+from tidemark.operators import bootstrap, calibration, elastic_net, folds, joins, metrics, models, quality, scenarios
 from tidemark.plans.base import (
     COHORT, HASH_FOLD, METRICS, OBS, OUTCOME, PREDICTIONS, SPEC, SPINE, WOBS, cohort, expanded, landmarks, observations, outcomes, predictions, query, rounded, table, work_path,
 )
@@ -392,9 +392,33 @@ def _(spark, d):
 ELASTIC_NET_GRID = models.elastic_net_grid([0.0, 0.25, 0.5, 0.75, 1.0], [0.01, 0.03, 0.1, 0.3, 1.0])
 
 
+#: Depths and rates of the boosting grid of six, and rounds: few, so that 95 fits of the small tables end soon.
+BOOSTING_GRID = models.boosting_grid([2, 3], [0.05, 0.1, 0.2])
+BOOSTING_ROUNDS = (2, 6)
+_RESULTS: dict = {}
+
+
+def _kept(spark, d, name, run):
+    """The tables of a nested cross-validation, written once for the queries of a session that read them."""
+    key = (spark.sparkContext.applicationId, d, name, len(ELASTIC_NET_GRID), len(BOOSTING_GRID))
+    if key not in _RESULTS:
+        found, _RESULTS[key] = run(spark.read.parquet(_written(spark, d))), {}
+        for part in ("predictions", "tuning", "coefficients"):
+            df = getattr(found, part)
+            if df is not None:
+                path = work_path(spark, f"{name}-{part}")
+                df.write.parquet(path)
+                _RESULTS[key][part] = path
+    return {part: spark.read.parquet(path) for part, path in _RESULTS[key].items()}
+
+
 def _elastic_net(spark, d):
-    rows = spark.read.parquet(_written(spark, d))
-    return models.nested_cv(rows, KEYS, "cluster_key", FEATURES, ["segment"], ELASTIC_NET_GRID, models.fit_elastic_net, model_id="elastic_net")
+    return _kept(spark, d, "elastic-net", lambda rows: models.nested_elastic_net(rows, KEYS, "cluster_key", FEATURES, ["segment"], ELASTIC_NET_GRID))
+
+
+def _boosting(spark, d):
+    least, most = BOOSTING_ROUNDS
+    return _kept(spark, d, "boosting", lambda rows: models.nested_boosting(rows, KEYS, "cluster_key", FEATURES, ["segment"], BOOSTING_GRID, most, least))
 
 
 def _written(spark, d):
@@ -405,14 +429,54 @@ def _written(spark, d):
 
 @query("l07_elastic_net_nested_cv")
 def _(spark, d):
-    found = _elastic_net(spark, d)
-    return found.predictions
+    return _elastic_net(spark, d)["predictions"]
 
 
 @query("l08_l12_stability")
+def _(spark, d):
+    return models.coefficient_stability(_elastic_net(spark, d)["coefficients"])
+
+
+@query("l08_l13_selected_configs")
 def _(spark, d):
     found = _elastic_net(spark, d)
-    return models.coefficient_stability(found.coefficients)
+    return models.config_audit(found["tuning"], found["predictions"])
+
+
+@query("l03_l04_paths")
+def _(spark, d):
+    """Coefficients of every outer fold's training rows along the path of one l1_ratio, each fit started from that of the C before."""
+    rows = spark.read.parquet(_written(spark, d))
+    folds_ = models.outer_folds_of(rows)
+    grid = [c for c in ELASTIC_NET_GRID if c["l1_ratio"] == 0.5] or ELASTIC_NET_GRID
+    rows = elastic_net.with_splits(rows, [elastic_net.Split(f) for f in folds_], {})
+    pres = elastic_net.fit_preprocessors(rows, len(folds_), [f for f in FEATURES if f != "segment"], ["segment"])
+    nets = elastic_net.fit_paths(rows, pres, {i: grid for i in range(len(folds_))})
+    c = {g.config_id: g["C"] for g in grid}
+    return rounded(spark.createDataFrame([(folds_[m.split], c[m.config_id], f, float(w)) for m in nets for f, w in zip(pres[m.split].names, m.weights[1:])], "outer_fold int, C double, feature string, coefficient double"), 4)
+
+
+@query("l05_l06_boosting_nested_cv")
+def _(spark, d):
+    return _boosting(spark, d)["predictions"]
+
+
+@query("l09_refit_selection")
+def _(spark, d):
+    return models.refit_selection(_boosting(spark, d)["tuning"], *BOOSTING_ROUNDS)
+
+
+@query("l14_saved_model")
+def _(spark, d):
+    """Scores of the target rows by a model that was fitted to the source rows, written, and read back."""
+    from pyspark.ml.classification import GBTClassificationModel
+
+    rows, path = spark.read.parquet(_written(spark, d)), work_path(spark, "model")
+    source, target, keep = rows.where("outer_fold > 2"), rows.where("outer_fold <= 2"), [*KEYS, "outcome"]
+    learner = lambda r, c, n: models.fit_boosting(r, c, max_iter=3)
+    models.save_model(models.transport(source, target, FEATURES, ["segment"], models.boosting_grid([2], [0.1])[0], learner, keep, indicators=True)[1], path)
+    pre = models.fit_preprocessor(source, [f for f in FEATURES if f != "segment"], ["segment"], True)
+    return models.scores(models.load_model(GBTClassificationModel, path), pre.transform(target, keep), keep)
 
 
 @query("l06_boosting_transport")
@@ -428,7 +492,7 @@ def _(spark, d):
     rows = spark.read.parquet(_written(spark, d))
     config = models.elastic_net_grid([0.5], [0.1])[0]
     kept = [f for f in FEATURES if f != "agents"]
-    found = models.refit_folds(rows, {f: config for f in models.outer_folds_of(rows)}, kept, ["segment"], models.fit_elastic_net, [*KEYS, "outer_fold", "outcome"])
+    found = models.refit_elastic_nets(rows, {f: config for f in models.outer_folds_of(rows)}, kept, ["segment"], [*KEYS, "outer_fold", "outcome"])
     return models.reconcile(found, rows, KEYS)
 
 
