@@ -33,3 +33,39 @@ def test_pipeline(spark, tmp_path):
     assert 1002 not in kept["decontamination"] and good - {1} <= kept["decontamination"]
     assert kept["mixing"] and all(r.taken > 0 for r in docs.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["mixing"])
+
+
+TABLE = "doc_id long, text string, lang string, source string, n_chars long, __kept int, taken string"
+
+
+def staged(spark, tmp_path, rows):
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(5000, 60)), (None, prose(5001, 60))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, out = spark.createDataFrame(rows, TABLE), {}
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        out[name] = docs
+    return out
+
+
+def test_stages_keep_rows_of_repeated_and_null_ids(spark, tmp_path):
+    """Equal rows, several null ids, an id with two texts, columns whose names clash: one survivor a group, no text under a foreign row."""
+    a, b, c, d = (prose(i, 120) for i in range(700, 704))
+    rows = [(7, a), (7, a), (8, b), (8, c), (None, d), (None, prose(705, 120)), (None, prose(705, 120)), (9, a + "\n" + prose(706, 60)), (None, prose(5001, 60)), (None, ""), (None, None)]
+    out = staged(spark, tmp_path, [(i, t, "en", "s", len(t or ""), k, "x") for k, (i, t) in enumerate(rows)])
+    texts = {k: t for k, (_, t) in enumerate(rows)}
+    near = out["near_dedup"].collect()
+    # Rows 0 and 1 are one text, of which row 9 keeps its own lines; the null ids' texts stay with their rows.
+    assert sorted(r["__kept"] for r in near) == sorted({r["__kept"] for r in near})
+    assert sum(r.text == a for r in near) == 1 and sum(r.text == texts[5] for r in near) == 1
+    assert {r["__kept"] for r in near} >= {2, 3, 4, 7, 8} and all(r.text in (texts[r["__kept"]], prose(706, 60)) for r in near)
+    clean = {r["__kept"] for r in out["decontamination"].collect()}
+    assert 8 not in clean and clean >= {2, 3, 4, 7}
+    mixed = out["mixing"].collect()
+    assert len({r["__kept"] for r in mixed}) == len(mixed) and {"size", "target", "taken"} <= set(out["mixing"].columns)
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    out = staged(spark, tmp_path, [])
+    assert all(df.count() == 0 for df in out.values())

@@ -77,6 +77,14 @@ def keyed(docs: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
     return scratch.save(docs.orderBy(F.col(id_col).asc_nulls_last()).withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with further underscores if df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(own_id, id, text): id orders the rows by own_id and names each of them; null text is empty.
 

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, Scratch, keyed, numbered, slices, utf8
+from tidemark.llm.common import ROW, Scratch, keyed, numbered, slices, unused, utf8
 
 #: Words of a run of lines, at least, for its later copies to go.
 MIN_WORDS = 3
 SLICE_BYTES = 4 << 20
+#: Keys whose positions are dealt over several tasks, and over how many.
+HOT, SALTS = 1000, 32
 
 
 def shortest_runs(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,10 +51,20 @@ def _lines(min_words: int):
     return lines
 
 
-def _named(keyed: DataFrame, *key: str) -> DataFrame:
-    """(at, name): the earliest position with the same key, for keys that several positions have."""
-    names = keyed.groupBy(*key).agg(F.min("at").alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return keyed.join(names, [*key]).select("at", "name")
+def _named(keyed: DataFrame, scratch: Scratch, table: str, *key: str) -> DataFrame:
+    """(at, name): the earliest position with the same key, for keys that several positions have.
+
+    The positions of the HOT commonest keys are dealt over SALTS copies of
+    their name, so that a line in very many texts is no hot spot: any other
+    key has less than one in HOT of all rows.
+    """
+    names = scratch.save(keyed.groupBy(*key).agg(F.min("at").alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{table}-names")
+    hot = F.broadcast(names.orderBy(F.desc("n"), *key).limit(HOT).select(*key, F.lit(True).alias("hot")))  # HOT rows at most
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = keyed.join(hot, [*key], "left").withColumn("salt", salt).drop("hot")
+    right = names.join(hot, [*key], "left").select(*key, "name", F.explode(copies).alias("salt"))
+    return left.join(right, [*key, "salt"]).select("at", "name")
 
 
 def _shifted(names: DataFrame, by) -> DataFrame:
@@ -72,12 +84,11 @@ def repeated_runs(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
 
     A maximal repeated run of min_words words or more is the union of the
     shortest such runs from each of its lines on and up to each of its lines,
-    so these are the runs that are looked up. Names are aggregated before the
-    shuffle, so that a line in very many texts is no hot spot.
+    so these are the runs that are looked up.
     """
     lines = scratch.save(rows.select("id", "text").mapInArrow(_lines(min_words), "id long, line int, on int, up int, digest binary"), "lines")
     at = F.struct("id", "line").alias("at")
-    names = scratch.save(_named(lines.select(at, "digest"), "digest"), "level-0")
+    names = scratch.save(_named(lines.select(at, "digest"), scratch, "level-0", "digest"), "level-0")
     runs = lines.where("on > 0").select(at, F.col("on").alias("m")).union(
         lines.where("up > 1").select(F.struct("id", (F.col("line") - F.col("up") + 1).cast("int").alias("line")).alias("at"), F.col("up").alias("m"))
     )
@@ -97,7 +108,7 @@ def repeated_runs(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
         if size > longest:
             break
         pairs = names.withColumnRenamed("name", "left").join(_shifted(names, size // 2), "at")
-        names = scratch.save(_named(pairs, "left", "right"), f"level-{size}")
+        names = scratch.save(_named(pairs, scratch, f"level-{size}", "left", "right"), f"level-{size}")
         found = found.union(runs.where(F.col("m") == size).select("at", "m").join(names, "at").where(F.col("name") != F.col("at")).select("at", "m"))
     return found.select(F.col("at")["id"].alias("id"), F.col("at")["line"].alias("line"), F.col("m").alias("length"))
 
@@ -149,9 +160,10 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     chars_col is counted anew.
     """
     rows = keyed(docs, id_col, Scratch(docs.sparkSession, "line-dedup-rows"))
-    found = dedup_lines(rows, ROW, text_col, min_words).where("n_removed > 0").select(ROW, F.col("kept").alias("__kept"))
+    kept = unused("__kept", docs)
+    found = dedup_lines(rows, ROW, text_col, min_words).where("n_removed > 0").select(ROW, F.col("kept").alias(kept))
     joined = rows.join(found, ROW, "left")
-    changed = {text_col: F.coalesce("__kept", text_col)}
+    changed = {text_col: F.coalesce(kept, text_col)}
     if chars_col in docs.columns:
-        changed[chars_col] = F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
-    return joined.where("__kept IS NULL OR __kept != ''").withColumns(changed).select(*docs.columns)
+        changed[chars_col] = F.when(F.col(kept).isNotNull(), F.length(kept)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
+    return joined.where(F.col(kept).isNull() | (F.col(kept) != "")).withColumns(changed).select(*docs.columns)
