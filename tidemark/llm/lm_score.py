@@ -32,8 +32,8 @@ class LmConfig:
     rate: float = 0.5  #: of the first update
     shrink: float = 20.0  #: prior tokens per context of its starting weights
     steps: int = 4  #: gradient updates of the n-grams' prior weights in each unit
-    unit_bytes: int = 16 << 20  #: text per unit
-    part_bytes: int = 64 << 20  #: text whose n-grams one group of counts gets on average
+    unit_bytes: int = 8 << 20  #: text per unit
+    part_bytes: int = 32 << 20  #: text whose n-grams one group of counts gets on average
     slice_bytes: int = 1 << 20
 
 
@@ -127,11 +127,11 @@ def _fit_strengths(p, pair, last, triple, both, steps: int) -> np.ndarray:
     """Logs of the two prior weights that predict a unit's training tokens best, each left out of its own counts."""
     log_k = np.log(np.array([50.0, 2.0]))
     for step in range(steps):
-        kb, kt = np.exp(log_k)
-        q, full = chain(p, pair, last, triple, both, np.exp(log_k))
+        kb, kt = strength = np.exp(log_k).astype(np.float32)
+        q, full = chain(p, pair, last, triple, both, strength)
         of_pair = kt / (both + kt) * kb * (p * last - pair) / (last + kb) ** 2 / full
         of_triple = kt * (q * both - triple) / (both + kt) ** 2 / full
-        gradient = np.array([of_pair.mean(), of_triple.mean()])
+        gradient = np.array([of_pair.mean(dtype=np.float64), of_triple.mean(dtype=np.float64)])
         log_k += gradient / (np.abs(gradient) + 0.01) / (1 + step)
     return log_k
 
@@ -155,9 +155,9 @@ def _gather(config: LmConfig, bits: int, n_parts: int, id_type: pa.DataType):
         for kind, own_keys, own_bits in ((_WORDS, keys, 64), (_PAIRS, pairs, bits), (_TRIPLES, triples, bits)):
             distinct, place = grouped(own_keys, own_bits)
             n = np.bincount(place, train, len(distinct)).astype(np.int64)
-            counts.append(n[place])
+            counts.append(n[place].astype(np.int32))
             if kind == _WORDS:
-                streams = pack(place)
+                streams, n_words = pack(place), len(distinct)
             part = ((distinct >> _U(max(own_bits - 32, 0))) * _U(n_parts)) >> _U(min(own_bits, 32))
             edge = np.flatnonzero(np.diff(part, prepend=_U(n_parts)))
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(part)]):
@@ -165,11 +165,11 @@ def _gather(config: LmConfig, bits: int, n_parts: int, id_type: pa.DataType):
         total = int(train.sum())
         strengths = None
         if total:
-            one, two, three = (c[train] - 1.0 for c in counts)
-            docs = float((~held).sum())
-            last = before(counts[0].astype(float), first, 1, docs)[train] - 1
-            both = before(counts[1].astype(float), first, 1, docs)[train] - 1
-            log_k = _fit_strengths((one + 1) / (total + len(np.unique(keys))), two, last, three, both, config.steps)
+            docs = np.float32((~held).sum())
+            one, two, three = ((c[train] - 1).astype(np.float32) for c in counts)
+            last, both = (before(c.astype(np.float32), first, 1, docs)[train] - 1 for c in counts[:2])
+            del counts
+            log_k = _fit_strengths((one + 1) / np.float32(total + n_words), two, last, three, both, config.steps)
             strengths = [float(total), *(log_k * total).tolist()]
         return rows + [{"unit": unit, "kind": _STREAM, "n": len(keys), "blob": streams, "log_k": strengths, "ids": ids, "held": held, "sizes": sizes}]
 
@@ -378,7 +378,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     over all training tokens, and averaged.
 
     Training rows have crc32(identifier as text) mod 7 other than 2. Texts are
-    tokenised once, in units of about 16 MB, and written as numbers; a unit
+    tokenised once, in units of about 8 MB, and written as numbers; a unit
     asks for the counts that other units have of its words, pairs and triples,
     and is scored with numpy.
 
