@@ -136,42 +136,36 @@ def _fit_strengths(p, pair, last, triple, both, steps: int) -> np.ndarray:
     return log_k
 
 
-def _gather(config: LmConfig, bits: int, n_parts: int, id_type: pa.DataType):
-    """Per unit of text: its tokens as numbers, and the counts of its words, pairs and triples in training texts."""
+def _gather(config: LmConfig, bits: int, id_type: pa.DataType):
+    """Per unit of text: its tokens as numbers of its words, the words, and the strengths that suit its own counts."""
     schema = pa.schema(
-        [("unit", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("n", pa.int64()), ("blob", pa.binary()), ("log_k", pa.list_(pa.float64())),
+        [("unit", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("blob", pa.binary()), ("n_words", pa.int64()), ("words", pa.binary()), ("log_k", pa.list_(pa.float64())),
          ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))]
     )
 
-    def rows_of(unit: int, keys, sizes, held, ids, cells):
+    def row_of(unit: int, keys, sizes, held, ids, cells):
         first = np.cumsum(sizes) - sizes
         train = np.repeat(~held, sizes)
         k = config.classes
         own = (keys & _CLASS_BITS).astype(np.int64)
         context = before(own, first, 2, 0) * k + before(own, first, 1, 0)
         cells += np.bincount((context * k + own)[train], minlength=k**3)
-        rows, counts, streams = [], [], None
-        pairs, triples = ngram_keys(keys, first, bits)
-        for kind, own_keys, own_bits in ((_WORDS, keys, 64), (_PAIRS, pairs, bits), (_TRIPLES, triples, bits)):
-            distinct, place = grouped(own_keys, own_bits)
-            n = np.bincount(place, train, len(distinct)).astype(np.int64)
-            counts.append(n[place].astype(np.int32))
-            if kind == _WORDS:
-                streams, n_words = pack(place), len(distinct)
-            part = ((distinct >> _U(max(own_bits - 32, 0))) * _U(n_parts)) >> _U(min(own_bits, 32))
-            edge = np.flatnonzero(np.diff(part, prepend=_U(n_parts)))
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(part)]):
-                rows.append({"unit": unit, "kind": kind, "part": int(part[a]) * 3 + kind, "n": b - a, "blob": pack_counts(distinct[a:b], n[a:b])})
+        words, place = grouped(keys, 64)
+        n = np.bincount(place, train, len(words)).astype(np.int64)
+        row = {"unit": unit, "kind": _STREAM, "n": len(keys), "blob": pack(place), "n_words": len(words), "words": pack_counts(words, n), "ids": ids, "held": held, "sizes": sizes}
         total = int(train.sum())
-        strengths = None
         if total:
             docs = np.float32((~held).sum())
+            counts = [n[place].astype(np.int32)]
+            for own_keys in ngram_keys(keys, first, bits):
+                distinct, at = grouped(own_keys, bits)
+                counts.append(np.bincount(at, train, len(distinct)).astype(np.int32)[at])
             one, two, three = ((c[train] - 1).astype(np.float32) for c in counts)
             last, both = (before(c.astype(np.float32), first, 1, docs)[train] - 1 for c in counts[:2])
             del counts
-            log_k = _fit_strengths((one + 1) / np.float32(total + n_words), two, last, three, both, config.steps)
-            strengths = [float(total), *(log_k * total).tolist()]
-        return rows + [{"unit": unit, "kind": _STREAM, "n": len(keys), "blob": streams, "log_k": strengths, "ids": ids, "held": held, "sizes": sizes}]
+            log_k = _fit_strengths((one + 1) / np.float32(total + len(words)), two, last, three, both, config.steps)
+            row["log_k"] = [float(total), *(log_k * total).tolist()]
+        return row
 
     def gather(batches):
         cells = np.zeros(config.classes**3, np.int64)
@@ -180,7 +174,7 @@ def _gather(config: LmConfig, bits: int, n_parts: int, id_type: pa.DataType):
         def flush():
             keys, sizes, held = (np.concatenate([p[i] for p in parts]) for i in range(3))
             ids = [x for p in parts for x in p[3]]
-            return pa.RecordBatch.from_pylist(rows_of(unit, keys, sizes, held, ids, cells), schema)
+            return pa.RecordBatch.from_pylist([row_of(unit, keys, sizes, held, ids, cells)], schema)
 
         for batch in batches:
             for part in slices(batch, "text", config.slice_bytes):
@@ -199,6 +193,46 @@ def _gather(config: LmConfig, bits: int, n_parts: int, id_type: pa.DataType):
     return gather
 
 
+class Unit:
+    """A written unit: its texts, its tokens' keys, and its own words and counts."""
+
+    def __init__(self, row: dict):
+        self.number, self.ids, self.held, self.sizes = row["unit"], row["ids"], np.array(row["held"], bool), np.array(row["sizes"], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.train = np.repeat(~self.held, self.sizes)
+        self.words, self.words_n = unpack_counts(row["words"], row["n_words"])
+        self.place = unpack(row["blob"], row["n"])[0].astype(np.int64)
+        self.keys = self.words[self.place]
+
+    def ngrams(self, bits: int):
+        """(kind, distinct keys, each token's place, own training counts) of the pairs and the triples."""
+        for kind, keys in zip((_PAIRS, _TRIPLES), ngram_keys(self.keys, self.first, bits)):
+            distinct, place = grouped(keys, bits)
+            yield kind, distinct, place, np.bincount(place, self.train, len(distinct)).astype(np.int64)
+
+
+_UNIT = ["unit", "n", "blob", "n_words", "words", "ids", "held", "sizes"]
+
+
+def _requests(units: DataFrame, bits: int, n_parts: int, ngrams: bool) -> DataFrame:
+    """(unit, kind, part, n, blob): the words of every unit, and its pairs and triples, by range of keys."""
+
+    def requests(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                unit = Unit(batch.slice(row, 1).to_pylist()[0])
+                rows = []
+                for kind, distinct, n, own_bits in [(_WORDS, unit.words, unit.words_n, 64), *((k, d, n, bits) for k, d, _, n in (unit.ngrams(bits) if ngrams else ()))]:
+                    part = ((distinct >> _U(max(own_bits - 32, 0))) * _U(n_parts)) >> _U(min(own_bits, 32))
+                    edge = np.flatnonzero(np.diff(part, prepend=_U(n_parts)))
+                    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(part)]):
+                        rows.append((unit.number, kind, int(part[a]) * 3 + kind, b - a, pack_counts(distinct[a:b], n[a:b])))
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["unit", "kind", "part", "n", "blob"])
+
+    return units.where(F.col("kind") == _STREAM).select(*_UNIT).mapInArrow(requests, "unit long, kind int, part long, n long, blob binary")
+
+
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
     """The distinct keys of a group of requests, their counts over all units, and the requests as (row, keys, own counts, places)."""
     asked = [unpack_counts(b, n) for b, n in zip(table.column("blob").to_pylist(), table.column("n").to_pylist())]
@@ -336,13 +370,9 @@ class LmModel:
     strength: np.ndarray  #: prior weights of the pair and the triple feature
 
 
-def _requests(units: DataFrame) -> DataFrame:
-    return units.where(F.col("kind").isin(_WORDS, _PAIRS, _TRIPLES)).select("unit", "kind", "part", "n", "blob")
-
-
-def fit_lm(units: DataFrame, config: LmConfig, scratch: Scratch) -> LmModel:
+def fit_lm(units: DataFrame, n_parts: int, config: LmConfig, scratch: Scratch) -> LmModel:
     words = np.zeros((2, config.classes))
-    asked = _requests(units).where(F.col("kind") == _WORDS)
+    asked = _requests(units, 64, n_parts, False)
     for r in asked.groupBy("part").applyInArrow(_vocabulary(config), "class int, n long, v long").groupBy("class").agg(F.sum("n"), F.sum("v")).collect():  # a row per class
         words[:, r[0]] = r[1], r[2]
     total, distinct = (int(x) for x in words.sum(axis=1))
@@ -359,8 +389,8 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, config: LmConfig, scr
     bits = min(44, max(30, int(n_bytes).bit_length() + config.spare_bits))
     n_parts = max(1, -(-n_bytes // config.part_bytes))
     id_type = rows.schema["id"].dataType
-    schema = f"unit long, kind int, part long, n long, blob binary, log_k array<double>, ids array<{id_type.simpleString()}>, held array<boolean>, sizes array<long>"
-    return scratch.save(rows.mapInArrow(_gather(config, bits, n_parts, to_arrow_type(id_type)), schema), "units"), bits, n_parts
+    schema = f"unit long, kind int, n long, blob binary, n_words long, words binary, log_k array<double>, ids array<{id_type.simpleString()}>, held array<boolean>, sizes array<long>"
+    return scratch.save(rows.mapInArrow(_gather(config, bits, to_arrow_type(id_type)), schema), "units"), bits, n_parts
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: LmConfig = LmConfig()) -> DataFrame:
@@ -378,7 +408,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     over all training tokens, and averaged.
 
     Training rows have crc32(identifier as text) mod 7 other than 2. Texts are
-    tokenised once, in units of about 8 MB, and written as numbers; a unit
+    tokenised once, in units of about 8 MB, and written as numbers; a unit then
     asks for the counts that other units have of its words, pairs and triples,
     and is scored with numpy.
 
@@ -390,40 +420,33 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     """
     scratch = Scratch(docs.sparkSession, "lm")
     units, bits, n_parts = tokenised(docs, id_col, text_col, config, scratch)
-    model = fit_lm(units, config, scratch)
+    model = fit_lm(units, n_parts, config, scratch)
     id_type = docs.schema[id_col].dataType
     k, log_base = config.classes, np.log10(model.total + model.distinct + 1)
 
     def score(stream: pa.Table, found: pa.Table) -> pa.Table:
-        row = stream.to_pylist()[0]
-        held, own_sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
-        first = np.cumsum(own_sizes) - own_sizes
-        train = np.repeat(~held, own_sizes)
+        unit = Unit(stream.to_pylist()[0])
+        first = unit.first
         replies = {kind: [] for kind in (_WORDS, _PAIRS, _TRIPLES)}
-        own_words = []
-        for kind, n, blob, own in zip(*(found.column(c).to_pylist() for c in ("kind", "n", "blob", "own"))):
-            (own_words if own else replies[kind]).append(unpack_counts(blob, n))
-        words = np.sort(np.concatenate([x for x, _ in own_words]))
-        at = unpack(row["blob"], row["n"])[0].astype(np.int64)
-        keys = words[at]
-
-        def counts(kind, distinct, place):
-            n = np.bincount(place, train, len(distinct))
+        for kind, n, blob in zip(*(found.column(c).to_pylist() for c in ("kind", "n", "blob"))):
+            replies[kind].append(unpack_counts(blob, n))
+
+        def counts(kind, distinct, place, n):
             for more, m in replies[kind]:
                 n[np.searchsorted(distinct, more)] += m
             return n[place]
 
-        pairs, triples = ngram_keys(keys, first, bits)
-        n, pair, triple = counts(_WORDS, words, at), counts(_PAIRS, *grouped(pairs, bits)), counts(_TRIPLES, *grouped(triples, bits))
-        own = (keys & _CLASS_BITS).astype(np.int64)
+        n = counts(_WORDS, unit.words, unit.place, unit.words_n)
+        pair, triple = (counts(*x) for x in unit.ngrams(bits))
+        own = (unit.keys & _CLASS_BITS).astype(np.int64)
         context = before(own, first, 2, 0) * k + before(own, first, 1, 0)
         p = np.exp(model.log_class[context, own] + np.log(n + 1) - model.log_sizes[own])
         _, p = chain(p, pair, before(n, first, 1, model.texts), triple, before(pair, first, 1, model.texts), model.strength)
         return pa.table(
             {
-                id_col: pa.array(row["ids"], to_arrow_type(id_type)),
-                "held_out": pa.array(held),
-                "n_tokens": pa.array(own_sizes),
+                id_col: pa.array(unit.ids, to_arrow_type(id_type)),
+                "held_out": pa.array(unit.held),
+                "n_tokens": pa.array(unit.sizes),
                 "n_known": pa.array(np.add.reduceat(n > 0, first, dtype=np.int64)),
                 "train_tokens": pa.array(np.full(len(first), model.total, np.int64)),
                 "base_score": pa.array(np.add.reduceat(np.log10(n + 1) - log_base, first)),
@@ -431,9 +454,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             }
         )
 
-    asked = _requests(units)
-    elsewhere = asked.repartition(3 * n_parts, "part").groupBy("part").applyInArrow(_elsewhere, "unit long, kind int, n long, blob binary").withColumn("own", F.lit(False))
-    found = elsewhere.unionByName(asked.where(F.col("kind") == _WORDS).select("unit", "kind", "n", "blob", F.lit(True).alias("own")))
-    streams = units.where(F.col("kind") == _STREAM).select("unit", "n", "blob", "ids", "held", "sizes")
+    asked = _requests(units, bits, n_parts, True).repartition(3 * n_parts, "part")
+    elsewhere = asked.groupBy("part").applyInArrow(_elsewhere, "unit long, kind int, n long, blob binary")
+    streams = units.where(F.col("kind") == _STREAM).select(*_UNIT)
     out = f"`{id_col}` {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return streams.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(score, out)
+    return streams.groupBy("unit").cogroup(elsewhere.groupBy("unit")).applyInArrow(score, out)
