@@ -31,7 +31,7 @@ N_FEATURES = _N_SHAPE + _N_HASHED
 class QualityConfig:
     passage_words: int = 64
     sample_docs: int = 6000  #: labelled documents to learn from, at most
-    sample_passages: int = 48  #: passages of each of them, at most, evenly spaced over the whole text
+    sample_passages: int = 16  #: passages of each of them, at most, evenly spaced over the whole text
     hidden: int = 16
     epochs: int = 150
     rate: float = 0.02
@@ -101,8 +101,10 @@ class GatedAttention:
         self.p = {"W": draw(N_FEATURES, hidden), "b": np.zeros(hidden), "V": draw(hidden, hidden), "U": draw(hidden, hidden), "a": draw(hidden, 1), "w": draw(hidden, 1), "c": np.zeros(1)}
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict:
+        return self._attend((x - self.mean.astype(np.float32)) / self.scale.astype(np.float32), first)
+
+    def _attend(self, z: np.ndarray, first: np.ndarray) -> dict:
         p, begin, n = self.p, first[:-1], np.diff(first)
-        z = ((x - self.mean) / self.scale).astype(np.float32)
         h = np.tanh(z @ p["W"].astype(np.float32) + p["b"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         e = (t * g) @ p["a"]
@@ -112,16 +114,17 @@ class GatedAttention:
         return {"z": z, "h": h, "t": t, "g": g, "share": share, "bag": bag, "score": 1 / (1 + np.exp(-np.clip(bag @ p["w"] + p["c"], -30, 30)))[:, 0]}
 
     def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, config: QualityConfig) -> None:
-        """Full-batch Adam on the log loss."""
-        self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
+        """Full-batch Adam on the log loss; x is normalised in place."""
+        self.mean = x.mean(0, dtype=np.float64)
+        x -= self.mean.astype(np.float32)
+        self.scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)).astype(np.float64) + 1e-3
         n, p = np.diff(first), self.p
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
         # A single hashed sum is to count less than a statistic of the whole passage.
         self.scale[_N_SHAPE:] *= config.hashed_scale
-        x = ((x - self.mean) / self.scale).astype(np.float32)
-        mean, scale, self.mean, self.scale = self.mean, self.scale, np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32)
+        x /= self.scale.astype(np.float32)
         for step in range(1, config.epochs + 1):
-            f = self.forward(x, first)
+            f = self._attend(x, first)
             d = ((f["score"] - y) / len(y))[:, None]
             grad = {"w": f["bag"].T @ d, "c": d.sum(0)}
             d_bag = np.repeat(d @ p["w"].T, n, axis=0)
@@ -133,14 +136,13 @@ class GatedAttention:
             d_t, d_g = d_tg * f["g"] * (1 - f["t"] ** 2), d_tg * f["t"] * f["g"] * (1 - f["g"])
             grad["V"], grad["U"] = f["h"].T @ d_t, f["h"].T @ d_g
             d_h = (d_bag * f["share"] + d_t @ p["V"].T + d_g @ p["U"].T) * (1 - f["h"] ** 2)
-            grad["W"], grad["b"] = f["z"].T @ d_h, d_h.sum(0)
+            grad["W"], grad["b"] = f["z"].T @ d_h.astype(np.float32), d_h.sum(0)
             for k, g in grad.items():
                 m, v = moments[k]
                 g = g + config.decay * p[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p[k] -= config.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        self.mean, self.scale = mean, scale
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, config: QualityConfig) -> GatedAttention:
@@ -167,8 +169,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     found = sorted(rows.mapInArrow(encode, "id string, label double, x binary").collect(), key=lambda r: r["id"])  # config.sample_docs at most
     model = GatedAttention(config.hidden, config.seed)
     if found:
-        bags = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in found]
-        model.fit(np.concatenate(bags), np.cumsum([0, *map(len, bags)]), np.array([r["label"] for r in found]), config)
+        first = np.cumsum([0, *(len(r["x"]) // (4 * N_FEATURES) for r in found)])
+        labels = np.array([r["label"] for r in found])
+        x = np.empty((first[-1], N_FEATURES), np.float32)
+        for i in range(len(found)):
+            x[first[i] : first[i + 1]] = np.frombuffer(found[i]["x"], np.float32).reshape(-1, N_FEATURES)
+            found[i] = None  # each bag is freed as it is copied
+        model.fit(x, first, labels, config)
     return model
 
 
