@@ -20,16 +20,16 @@ def small(spark, tmp_path_factory):
 
 
 def test_times_of_all_events(spark, small):
-    got = {(r.event_id, r.step): (r.hours, r.inside) for r in plans.queries()["g10_g12_time_all"](spark, small).collect()}
+    got = {(r.event_id, r.step): (r.hours, r.inside) for r in plans.queries()["g10_g12_time"](spark, small).collect()}
     ids = (0, 1, 1999, 2000, 2001, 90_000)
     assert got == {(i, s): (72.0 + i % 90, 24 <= i % 90 <= 60) for i in ids for s in (0, 12, 24)}
 
 
 def test_models_of_all_orders(spark, small):
-    got = sorted((r.o_orderkey, r.a, r.b) for r in plans.queries()["c17_aligned_models_all"](spark, small).collect())
+    got = sorted((r.o_orderkey, r.a, r.b) for r in plans.queries()["c17_aligned_models"](spark, small).collect())
     assert got == [(i, i / 1000, i / 2000) for i in range(12)]
 
 
 def test_appends_of_all_regions(spark, small):
-    got = sorted(r.n_nationkey for r in plans.queries()["a10_append_all"](spark, small).collect())
+    got = sorted(r.n_nationkey for r in plans.queries()["a10_append"](spark, small).collect())
     assert got == list(range(12))
