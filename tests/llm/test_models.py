@@ -58,7 +58,7 @@ def test_lm_scores_equal_brute_force(docs, spark, unit_bytes):
     config = lm_score.LmConfig(unit_bytes=unit_bytes, part_bytes=5000)
     scratch = Scratch(spark, "t")
     units, _, n_parts = lm_score.tokenised(docs, "doc_id", "text", config, scratch)
-    model = lm_score.fit_lm(units, n_parts, config, scratch)
+    model, _ = lm_score.fit_lm(units, n_parts, config, scratch)
     rows, ones, twos, threes = [], Counter(), Counter(), Counter()
     for r in corpus():
         data = np.frombuffer((r[1] or "").encode(), np.uint8)

@@ -117,6 +117,11 @@ def unpack_counts(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.uint64), counts.astype(np.int64)
 
 
+def by_count(n: np.ndarray) -> np.ndarray:
+    """Places in order of falling counts. Tokens are written as ranks in it: most ranks are small and compress well."""
+    return np.argsort(-n, kind="stable")
+
+
 def chain(p: np.ndarray, pair: np.ndarray, last: np.ndarray, triple: np.ndarray, both: np.ndarray, strength: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities after the pair feature, and after the triple feature: (count + k * lower) / (context + k)."""
     q = (pair + strength[0] * p) / (last + strength[0])
@@ -152,7 +157,9 @@ def _gather(config: LmConfig, bits: int, id_type: pa.DataType):
         cells += np.bincount((context * k + own)[train], minlength=k**3)
         words, place = grouped(keys, 64)
         n = np.bincount(place, train, len(words)).astype(np.int64)
-        row = {"unit": unit, "kind": _STREAM, "n": len(keys), "blob": pack(place), "n_words": len(words), "words": pack_counts(words, n), "ids": ids, "held": held, "sizes": sizes}
+        rank = np.empty(len(words), np.int64)
+        rank[by_count(n)] = np.arange(len(words))
+        row = {"unit": unit, "kind": _STREAM, "n": len(keys), "blob": pack(rank[place]), "n_words": len(words), "words": pack_counts(words, n), "ids": ids, "held": held, "sizes": sizes}
         total = int(train.sum())
         if total:
             docs = np.float32((~held).sum())
@@ -201,7 +208,7 @@ class Unit:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(~self.held, self.sizes)
         self.words, self.words_n = unpack_counts(row["words"], row["n_words"])
-        self.place = unpack(row["blob"], row["n"])[0].astype(np.int64)
+        self.place = by_count(self.words_n)[unpack(row["blob"], row["n"])[0].astype(np.int64)]
         self.keys = self.words[self.place]
 
     def ngrams(self, bits: int):
@@ -215,14 +222,14 @@ _UNIT = ["unit", "n", "blob", "n_words", "words", "ids", "held", "sizes"]
 
 
 def _requests(units: DataFrame, bits: int, n_parts: int, ngrams: bool) -> DataFrame:
-    """(unit, kind, part, n, blob): the words of every unit, and its pairs and triples, by range of keys."""
+    """(unit, kind, part, n, blob): the words of every unit, or its pairs and triples, by range of keys."""
 
     def requests(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 unit = Unit(batch.slice(row, 1).to_pylist()[0])
                 rows = []
-                for kind, distinct, n, own_bits in [(_WORDS, unit.words, unit.words_n, 64), *((k, d, n, bits) for k, d, _, n in (unit.ngrams(bits) if ngrams else ()))]:
+                for kind, distinct, n, own_bits in ((k, d, n, bits) for k, d, _, n in unit.ngrams(bits)) if ngrams else [(_WORDS, unit.words, unit.words_n, 64)]:
                     part = ((distinct >> _U(max(own_bits - 32, 0))) * _U(n_parts)) >> _U(min(own_bits, 32))
                     edge = np.flatnonzero(np.diff(part, prepend=_U(n_parts)))
                     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(part)]):
@@ -233,38 +240,37 @@ def _requests(units: DataFrame, bits: int, n_parts: int, ngrams: bool) -> DataFr
     return units.where(F.col("kind") == _STREAM).select(*_UNIT).mapInArrow(requests, "unit long, kind int, part long, n long, blob binary")
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-    """The distinct keys of a group of requests, their counts over all units, and the requests as (row, keys, own counts, places)."""
-    asked = [unpack_counts(b, n) for b, n in zip(table.column("blob").to_pylist(), table.column("n").to_pylist())]
-    distinct = np.unique(np.concatenate([k for k, _ in asked]))
-    places = [np.searchsorted(distinct, k) for k, _ in asked]
-    total = np.zeros(len(distinct), np.int64)
-    for (_, n), at in zip(asked, places):
-        total[at] += n
-    return distinct, total, [(i, k, n, at) for i, ((k, n), at) in enumerate(zip(asked, places))]
+_REPLY = "unit long, kind int, part long, n long, blob binary, sizes array<long>, distinct array<long>"
 
 
-def _elsewhere(table: pa.Table) -> pa.Table:
-    """For every request, the counts that other units have of its keys."""
-    _, total, asked = _merged(table)
-    units, kinds = table.column("unit").to_pylist(), table.column("kind").to_pylist()
-    rows = []
-    for i, keys, own, at in asked:
-        more = total[at] - own
-        keep = more > 0
-        rows.append((units[i], kinds[i], int(keep.sum()), pack_counts(keys[keep], more[keep])))
-    columns = list(zip(*rows))
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("unit", "kind", "n", "blob"), columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))})
+def _elsewhere(classes: int):
+    schema = pa.schema([("unit", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("n", pa.int64()), ("blob", pa.binary()), ("sizes", pa.list_(pa.int64())), ("distinct", pa.list_(pa.int64()))])
 
+    def elsewhere(table: pa.Table) -> pa.Table:
+        """For every request, the counts that other units have of its keys, in its order; of words, also the sizes of the classes.
 
-def _vocabulary(config: LmConfig):
-    def vocabulary(table: pa.Table) -> pa.Table:
-        """Training tokens and words of a group, by class."""
-        distinct, total, _ = _merged(table)
-        own = (distinct & _CLASS_BITS).astype(np.int64)
-        return pa.table({"class": pa.array(range(config.classes), pa.int32()), "n": np.bincount(own, total, config.classes).astype(np.int64), "v": np.bincount(own[total > 0], minlength=config.classes).astype(np.int64)})
+        The keys need not travel back: a unit has them.
+        """
+        asked = [unpack_counts(b, n) for b, n in zip(table.column("blob").to_pylist(), table.column("n").to_pylist())]
+        keys, own = [k for k, _ in asked], [n.astype(np.int32) for _, n in asked]
+        del asked
+        distinct = np.concatenate(keys)
+        distinct.sort()
+        distinct = distinct[np.concatenate([[True], distinct[1:] != distinct[:-1]])]
+        places = []
+        while keys:  # each request's keys go as its places come
+            places.append(np.searchsorted(distinct, keys.pop(0)).astype(np.int32))
+        total = np.zeros(len(distinct), np.int64)
+        for n, at in zip(own, places):
+            total[at] += n
+        units, kinds, parts = (table.column(c).to_pylist() for c in ("unit", "kind", "part"))
+        rows = [{"unit": u, "kind": k, "part": p, "n": len(n), "blob": pack(total[at] - n)} for u, k, p, n, at in zip(units, kinds, parts, own, places)]
+        if kinds[0] == _WORDS:
+            of = (distinct & _CLASS_BITS).astype(np.int64)
+            rows.append({"kind": _CELLS, "sizes": np.bincount(of, total, classes).astype(np.int64).tolist(), "distinct": np.bincount(of[total > 0], minlength=classes).tolist()})
+        return pa.Table.from_pylist(rows, schema)
 
-    return vocabulary
+    return elsewhere
 
 
 def features(contexts: np.ndarray, config: LmConfig) -> np.ndarray:
@@ -370,16 +376,18 @@ class LmModel:
     strength: np.ndarray  #: prior weights of the pair and the triple feature
 
 
-def fit_lm(units: DataFrame, n_parts: int, config: LmConfig, scratch: Scratch) -> LmModel:
+def fit_lm(units: DataFrame, n_parts: int, config: LmConfig, scratch: Scratch) -> tuple[LmModel, DataFrame]:
+    """The model, and the written counts that other units have of every unit's words."""
+    replies = scratch.save(_requests(units, 64, n_parts, False).groupBy("part").applyInArrow(_elsewhere(config.classes), _REPLY), "words")
+    sizes = replies.where(F.col("kind") == _CELLS).select(F.posexplode(F.arrays_zip("sizes", "distinct")).alias("class", "x"))
     words = np.zeros((2, config.classes))
-    asked = _requests(units, 64, n_parts, False)
-    for r in asked.groupBy("part").applyInArrow(_vocabulary(config), "class int, n long, v long").groupBy("class").agg(F.sum("n"), F.sum("v")).collect():  # a row per class
+    for r in sizes.groupBy("class").agg(F.sum("x.sizes"), F.sum("x.distinct")).collect():  # a row per class
         words[:, r[0]] = r[1], r[2]
     total, distinct = (int(x) for x in words.sum(axis=1))
     w, kb, kt = (x or 0.0 for x in units.where("log_k IS NOT NULL").agg(*(F.sum(F.get("log_k", F.lit(i))) for i in range(3))).first())
     strength = np.exp(np.array([kb, kt]) / w) if w else np.array([50.0, 2.0])
     # Class 0 is the end token, once a text.
-    return LmModel(total, distinct, int(words[0, 0]), np.log(words.sum(axis=0) + 1), train_classes(units, config, scratch), strength)
+    return LmModel(total, distinct, int(words[0, 0]), np.log(words.sum(axis=0) + 1), train_classes(units, config, scratch), strength), replies.where(F.col("kind") == _WORDS)
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, config: LmConfig, scratch: Scratch) -> tuple[DataFrame, int, int]:
@@ -420,7 +428,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     """
     scratch = Scratch(docs.sparkSession, "lm")
     units, bits, n_parts = tokenised(docs, id_col, text_col, config, scratch)
-    model = fit_lm(units, n_parts, config, scratch)
+    model, of_words = fit_lm(units, n_parts, config, scratch)
     id_type = docs.schema[id_col].dataType
     k, log_base = config.classes, np.log10(model.total + model.distinct + 1)
 
@@ -428,16 +436,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         unit = Unit(stream.to_pylist()[0])
         first = unit.first
         replies = {kind: [] for kind in (_WORDS, _PAIRS, _TRIPLES)}
-        for kind, n, blob in zip(*(found.column(c).to_pylist() for c in ("kind", "n", "blob"))):
-            replies[kind].append(unpack_counts(blob, n))
+        for kind, part, n, blob in zip(*(found.column(c).to_pylist() for c in ("kind", "part", "n", "blob"))):
+            replies[kind].append((part, n, blob))
 
-        def counts(kind, distinct, place, n):
-            for more, m in replies[kind]:
-                n[np.searchsorted(distinct, more)] += m
-            return n[place]
+        def counts(kind, place, n):
+            more = np.concatenate([unpack(blob, size)[0] for _, size, blob in sorted(replies.pop(kind))])
+            return (n + more.astype(np.int64))[place]
 
-        n = counts(_WORDS, unit.words, unit.place, unit.words_n)
-        pair, triple = (counts(*x) for x in unit.ngrams(bits))
+        n = counts(_WORDS, unit.place, unit.words_n)
+        pair, triple = (counts(kind, place, own) for kind, _, place, own in unit.ngrams(bits))
         own = (unit.keys & _CLASS_BITS).astype(np.int64)
         context = before(own, first, 2, 0) * k + before(own, first, 1, 0)
         p = np.exp(model.log_class[context, own] + np.log(n + 1) - model.log_sizes[own])
@@ -454,8 +461,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             }
         )
 
-    asked = _requests(units, bits, n_parts, True).repartition(3 * n_parts, "part")
-    elsewhere = asked.groupBy("part").applyInArrow(_elsewhere, "unit long, kind int, n long, blob binary")
+    asked = _requests(units, bits, n_parts, True).repartition(2 * n_parts, "part")
+    elsewhere = asked.groupBy("part").applyInArrow(_elsewhere(config.classes), _REPLY).union(of_words).select("unit", "kind", "part", "n", "blob")
     streams = units.where(F.col("kind") == _STREAM).select(*_UNIT)
     out = f"`{id_col}` {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return streams.groupBy("unit").cogroup(elsewhere.groupBy("unit")).applyInArrow(score, out)
