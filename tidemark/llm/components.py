@@ -13,8 +13,9 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     A node's links to itself count for nothing.
 
     Each step gives a node the least label among its own and its neighbours',
-    then that label's own label. Every step is a written table; a node with
-    very many links is aggregated before the shuffle.
+    then that label's own label. Every step is a written table. The links of
+    a node with very many meet its label in one join key, which adaptive skew
+    joins split; the least label is then taken per task before the shuffle.
     """
     links = links.where("a != b")
     both = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
