@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, lm_score, mixing, near_dedup, quality, repeats
+from tidemark.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, lm_score, middle, mixing, near_dedup, quality, repeats, substring_dedup
 from tidemark.llm.common import read
 
 
@@ -146,7 +146,44 @@ FROM d LEFT JOIN k USING (doc_id)
 """
 
 
-_QUERIES = [op1_exact_dedup, op2_lm_scoring, op3_line_dedup, op4_quality_classifier, op5_chat_formatting, op6_decontamination, op7_license_scan, op8_near_dedup, op9_mixing, op10_suffix_dedup]
+def op11_substring_dedup(spark, sf_dir):
+    cut = substring_dedup.remove_repeated_windows(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT phrase FROM x GROUP BY phrase HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM x SEMI JOIN r USING (phrase)),
+s AS (SELECT d.doc_id, word, d.i, g.i IS NULL AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) d LEFT JOIN g ON d.doc_id = g.doc_id AND d.i = g.i),
+k AS (SELECT doc_id, count(*) FILTER (NOT kept) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (kept) AS kept FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return middle.fim_digests(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+c AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
+             text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 AS plain,
+             CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 AS spm FROM t),
+p AS (SELECT *, array_to_string(u[1 : least(c1, c2)], '') AS prefix, array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], '') AS middle, array_to_string(u[greatest(c1, c2) + 1 :], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN plain THEN NULL ELSE CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN plain THEN NULL ELSE CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+_QUERIES = [
+    op1_exact_dedup, op2_lm_scoring, op3_line_dedup, op4_quality_classifier, op5_chat_formatting, op6_decontamination, op7_license_scan, op8_near_dedup, op9_mixing, op10_suffix_dedup,
+    op11_substring_dedup, op12_fill_in_middle,
+]
 
 
 def queries() -> dict:
@@ -154,4 +191,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_mixing": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_mixing": OP9_SQL, "op10_suffix_dedup": OP10_SQL,
+        "op11_substring_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL,
+    }
