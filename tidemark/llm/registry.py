@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, lm_score, middle, mixing, near_dedup, quality, repeats, substring_dedup
+from tidemark.llm import chat, decontaminate, divergence, exact_dedup, licenses, line_dedup, lm_score, middle, mixing, near_dedup, quality, repeats, substring_dedup
 from tidemark.llm.common import read
 
 
@@ -180,9 +180,30 @@ FROM p
 """
 
 
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit_sources(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS lang_size FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+m AS (SELECT lang, source, term, coalesce(n, 0) AS n, total, v, lang_size, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS size FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT *, 1 + 1000000000 * (n + 2) // (size + 2 * v) AS p, 1 + 1000000000 * (total + 2) // (lang_size + 2 * v) AS q FROM m),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 _QUERIES = [
     op1_exact_dedup, op2_lm_scoring, op3_line_dedup, op4_quality_classifier, op5_chat_formatting, op6_decontamination, op7_license_scan, op8_near_dedup, op9_mixing, op10_suffix_dedup,
-    op11_substring_dedup, op12_fill_in_middle,
+    op11_substring_dedup, op12_fill_in_middle, op13_source_divergence,
 ]
 
 
@@ -193,5 +214,5 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_mixing": OP9_SQL, "op10_suffix_dedup": OP10_SQL,
-        "op11_substring_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL,
+        "op11_substring_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_source_divergence": OP13_SQL,
     }
