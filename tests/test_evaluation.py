@@ -127,8 +127,12 @@ def test_competing_events(spark):
     rows = [(30.0, 30.0, None), (30.0, 30.5, None), (40.0, 30.0, None), (30.0, 90.0, 29.0), (24.0, 90.0, None), (48.0, 90.0, None)]
     df = spark.createDataFrame([(24, 48, *r) for r in rows], "landmark_h long, end_h long, death_h double, exit_h double, event_h double")
     kinds = lambda tolerance: [r.competing_event_type for r in outcome.competing_event(df, "event_h", tolerance_h=tolerance).collect()]
-    assert kinds(0) == ["both_same_time", "death", "discharge", "none", "none", "death"]
+    assert kinds(0) == ["both_same_time", "death", "death", "none", "none", "death"]
     assert kinds(1)[1] == "both_same_time"
+    # A death goes before an earlier discharge; a discharge counts where the death is after the horizon or the event.
+    rows = [(20.0, 15.0, None), (70.0, 15.0, None), (20.0, 15.0, 18.0), (20.0, 19.0, 18.0), (20.0, 20.0 + 1 / 120, None)]
+    df = spark.createDataFrame([(10, 34, *r) for r in rows], "landmark_h long, end_h long, death_h double, exit_h double, event_h double")
+    assert kinds(1 / 60) == ["death", "discharge", "discharge", "none", "both_same_time"]
 
 
 def test_corroborated_starts_match_brute_force(spark):

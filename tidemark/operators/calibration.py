@@ -2,68 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import clip, expit, logit
+from tidemark.operators import timeline
 from tidemark.operators.metrics import score_counts
 from tidemark.operators.ranks import exact_quantiles
 from tidemark.operators.reshape import widen_models
+from tidemark.sources import written
 
-#: Groups whose parameters a Newton step may send to the driver.
-MAX_GROUPS = 10_000
 CLIP = 1e-6
+#: Fits of a + b * lp with b fixed at 1, and with both free.
+LARGE, JOINT = "intercept", "intercept_slope"
 
 
-def _newton(counts: DataFrame, by: list[str], slope: bool, steps: int = 25, tolerance: float = 1e-10) -> DataFrame:
-    """(by, a, b, status): the unpenalised logistic fit of the outcome on a + b * lp, b fixed at 1 without slope.
+def _newton(counts: DataFrame, by: list[str], kinds: tuple[str, ...] = (LARGE, JOINT), steps: int = 25, tolerance: float = 1e-10) -> DataFrame:
+    """(by, kind, a, b, status): unpenalised logistic fits of the outcome on a + b * lp, b fixed at 1 for LARGE.
 
-    counts: (by, lp, tp, fp). Every step is one aggregation for all groups; the
-    parameters of the groups, a few numbers each, go through the driver.
+    counts: (by, lp, tp, fp), written. The fits that are open are a table that
+    each step replaces: one aggregation over the counts advances all of them
+    and closes those that have converged, so their number is not bounded and
+    no parameter goes through the driver. A step reads only groups that are
+    still open.
     """
-    spark = counts.sparkSession
-    groups = counts.groupBy(*by).agg(F.sum("tp").alias("__tp"), F.sum("fp").alias("__fp")).limit(MAX_GROUPS + 1).collect()
-    if len(groups) > MAX_GROUPS:
-        raise ValueError("too many groups to calibrate at once")
-    state = {tuple(r[c] for c in by): [0.0, 1.0, "open" if r["__tp"] > 0 and r["__fp"] > 0 else "one_class"] for r in groups}
-    types = ", ".join([*(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in by), "a double", "b double"])
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
+    held = [F.col(f"s.{c}").alias(c) for c in [*by, "kind", "a", "b"]]
+    both = (F.sum("tp") > 0) & (F.sum("fp") > 0)
+    begun = counts.groupBy(*by).agg(F.when(both, "open").otherwise("one_class").alias("status"))
+    state = begun.select(*by, F.explode(F.array(*(F.lit(k) for k in kinds))).alias("kind"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), "status")
+    state = written(state, "newton")
+    closed = [state.where("status != 'open'")]
     for _ in range(steps):
-        rows = [(*k, a, b) for k, (a, b, s) in state.items() if s == "open"]
-        if not rows:
+        open_ = state.where("status = 'open'").drop("status")
+        if open_.isEmpty():
             break
-        params = spark.createDataFrame(rows, types)
+        rows = counts.alias("c").join(open_.alias("s"), reduce(Column.__and__, same, F.lit(True))).select(*held, "c.lp", "c.tp", "c.fp")
         p = expit(F.col("a") + F.col("b") * F.col("lp"))
-        n, v = F.col("tp") + F.col("fp"), (F.col("tp") + F.col("fp")) * p * (1 - p)
-        r = F.col("tp") - n * p
-        sums = counts.join(F.broadcast(params), by).groupBy(*by).agg(
+        n = F.col("tp") + F.col("fp")
+        v, r = n * p * (1 - p), F.col("tp") - n * p
+        sums = rows.groupBy(*by, "kind", "a", "b").agg(
             F.sum(r).alias("r0"), F.sum(r * F.col("lp")).alias("r1"), F.sum(v).alias("v00"), F.sum(v * F.col("lp")).alias("v01"), F.sum(v * F.col("lp") * F.col("lp")).alias("v11")
         )
-        for s in sums.collect():
-            now = state[tuple(s[c] for c in by)]
-            det = s["v00"] * s["v11"] - s["v01"] ** 2
-            if s["v00"] <= 0 or (slope and det <= 1e-12 * s["v00"] * s["v11"]):
-                now[2] = "not_estimable"
-                continue
-            da, db = ((s["v11"] * s["r0"] - s["v01"] * s["r1"]) / det, (s["v00"] * s["r1"] - s["v01"] * s["r0"]) / det) if slope else (s["r0"] / s["v00"], 0.0)
-            damp = min(1.0, 5.0 / max(abs(da), abs(db), 1e-300))
-            now[0], now[1] = now[0] + damp * da, now[1] + damp * db
-            if max(abs(da), abs(db)) < tolerance:
-                now[2] = "converged"
-    rows = [(*k, *((a, b) if s == "converged" else (None, None)), "not_converged" if s == "open" else s) for k, (a, b, s) in state.items()]
-    return spark.createDataFrame(rows, f"{types}, status string")
+        c = F.col
+        slope, det = c("kind") == JOINT, c("v00") * c("v11") - c("v01") * c("v01")
+        stuck = (c("v00") <= 0) | (slope & (det <= 1e-12 * c("v00") * c("v11")))
+        sums = sums.withColumns(
+            {
+                "stuck": stuck,
+                "da": F.when(stuck, 0.0).when(slope, (c("v11") * c("r0") - c("v01") * c("r1")) / det).otherwise(c("r0") / c("v00")),
+                "db": F.when(stuck | ~slope, 0.0).otherwise((c("v00") * c("r1") - c("v01") * c("r0")) / det),
+            }
+        )
+        most = F.greatest(F.abs("da"), F.abs("db"))
+        damp = F.least(F.lit(1.0), 5.0 / F.greatest(most, F.lit(1e-300)))
+        status = F.when(c("stuck"), "not_estimable").when(most < tolerance, "converged").otherwise("open")
+        state = written(sums.select(*by, "kind", (c("a") + damp * c("da")).alias("a"), (c("b") + damp * c("db")).alias("b"), status.alias("status")), "newton")
+        closed.append(state.where("status != 'open'"))
+    closed.append(state.where("status = 'open'").withColumn("status", F.lit("not_converged")))
+    done = reduce(DataFrame.unionByName, closed)
+    return done.select(*by, "kind", *(F.when(F.col("status") == "converged", F.col(x)).alias(x) for x in ("a", "b")), "status")
 
 
 def calibration(df: DataFrame, by: list[str] = ("model_id",), outcome: str = "outcome", score: str = "probability") -> DataFrame:
     """Observed over expected, calibration in the large, and joint intercept and slope, per group."""
     by = list(by)
     counts = score_counts(df, outcome, score, None, by)
-    counts = counts.groupBy(*by, clip("score", CLIP, 1 - CLIP).alias("p")).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp")).withColumn("lp", logit("p")).persist()
+    counts = written(counts.groupBy(*by, clip("score", CLIP, 1 - CLIP).alias("p")).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp")).withColumn("lp", logit("p")), "calibration-counts")
     n = F.sum(F.col("tp") + F.col("fp"))
     base = counts.groupBy(*by).agg(n.alias("n"), F.sum("tp").alias("events"), (F.sum("tp") / n).alias("prevalence"), (F.sum((F.col("tp") + F.col("fp")) * F.col("p")) / n).alias("mean_predicted_risk"))
-    large = _newton(counts, by, slope=False).select(*by, F.col("a").alias("calibration_in_the_large"))
-    joint = _newton(counts, by, slope=True).select(*by, F.col("a").alias("calibration_intercept"), F.col("b").alias("calibration_slope"), "status")
-    out = base.withColumn("oe_ratio", F.col("prevalence") / F.col("mean_predicted_risk")).join(large, by).join(joint, by)
-    return out
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    fits = _newton(counts, by).groupBy(*by).agg(of(LARGE, "a").alias("calibration_in_the_large"), of(JOINT, "a").alias("calibration_intercept"), of(JOINT, "b").alias("calibration_slope"), of(JOINT, "status").alias("status"))
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]
+    out = base.withColumn("oe_ratio", F.col("prevalence") / F.col("mean_predicted_risk")).alias("b").join(fits.alias("f"), reduce(Column.__and__, same, F.lit(True)))
+    return out.select("b.*", *(f"f.{c}" for c in fits.columns if c not in by))
 
 
 def calibration_bins(df: DataFrame, by: list[str] = ("model_id",), bins: int = 10, outcome: str = "outcome", score: str = "probability") -> DataFrame:
@@ -88,12 +102,9 @@ def calibrators(df: DataFrame, by: list[str], fold: str) -> DataFrame:
     counts = counts.withColumn("lp", logit("score", CLIP))
     folds = counts.groupBy(*by).agg(F.collect_set(fold).alias("__folds"))
     others = counts.join(folds, by).withColumn("__fold", F.explode(F.filter("__folds", lambda f: f != F.col(fold))))
-    others = others.groupBy(*by, F.col("__fold").alias(fold), "lp").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
     # groupBy drops the own fold here: the key is the fold that is left out.
-    others = others.persist()
-    keys = [*by, fold]
-    parts = [_newton(others, keys, slope=s).withColumn("update_type", F.lit(n)) for n, s in (("intercept", False), ("intercept_slope", True))]
-    return parts[0].unionByName(parts[1])
+    others = others.groupBy(*by, F.col("__fold").alias(fold), "lp").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    return _newton(written(others, "calibrator-counts"), [*by, fold]).withColumnRenamed("kind", "update_type")
 
 
 def crossfit_recalibrate(df: DataFrame, by: list[str] = ("model_id",), fold: str = "outer_fold") -> DataFrame:
@@ -105,31 +116,74 @@ def crossfit_recalibrate(df: DataFrame, by: list[str] = ("model_id",), fold: str
     return df.withColumn("update_type", F.lit("raw")).unionByName(updated)
 
 
+def threshold_cells(df: DataFrame, thresholds: list[float], by: list[str], gap_h: float) -> DataFrame:
+    """(by, cells): per level, which is the number of increasing thresholds that a score reaches, what enters the curve there.
+
+    A cell has the rows and events of its level, the entities whose greatest
+    level it is, and the change of the number of open episodes: a row opens an
+    episode exactly for the thresholds above the greatest level that its
+    entity had in the gap before, up to its own level. Every row is read and
+    shuffled once, whatever the number of thresholds; rows without a score
+    have level -1.
+    """
+    score = F.col("probability").cast("double")
+    level = F.when(score.isNull(), -1).otherwise(F.size(F.filter(F.array(*(F.lit(float(t)) for t in thresholds)), lambda t: t <= score)))
+    rows = df.select(*by, "entity_key", "landmark_h", level.alias("__level"), F.col("outcome").alias("__y"))
+    rows = timeline.with_prior(rows, by, "entity_key", "landmark_h", "__level", gap_h)
+    prior, y = F.greatest(F.coalesce("__prior", F.lit(0)), F.lit(0)), F.col("__y")
+    none = F.lit(None).cast("int")
+    # A row's part of the counts, and of its entity's greatest level.
+    cells = F.array(
+        F.struct(F.lit(None).cast(df.schema["entity_key"].dataType).alias("who"), F.col("__level").alias("level"), F.least(prior, "__level").alias("prior"), F.lit(1).alias("n"), (y == 1).cast("int").alias("pos"), (y == 0).cast("int").alias("neg")),
+        F.struct(F.col("entity_key").alias("who"), F.col("__level").alias("level"), none.alias("prior"), none.alias("n"), none.alias("pos"), none.alias("neg")),
+    )
+    parts = rows.select(*by, F.explode(cells).alias("c")).where("c.who IS NOT NULL OR c.n IS NOT NULL").select(*by, "c.*")
+    # Cells keep their level as a key; an entity's greatest one is found.
+    parts = parts.groupBy(*by, "who", F.when(F.col("who").isNull(), F.col("level")).alias("at"), "prior").agg(F.max("level").alias("level"), *(F.sum(c).alias(c) for c in ("n", "pos", "neg")))
+    cell, zero = F.col("who").isNull(), F.lit(0).cast("long")
+    at = lambda level, **has: F.struct(level.alias("level"), *(has.get(c, zero).cast("long").alias(c) for c in ("n", "pos", "neg", "entities", "opened")))
+    steps = F.when(~cell, F.array(at(F.col("level"), entities=F.lit(1)))).otherwise(
+        F.array(
+            at(F.col("level"), n=F.col("n"), pos=F.coalesce("pos", zero), neg=F.coalesce("neg", zero)),
+            at(F.col("prior") + 1, opened=F.when(F.col("level") > F.col("prior"), F.col("n")).otherwise(zero)),
+            at(F.col("level") + 1, opened=F.when(F.col("level") > F.col("prior"), -F.col("n")).otherwise(zero)),
+        )
+    )
+    summed = parts.select(*by, F.explode(steps).alias("s")).select(*by, "s.*").groupBy(*by, "level").agg(*(F.sum(c).alias(c) for c in ("n", "pos", "neg", "entities", "opened")))
+    return summed.groupBy(*by).agg(F.collect_list(F.struct("level", "n", "pos", "neg", "entities", "opened")).alias("cells"))
+
+
 def decision_curve(df: DataFrame, thresholds: list[float], by: list[str] = ("model_id",), gap_h: float = 8) -> DataFrame:
     """Confusion counts, rates, alert burden and net benefit at every threshold; a row alerts from the threshold on.
 
     Alerts of an entity start a new episode after a gap of more than gap_h
-    hours since the alert before.
+    hours since the alert before. All thresholds come from one sweep over the
+    levels of a group (threshold_cells), a few cells per group.
     """
     by = list(by)
-    keys = [*by, "threshold"]
-    rows = df.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
-    alert, y = F.col("probability") >= F.col("threshold"), F.col("outcome")
-    counts = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(alert & (y == 1)).alias("tp"),
-        F.count_if(alert & (y == 0)).alias("fp"),
-        F.count_if(~alert & (y == 1)).alias("fn"),
-        F.count_if(~alert & (y == 0)).alias("tn"),
-        F.count_distinct("entity_key").alias("n_entities"),
-        F.count_distinct(F.when(alert, F.col("entity_key"))).alias("alerted_entities"),
+    thresholds = sorted({float(t) for t in thresholds})
+    cells = threshold_cells(df, thresholds, by, gap_h)
+    cuts = F.array(*(F.struct(F.lit(i + 1).alias("j"), F.lit(t).alias("threshold")) for i, t in enumerate(thresholds)))
+    rows = cells.withColumn("__cut", F.explode(cuts))
+    j = F.col("__cut")["j"]
+    total = lambda what, where: F.aggregate(F.filter("cells", where), F.lit(0).cast("long"), lambda a, c: a + c[what])
+    above, below, upto, every = (lambda c: c["level"] >= j), (lambda c: (c["level"] >= 0) & (c["level"] < j)), (lambda c: c["level"] <= j), (lambda c: F.lit(True))
+    counts = rows.select(
+        *by,
+        F.col("__cut")["threshold"].alias("threshold"),
+        total("n", every).alias("n"),
+        total("pos", above).alias("tp"),
+        total("neg", above).alias("fp"),
+        total("pos", below).alias("fn"),
+        total("neg", below).alias("tn"),
+        total("entities", every).alias("n_entities"),
+        total("entities", above).alias("alerted_entities"),
+        total("opened", upto).alias("episodes"),
     )
-    episodes = alert_episodes(rows.where(alert), keys, gap_h)
     rate = lambda a, b: F.when(b > 0, a / b)
     c, t = F.col, F.col("threshold")
-    out = counts.join(episodes, keys, "left").withColumn("episodes", F.coalesce("episodes", F.lit(0)))
     share = (c("tp") + c("fn")) / c("n")
-    return out.withColumns(
+    return counts.withColumns(
         {
             "sensitivity": rate(c("tp"), c("tp") + c("fn")),
             "specificity": rate(c("tn"), c("tn") + c("fp")),
@@ -145,13 +199,6 @@ def decision_curve(df: DataFrame, thresholds: list[float], by: list[str] = ("mod
     )
 
 
-def alert_episodes(alerts: DataFrame, by: list[str], gap_h: float = 8) -> DataFrame:
-    """(by, episodes) of alert rows (by, entity_key, landmark_h)."""
-    before = F.lag("landmark_h").over(Window.partitionBy(*by, "entity_key").orderBy("landmark_h"))
-    fresh = before.isNull() | (F.col("landmark_h") - before > gap_h)
-    return alerts.withColumn("__fresh", fresh).groupBy(*by).agg(F.count_if("__fresh").alias("episodes"))
-
-
 def net_benefit_comparison(curve: DataFrame, models: list[str], pairs: list[tuple[str, str]], by: list[str] = ()) -> DataFrame:
     """Net benefit of the models side by side at every threshold, with the differences of the pairs."""
     return widen_models(curve, [*by, "threshold"], models, "net_benefit", pairs)

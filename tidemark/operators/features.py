@@ -244,7 +244,7 @@ def nested_sums(events: DataFrame, spine: DataFrame, spec: WindowSpec, hours: li
 def interval_exposure(intervals: DataFrame, spine: DataFrame, spec: WindowSpec) -> DataFrame:
     """Intervals (entity_key, start_h, end_h, agents) that overlap the window: any, active at the landmark, most agents in one."""
     rows = joins.overlapping(intervals, spec).join(spine.select(*KEYS), KEYS)
-    now = (F.col("start_h") <= F.col("landmark_h")) & (F.col("end_h") > F.col("landmark_h"))
+    now = (F.col("start_h") <= F.col("landmark_h")) & (F.col("end_h") >= F.col("landmark_h"))
     return rows.groupBy(*KEYS).agg(F.lit(1).alias("any_exposure"), F.max(now.cast("int")).alias("current_exposure"), F.max("agents").alias("max_agents"), F.max("start_h").alias("latest_start_h"))
 
 

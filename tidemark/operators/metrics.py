@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranks import running
+from tidemark.operators.ranks import row_numbers, running
 
 #: Machine epsilon of double, the clip of the log loss.
 EPS = 2.220446049250313e-16
@@ -112,10 +112,10 @@ def rank_edges(n: int) -> list[float]:
 def rank_bins(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """(key, bin 1 .. n) by rank: edges are the interpolated quantiles of the ranks 1 .. m, each edge in the lower bin.
 
-    df has a row per group, not per record; equal values go by key.
+    Equal values go by key.
     """
-    order = Window.orderBy(value, key)
-    ranks = df.select(key, value, F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy()).alias("m"))
+    ranks = row_numbers(df.select(key, value), [value, key], "rank").withColumn("rank", F.col("rank") + 1)
+    ranks = ranks.withColumn("m", F.lit(ranks.count()))
     bin_ = F.lit(1)
     for edge in rank_edges(n):
         bin_ = bin_ + (F.col("rank") > 1 + (F.col("m") - 1) * F.lit(edge)).cast("int")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins
+from tidemark.operators import joins, timeline
 from tidemark.spec import KEYS
 
 #: Label of rows whose outcome can't be known.
@@ -22,19 +22,14 @@ def horizons(spine: DataFrame, hours: list[int], extra: dict[int, list[int]] | N
     return spine.withColumn("horizon_h", F.explode(cells)).withColumn("end_h", F.col("landmark_h") + F.col("horizon_h"))
 
 
-def window_evidence(windows: DataFrame, evidence: DataFrame, name: str, by: list[Column] = ()) -> DataFrame:
-    """First evidence in (t, t + h], and how much there is: rows, distinct times, and distinct combinations of ``by``.
+def window_evidence(windows: DataFrame, evidence: DataFrame, name: str, by: list[Column] = (), reach: float | None = None) -> DataFrame:
+    """First evidence in (t, t + h], and how much there is: rows, distinct times, and distinct combinations of ``by``."""
+    return window_evidences(windows, {name: evidence}, {name: list(by)}, reach)
 
-    One range join and one aggregation for each evidence table.
-    """
-    keys = [*KEYS, "horizon_h"]
-    hits = joins.in_range(windows.select(*keys, "end_h"), evidence, "entity_key", "landmark_h", "end_h", how="inner")
-    aggs = [F.min("event_h").alias(f"{name}_first_h"), F.count("event_h").alias(f"{name}_rows"), F.count_distinct("event_h").alias(f"{name}_times")]
-    if by:
-        aggs.append(F.count_distinct(F.struct("event_h", *by)).alias(f"{name}_distinct"))
-    found = hits.groupBy(*keys).agg(*aggs)
-    counts = [c for c in found.columns if c not in keys and not c.endswith("_first_h")]
-    return windows.join(found, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+
+def window_evidences(windows: DataFrame, evidence: dict[str, DataFrame], by: dict[str, list[Column]] | None = None, reach: float | None = None) -> DataFrame:
+    """window_evidence() of several evidence tables, from one shuffle; reach is the longest horizon, if known."""
+    return timeline.evidence_in_windows(windows, evidence, by, reach=reach)
 
 
 def evidence_events(sources: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
@@ -70,9 +65,10 @@ def grade_outcome(df: DataFrame, ladder: list[tuple[str, str, int]], otherwise:
 
 
 def competing_event(df: DataFrame, event: str | Column, death: str = "death_h", exit_: str = "exit_h", tolerance_h: float = 0.0) -> DataFrame:
-    """competing_event_type: death, discharge, both_same_time or none, inside the horizon and before the event.
+    """competing_event_type: both_same_time, death, discharge or none, inside the horizon and before the event.
 
-    Death and discharge are at the same time if they differ by less than the
+    A death that counts goes before a discharge, whichever came first. Death
+    and discharge are at the same time if they differ by less than the
     tolerance, or are equal for a tolerance of 0.
     """
     event = F.col(event) if isinstance(event, str) else event
@@ -80,7 +76,7 @@ def competing_event(df: DataFrame, event: str | Column, death: str = "death_h",
     dead, left = counts(death), counts(exit_)
     gap = F.abs(F.col(death) - F.col(exit_))
     same = F.coalesce(gap < tolerance_h if tolerance_h else gap == 0, F.lit(False))
-    kind = F.when(dead & left & same, "both_same_time").when(dead & (~left | (F.col(death) < F.col(exit_))), "death").when(left, "discharge").otherwise("none")
+    kind = F.when(dead & left & same, "both_same_time").when(dead, "death").when(left, "discharge").otherwise("none")
     return df.withColumn("competing_event_type", kind)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources import written
+
 #: Parts of a group's order, between sketched quantiles of its distinct values.
 BUCKETS = 64
 
@@ -39,6 +41,29 @@ def running(counts: DataFrame, by: list[str], value: str, sums: list[str], desce
     return rows.drop("__all", "__x", "__bucket", *(f"__base_{s}" for s in sums))
 
 
+def row_numbers(rows: DataFrame, order: list[str], name: str, within: list[str] = ()) -> DataFrame:
+    """rows (with a total order) numbered from 0 in it, or from 0 within each value of the columns that lead the order.
+
+    Sampled splitters range-partition the rows; a partition numbers its own,
+    and the sizes of the partitions, one number each, give its offset. No
+    window runs over all rows. The numbered rows are written once, as the
+    splitters of another evaluation may differ.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = written(dealt.withColumns({"__pid": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    sizes = {r["__pid"]: r["count"] for r in dealt.groupBy("__pid").count().collect()}  # a row per partition
+    offsets, total = [], 0
+    for pid in sorted(sizes):
+        offsets.append((pid, total))
+        total += sizes[pid]
+    offsets = rows.sparkSession.createDataFrame(offsets, "__pid int, __offset long")
+    numbered = dealt.join(F.broadcast(offsets), "__pid").withColumn(name, F.col("__offset") + F.col("__at")).drop("__pid", "__at", "__offset")
+    if within:
+        first = numbered.groupBy(*within).agg(F.min(name).alias("__first"))
+        numbered = numbered.join(first, list(within)).withColumn(name, F.col(name) - F.col("__first")).drop("__first")
+    return numbered
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
     """(by, quantiles): exact quantiles, interpolated between neighbours, of the values that aren't null."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("n"))

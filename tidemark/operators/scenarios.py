@@ -45,10 +45,10 @@ def utility_of(df: DataFrame, thresholds: list[float]) -> DataFrame:
     return calibration.decision_curve(df, thresholds, ["scenario", "model_id"])
 
 
-def evaluate_scenarios(df: DataFrame, pairs: list[tuple[str, str]], thresholds: list[float], replicates: int, seed: int) -> dict[str, DataFrame]:
-    """Points with confidence intervals, calibration and decision curves, per scenario."""
+def evaluate_scenarios(df: DataFrame, pairs: list[tuple[str, str]], thresholds: list[float], replicates: int, seeds: dict[str, int]) -> dict[str, DataFrame]:
+    """Points with confidence intervals, calibration and decision curves, per scenario; each scenario has its own seed and clusters."""
     points = metrics.paired(df, pairs, by=["scenario"])
-    intervals = bootstrap.percentile_ci(bootstrap.bootstrap(df, pairs, replicates=replicates, seed=seed, by=["scenario"]), ["scenario"])
+    intervals = bootstrap.percentile_ci(bootstrap.bootstrap(df, pairs, replicates=replicates, by=["scenario"], seeds=seeds), ["scenario"])
     return {
         "comparison": points.join(intervals, ["scenario", "comparison", "metric"]),
         "calibration": calibration_of(df),

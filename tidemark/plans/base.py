@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import expit, hash_fold, hours_since
 from tidemark.operators import joins, outcome, spine
+from tidemark.sources import work_path
 from tidemark.spec import KEYS, WindowSpec
 
 QUERIES: dict = {}
@@ -44,16 +41,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else c for c, t in df.dtypes))
 
 
-@functools.cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of the cluster (spark.checkpoint.dir)."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or _own_dir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
@@ -86,8 +73,7 @@ def evidence(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 def outcomes(spark: SparkSession, sf_dir: str, hours: tuple[int, ...] = (24, 48)) -> DataFrame:
     windows = outcome.horizons(landmarks(spark, sf_dir), list(hours), {168: [72]})
-    windows = outcome.window_evidence(windows, evidence(spark, sf_dir, "purchase"), "strict")
-    windows = outcome.window_evidence(windows, evidence(spark, sf_dir, "signup"), "broad")
+    windows = outcome.window_evidences(windows, {"strict": evidence(spark, sf_dir, "purchase"), "broad": evidence(spark, sf_dir, "signup")}, reach=72)
     return outcome.grade_outcome(windows, [("strict_first_h", "A", 1), ("broad_first_h", "Unknown", 9)])
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import hash_fold, strict_double
-from tidemark.operators import bootstrap, calibration, elastic_net, folds, joins, metrics, models, quality, scenarios
+from tidemark.operators import bootstrap, calibration, elastic_net, folds, joins, metrics, models, outcome, quality, scenarios
 from tidemark.plans.base import (
     COHORT, HASH_FOLD, METRICS, OBS, OUTCOME, PREDICTIONS, SPEC, SPINE, WOBS, cohort, expanded, landmarks, observations, outcomes, predictions, query, rounded, table, work_path,
 )
-from tidemark.plans.landmark import _TRAJECTORY, predictor_matrix, trajectory
+from tidemark.plans.landmark import _EXITS, _MINUTE, _TRAJECTORY, _competing_sql, _with_exits, predictor_matrix, trajectory
 from tidemark.sources import resume_parts
 from tidemark.spec import KEYS
 
@@ -233,22 +233,84 @@ def _(spark, d):
     return bootstrap.cluster_weights(cohort(spark, d), "cluster_key", range(REPLICATES), 11)
 
 
-@query("n02_n03_bootstrap_ci")
+def _boot(src, seeds, by=""):
+    """Intervals of all comparisons of the rows of src (by…, model_id, cluster_key, outcome, probability), as a CTE chain that ends in ``ci``.
+
+    A replicate's metrics are those of the rows weighted by its draws.
+    """
+    lead = f"{by}, " if by else ""
+    within = f"PARTITION BY {by}" if by else ""
+    keys = f"{lead}replicate, model_id"
+    weighted = METRICS.format(by=keys, src="wp").replace("CAST(outcome", "weight * CAST(outcome")
+    return f""", c AS (SELECT {lead}cluster_key, row_number() OVER ({within} ORDER BY cluster_key) - 1 AS no, count(*) OVER ({within}) AS n FROM (SELECT DISTINCT {lead}cluster_key FROM {src})),
+w AS (SELECT {lead}replicate, no, count(*) AS weight FROM (SELECT {lead}replicate, CAST(('0x' || substr(md5({seeds} || '|' || replicate || '|' || no), 1, 13)) AS BIGINT) % n AS no FROM c, (SELECT unnest(range(0, {REPLICATES})) AS replicate)) GROUP BY ALL),
+wp AS (SELECT x.*, replicate, weight FROM {src} x JOIN c USING ({lead}cluster_key) JOIN w USING ({lead}no)){weighted},
+{_LONG.replace("lg AS", "rl AS")}, ci AS (SELECT {lead}a.model_id || '_vs_' || b.model_id AS comparison, metric, count(*) AS replicates, {", ".join(f"quantile_cont({v}, {q}) AS {n}_{e}" for n, v in (("reference", "b.value"), ("candidate", "a.value"), ("difference", "a.value - b.value")) for e, q in (("low", 0.025), ("high", 0.975)))}
+  FROM rl a JOIN rl b USING ({lead}replicate, metric) WHERE a.model_id > b.model_id AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL)"""
+
+
+def _points(src, by=""):
+    """The same comparisons of all rows of src, as a CTE chain that ends in ``pt``; names of _boot() are free again."""
+    lead = f"{by}, " if by else ""
+    chain = METRICS.format(by=f"{lead}model_id", src=src).replace(", sc AS", ", psc AS").replace(" cu AS", " pcu AS").replace(" met AS", " pmet AS").replace("FROM sc ", "FROM psc ").replace("FROM cu ", "FROM pcu ")
+    return chain + f", {_LONG.replace('lg AS', 'pl AS').replace('FROM met', 'FROM pmet')}, pt AS (SELECT {lead}a.model_id || '_vs_' || b.model_id AS comparison, metric, b.n, b.events, b.prevalence, b.value AS reference, a.value AS candidate, a.value - b.value AS difference FROM pl a JOIN pl b USING ({lead}metric) WHERE a.model_id > b.model_id)"
+
+
+_CI = ", ".join(f"round({n}_{e}, 6) AS {n}_{e}" for n in ("reference", "candidate", "difference") for e in ("low", "high"))
+_PT = "n, events, round(prevalence, 6) AS prevalence, round(reference, 6) AS reference, round(candidate, 6) AS candidate, round(difference, 6) AS difference"
+
+
+@query("n02_n03_bootstrap_ci", f"WITH {PREDICTIONS}{_boot('preds', chr(39) + '11' + chr(39))}{_points('preds')} SELECT comparison, metric, {_PT}, replicates, {_CI} FROM pt JOIN ci USING (comparison, metric)")
 def _(spark, d):
     p = predictions(spark, d)
     reps = bootstrap.bootstrap(p, PAIRS, replicates=REPLICATES, seed=11)
-    return metrics.paired(p, PAIRS).join(bootstrap.percentile_ci(reps), ["comparison", "metric"])
+    return rounded(metrics.paired(p, PAIRS).join(bootstrap.percentile_ci(reps), ["comparison", "metric"]))
+
+
+def _three_models(spark, d):
+    """The two models and a third, which halves the distance to 0.5 of the first."""
+    p = predictions(spark, d)
+    third = p.where("model_id = 'm1'").withColumns({"model_id": F.lit("m3"), "probability": F.round(F.col("probability") / 2 + 0.25 + 0.001 * (F.col("landmark_h") % 7), 3)})
+    return p.unionByName(third)
+
 
+_THREE = PREDICTIONS + ", p3 AS (SELECT * FROM preds UNION ALL SELECT * REPLACE ('m3' AS model_id, round(probability / 2 + 0.25 + 0.001 * (landmark_h % 7), 3) AS probability) FROM preds WHERE model_id = 'm1')"
 
-_Q = PREDICTIONS + ", q AS (SELECT model_id, outcome AS y, greatest(1e-6, least(1 - 1e-6, probability)) AS p FROM preds), z AS (SELECT *, ln(p / (1 - p)) AS lp FROM q), a0 AS (SELECT DISTINCT model_id, 0.0::DOUBLE AS a FROM z), b0 AS (SELECT DISTINCT model_id, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM z)"
-for _i in range(1, 11):
-    _Q += f", a{_i} AS MATERIALIZED (SELECT model_id, any_value(a) + sum(y - 1 / (1 + exp(-(a + lp)))) / sum((1 / (1 + exp(-(a + lp)))) * (1 - 1 / (1 + exp(-(a + lp))))) AS a FROM z JOIN a{_i - 1} USING (model_id) GROUP BY ALL)"
-    _Q += f""", s{_i} AS MATERIALIZED (SELECT model_id, any_value(a) AS a, any_value(b) AS b, sum(y - f) AS r0, sum((y - f) * lp) AS r1, sum(f * (1 - f)) AS v00, sum(f * (1 - f) * lp) AS v01, sum(f * (1 - f) * lp * lp) AS v11
-      FROM (SELECT z.*, a, b, 1 / (1 + exp(-(a + b * lp))) AS f FROM z JOIN b{_i - 1} USING (model_id)) GROUP BY ALL),
-      b{_i} AS MATERIALIZED (SELECT model_id, a + (v11 * r0 - v01 * r1) / (v00 * v11 - v01 * v01) AS a, b + (v00 * r1 - v01 * r0) / (v00 * v11 - v01 * v01) AS b FROM s{_i})"""
+
+@query("n05_multi_comparison", f"WITH {_THREE}{_boot('p3', chr(39) + '5' + chr(39))}{_points('p3')} SELECT comparison, metric, {_PT}, replicates, {_CI} FROM pt JOIN ci USING (comparison, metric)")
+def _(spark, d):
+    p, pairs = _three_models(spark, d), [("m1", "m2"), ("m1", "m3"), ("m2", "m3")]
+    reps = bootstrap.bootstrap(p, pairs, replicates=REPLICATES, seed=5)
+    return rounded(metrics.paired(p, pairs).join(bootstrap.percentile_ci(reps), ["comparison", "metric"]))
+
+
+def _newton(keys, tag=""):
+    """Ten Newton steps of both fits for each group of z{tag} (keys…, y, lp), as a CTE chain that ends in a{tag}10 and b{tag}10."""
+    out = f", a{tag}0 AS (SELECT DISTINCT {keys}, 0.0::DOUBLE AS a FROM z{tag}), b{tag}0 AS (SELECT DISTINCT {keys}, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM z{tag})"
+    for i in range(1, 11):
+        out += f", a{tag}{i} AS MATERIALIZED (SELECT {keys}, any_value(a) + sum(y - 1 / (1 + exp(-(a + lp)))) / sum((1 / (1 + exp(-(a + lp)))) * (1 - 1 / (1 + exp(-(a + lp))))) AS a FROM z{tag} JOIN a{tag}{i - 1} USING ({keys}) GROUP BY ALL)"
+        out += f""", s{tag}{i} AS MATERIALIZED (SELECT {keys}, any_value(a) AS a, any_value(b) AS b, sum(y - f) AS r0, sum((y - f) * lp) AS r1, sum(f * (1 - f)) AS v00, sum(f * (1 - f) * lp) AS v01, sum(f * (1 - f) * lp * lp) AS v11
+          FROM (SELECT z{tag}.*, a, b, 1 / (1 + exp(-(a + b * lp))) AS f FROM z{tag} JOIN b{tag}{i - 1} USING ({keys})) GROUP BY ALL),
+          b{tag}{i} AS MATERIALIZED (SELECT {keys}, a + (v11 * r0 - v01 * r1) / (v00 * v11 - v01 * v01) AS a, b + (v00 * r1 - v01 * r0) / (v00 * v11 - v01 * v01) AS b FROM s{tag}{i})"""
+    return out
+
+
+def _calibrated(src, keys):
+    """The rows of calibration() over src (keys…, outcome, probability), as a CTE chain that ends in ``cal``."""
+    return f""", z AS (SELECT {keys}, y, p, ln(p / (1 - p)) AS lp FROM (SELECT {keys}, outcome AS y, greatest(1e-6, least(1 - 1e-6, probability)) AS p FROM {src})){_newton(keys)},
+cal AS (SELECT {keys}, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS events, round(avg(y), 6) AS prevalence, round(avg(p), 6) AS mean_predicted_risk, round(avg(y) / avg(p), 6) AS oe_ratio, round(any_value(a10.a), 6) AS calibration_in_the_large,
+  round(any_value(b10.a), 6) AS calibration_intercept, round(any_value(b10.b), 6) AS calibration_slope, 'converged' AS status FROM z JOIN a10 USING ({keys}) JOIN b10 USING ({keys}) GROUP BY ALL)"""
 
 
-@query("o01_calibration", f"WITH {_Q} SELECT model_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS events, round(avg(y), 6) AS prevalence, round(avg(p), 6) AS mean_predicted_risk, round(avg(y) / avg(p), 6) AS oe_ratio, round(any_value(a10.a), 6) AS calibration_in_the_large, round(any_value(b10.a), 6) AS calibration_intercept, round(any_value(b10.b), 6) AS calibration_slope, 'converged' AS status FROM z JOIN a10 USING (model_id) JOIN b10 USING (model_id) GROUP BY ALL")
+#: Cross-fitted updates: every fold's fits see the other folds only.
+_UPDATED = PREDICTIONS + f""", zr AS (SELECT *, outcome AS y, ln(greatest(1e-6, least(1 - 1e-6, probability)) / (1 - greatest(1e-6, least(1 - 1e-6, probability)))) AS lp FROM preds),
+z AS (SELECT f.model_id, f.outer_fold, y, lp FROM zr JOIN (SELECT DISTINCT model_id, outer_fold FROM preds) f ON zr.model_id = f.model_id AND zr.outer_fold <> f.outer_fold){_newton('model_id, outer_fold')},
+upd AS (SELECT entity_key, landmark_h, model_id, outer_fold, outcome, 'raw' AS update_type, probability FROM preds
+  UNION ALL SELECT entity_key, landmark_h, model_id, outer_fold, outcome, 'intercept', 1 / (1 + exp(-(a + lp))) FROM zr JOIN a10 USING (model_id, outer_fold)
+  UNION ALL SELECT entity_key, landmark_h, model_id, outer_fold, outcome, 'intercept_slope', 1 / (1 + exp(-(a + b * lp))) FROM zr JOIN b10 USING (model_id, outer_fold))"""
+
+
+@query("o01_calibration", f"WITH {PREDICTIONS}{_calibrated('preds', 'model_id')} SELECT * FROM cal")
 def _(spark, d):
     return rounded(calibration.calibration(predictions(spark, d)))
 
@@ -260,15 +322,15 @@ def _(spark, d):
     return rounded(calibration.calibration_bins(predictions(spark, d)), 9)
 
 
-@query("o03_crossfit_recalibration")
+@query("o03_crossfit_recalibration", f"WITH {_UPDATED} SELECT * REPLACE (round(probability, 6) AS probability) FROM upd")
 def _(spark, d):
     return rounded(calibration.crossfit_recalibrate(predictions(spark, d)).select(*KEYS, "model_id", "outer_fold", "outcome", "update_type", "probability"))
 
 
-def _curve(src, by):
+def _curve(src, by, gap=24):
     keys = f"{by}, threshold"
     return f""", th AS (SELECT unnest([{', '.join(map(str, CUTS))}])::DOUBLE AS threshold), rw AS (SELECT {src}.*, threshold, probability >= threshold AS alert FROM {src}, th),
-ep AS (SELECT {keys}, count(*) FILTER (gap IS NULL OR gap > 24) AS episodes FROM (SELECT {keys}, landmark_h - lag(landmark_h) OVER (PARTITION BY {keys}, entity_key ORDER BY landmark_h) AS gap FROM rw WHERE alert) GROUP BY ALL),
+ep AS (SELECT {keys}, count(*) FILTER (gap IS NULL OR gap > {gap}) AS episodes FROM (SELECT {keys}, landmark_h - lag(landmark_h) OVER (PARTITION BY {keys}, entity_key ORDER BY landmark_h) AS gap FROM rw WHERE alert) GROUP BY ALL),
 cn AS (SELECT {keys}, count(*) AS n, count(*) FILTER (alert AND outcome = 1) AS tp, count(*) FILTER (alert AND outcome = 0) AS fp, count(*) FILTER (NOT alert AND outcome = 1) AS fn, count(*) FILTER (NOT alert AND outcome = 0) AS tn,
   count(DISTINCT entity_key) AS n_entities, count(DISTINCT entity_key) FILTER (alert) AS alerted_entities FROM rw GROUP BY ALL),
 dc AS (SELECT {', '.join('cn.' + k.strip() for k in keys.split(','))}, n, tp, fp, fn, tn, n_entities, alerted_entities, coalesce(episodes, 0) AS episodes, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS sensitivity, round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END, 6) AS specificity,
@@ -289,49 +351,63 @@ def _(spark, d):
     return rounded(calibration.net_benefit_comparison(curve, ["m1", "m2"], [("m2", "m1")]))
 
 
-@query("o07_updated_utility")
+@query("o07_updated_utility", f"WITH {_UPDATED}{_curve('upd', 'model_id, update_type')} SELECT * FROM dc")
 def _(spark, d):
     updated = calibration.crossfit_recalibrate(predictions(spark, d))
     return rounded(calibration.decision_curve(updated, CUTS, ["model_id", "update_type"], 24))
 
 
 def _scored_outcomes(spark, d):
-    p = predictions(spark, d).where("model_id = 'm1'").select("cluster_key", "landmark_h").distinct()
     x = joins.expand(observations(spark, d), SPEC).groupBy(*KEYS).agg(F.count("value").cast("double").alias("n_seen"))
     rows = outcomes(spark, d).where("horizon_h = 24").join(x, KEYS, "left")
-    rows = rows.withColumn("probability", F.round(1 / (1 + F.exp(-(-1 + 0.03 * F.coalesce("n_seen", F.lit(0.0))))), 3)).withColumn("model_id", F.lit("m1"))
-    return rows, p
+    grade = F.when(F.col("strict_times") == 1, "B").when((F.col("strict_times") == 0) & (F.col("broad_times") > 1), "C").otherwise(F.col("evidence_grade"))
+    return rows.withColumns({"probability": F.round(1 / (1 + F.exp(-(-1 + 0.03 * F.coalesce("n_seen", F.lit(0.0))))), 3), "model_id": F.lit("m1"), "evidence_grade": grade})
 
 
 def _scenarios():
-    y = F.col("outcome")
+    """The eight definitions of the reference: three of a database with one strict grade, five of one with three grades and repeated times."""
+    g, twice = F.col("evidence_grade"), F.col("strict_times")
+    graded = lambda *grades: g.isin(*grades)
+    every = F.lit(True)
+    distinct = F.when(twice >= 2, 1).when(g == "None", 0).otherwise(9)
     return [
-        scenarios.Scenario("strict", y.isin(0, 1), y == 1),
-        scenarios.Scenario("unknown_as_positive", F.lit(True), y.isin(1, 9)),
-        scenarios.Scenario("unknown_as_negative", F.lit(True), y == 1),
+        scenarios.Scenario("primary_a_vs_none", graded("A", "None"), graded("A")),
+        scenarios.Scenario("unknown_as_negative", every, graded("A")),
+        scenarios.Scenario("unknown_as_positive", every, graded("A", "Unknown")),
+        scenarios.Scenario("primary_abc_vs_none", graded("A", "B", "C", "None"), graded("A", "B", "C")),
+        scenarios.Scenario("strict_ab_vs_none", graded("A", "B", "None"), graded("A", "B")),
+        scenarios.Scenario("distinct_time_vs_none", distinct.isin(0, 1), distinct == 1),
+        scenarios.Scenario("abc_unknown_as_negative", every, graded("A", "B", "C")),
+        scenarios.Scenario("abc_unknown_as_positive", every, graded("A", "B", "C", "Unknown")),
     ]
 
 
+#: Grades of the scored rows: strict evidence at one time is B, broad evidence at more than two times C.
 _SCEN = OUTCOME + """, seen AS (SELECT k.entity_key, k.landmark_h, count(value) AS n_seen FROM spine k JOIN obs o ON o.entity_key = k.entity_key AND offset_h > landmark_h - 168 AND offset_h <= landmark_h GROUP BY ALL),
-so AS (SELECT o.*, 'm1' AS model_id, round(1 / (1 + exp(-(-1 + 0.03 * coalesce(CAST(n_seen AS DOUBLE), 0)))), 3) AS probability FROM outcomes o LEFT JOIN seen USING (entity_key, landmark_h) WHERE horizon_h = 24),
-sx AS (SELECT 'strict' AS scenario, CAST(outcome = 1 AS INTEGER) AS y, * FROM so WHERE outcome IN (0, 1) UNION ALL SELECT 'unknown_as_positive', CAST(outcome IN (1, 9) AS INTEGER), * FROM so UNION ALL SELECT 'unknown_as_negative', CAST(outcome = 1 AS INTEGER), * FROM so),
+so AS (SELECT o.* EXCLUDE (evidence_grade), CASE WHEN strict_times = 1 THEN 'B' WHEN strict_times = 0 AND broad_times > 1 THEN 'C' ELSE evidence_grade END AS g, 'm1' AS model_id, round(1 / (1 + exp(-(-1 + 0.03 * coalesce(CAST(n_seen AS DOUBLE), 0)))), 3) AS probability FROM outcomes o LEFT JOIN seen USING (entity_key, landmark_h) WHERE horizon_h = 24),
+dt AS (SELECT *, CASE WHEN strict_times >= 2 THEN 1 WHEN g = 'None' THEN 0 ELSE 9 END AS dist FROM so),
+sx AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS scenario, CAST({p} AS INTEGER) AS y, * FROM dt WHERE {w}" for n, w, p in (
+    ("primary_a_vs_none", "g IN ('A', 'None')", "g = 'A'"), ("unknown_as_negative", "true", "g = 'A'"), ("unknown_as_positive", "true", "g IN ('A', 'Unknown')"),
+    ("primary_abc_vs_none", "g IN ('A', 'B', 'C', 'None')", "g IN ('A', 'B', 'C')"), ("strict_ab_vs_none", "g IN ('A', 'B', 'None')", "g IN ('A', 'B')"), ("distinct_time_vs_none", "dist IN (0, 1)", "dist = 1"),
+    ("abc_unknown_as_negative", "true", "g IN ('A', 'B', 'C')"), ("abc_unknown_as_positive", "true", "g IN ('A', 'B', 'C', 'Unknown')"))) + """),
 sc0 AS (SELECT scenario, model_id, y AS outcome, probability FROM sx)"""
 
 
 @query("p01_scenarios", f"WITH {_SCEN}{METRICS.format(by='scenario, model_id', src='sc0')} SELECT scenario, model_id, {_M} FROM met")
 def _(spark, d):
-    rows, _ = _scored_outcomes(spark, d)
+    rows = _scored_outcomes(spark, d)
     return rounded(metrics.ranking_metrics(scenarios.apply_scenarios(rows, _scenarios()), by=["scenario", "model_id"]))
 
 
-@query("p02_competing_scenarios", f"""WITH {OUTCOME}, c AS (SELECT *, coalesce(death_h > landmark_h AND death_h <= end_h AND (strict_first_h IS NULL OR death_h < strict_first_h), false) AS dead FROM outcomes WHERE horizon_h = 24 AND outcome IN (0, 1))
-SELECT 'all' AS scenario, count(*) AS n_rows, CAST(sum(outcome) AS BIGINT) AS n_events FROM c UNION ALL SELECT 'without_death', count(*), CAST(sum(outcome) AS BIGINT) FROM c WHERE NOT dead UNION ALL SELECT 'death_as_event', count(*), CAST(sum(greatest(outcome, CAST(dead AS INTEGER))) AS BIGINT) FROM c""")
-def _(spark, d):
-    from tidemark.operators import outcome as oc
+_FILTERS = {"competing_as_observed_none": "true", "death_censored": "kind NOT IN ('death', 'both_same_time')", "discharge_censored": "kind <> 'discharge'", "any_competing_censored": "kind = 'none'"}
 
-    rows = oc.competing_event(outcomes(spark, d).where("horizon_h = 24 AND outcome IN (0, 1)"), "strict_first_h", exit_="end_h")
-    dead = F.col("competing_event_type").isin("death", "both_same_time")
-    made = scenarios.apply_scenarios(rows, [scenarios.Scenario("all", F.lit(True), F.col("outcome") == 1), scenarios.Scenario("without_death", ~dead, F.col("outcome") == 1), scenarios.Scenario("death_as_event", F.lit(True), (F.col("outcome") == 1) | dead)])
+
+@query("p02_competing_scenarios", f"WITH {_EXITS}, c AS (SELECT outcome, {_competing_sql('strict_first_h')} AS kind FROM ends WHERE horizon_h = 24 AND outcome IN (0, 1)) " + " UNION ALL ".join(f"SELECT '{n}' AS scenario, count(*) AS n_rows, CAST(sum(outcome) AS BIGINT) AS n_events FROM c WHERE {w}" for n, w in _FILTERS.items()))
+def _(spark, d):
+    rows = outcome.competing_event(_with_exits(spark, d).where("horizon_h = 24 AND outcome IN (0, 1)"), "strict_first_h", exit_="left_h", tolerance_h=_MINUTE)
+    kind = F.col("competing_event_type")
+    include = {"competing_as_observed_none": F.lit(True), "death_censored": ~kind.isin("death", "both_same_time"), "discharge_censored": kind != "discharge", "any_competing_censored": kind == "none"}
+    made = scenarios.apply_scenarios(rows, [scenarios.Scenario(n, w, F.col("outcome") == 1) for n, w in include.items()])
     return made.groupBy("scenario").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("outcome").alias("n_events"))
 
 
@@ -352,21 +428,23 @@ def _late_scenarios(spark, d):
     return scenarios.apply_scenarios(rows, [scenarios.Scenario("all", F.lit(True), F.col("outcome") == 1), scenarios.Scenario("late", F.col("landmark_h") >= 336, F.col("outcome") == 1)])
 
 
-def _evaluated(spark, d):
-    return scenarios.evaluate_scenarios(_late_scenarios(spark, d), PAIRS, CUTS, REPLICATES, bootstrap.scenario_seed(11, 1))
+_LATE = PREDICTIONS + ", lt AS (SELECT 'all' AS scenario, * FROM preds UNION ALL SELECT 'late', * FROM preds WHERE landmark_h >= 336)"
+#: A seed for each scenario.
+_SEEDS = bootstrap.scenario_seeds(["all", "late"], 11)
+_SEED_OF = "CASE scenario " + " ".join(f"WHEN '{n}' THEN '{x}'" for n, x in _SEEDS.items()) + " END"
 
 
-@query("p06_scenario_comparison")
+@query("p06_scenario_comparison", f"WITH {_LATE}{_boot('lt', _SEED_OF, 'scenario')}{_points('lt', 'scenario')} SELECT scenario, comparison, metric, {_PT}, replicates, {_CI} FROM pt JOIN ci USING (scenario, comparison, metric)")
 def _(spark, d):
-    return _evaluated(spark, d)["comparison"]
+    return rounded(scenarios.evaluate_scenarios(_late_scenarios(spark, d), PAIRS, CUTS, REPLICATES, _SEEDS)["comparison"])
 
 
-@query("p06_scenario_calibration")
+@query("p06_scenario_calibration", f"WITH {_LATE}{_calibrated('lt', 'scenario, model_id')} SELECT * FROM cal")
 def _(spark, d):
     return rounded(scenarios.calibration_of(_late_scenarios(spark, d)))
 
 
-@query("p06_scenario_utility")
+@query("p06_scenario_utility", f"WITH {_LATE}{_curve('lt', 'scenario, model_id', 8)} SELECT * FROM dc")
 def _(spark, d):
     return rounded(scenarios.utility_of(_late_scenarios(spark, d), CUTS))
 

@@ -200,7 +200,7 @@ def _ispine(iv):
     return iv.select("entity_key").distinct().withColumn("landmark_h", F.explode(F.sequence(F.lit(8760).cast("long"), F.lit(43800).cast("long"), F.lit(2190).cast("long"))))
 
 
-@query("h19_interval_exposure", f"""WITH {_IV} SELECT s.entity_key, s.landmark_h, 1 AS any_exposure, max(CAST(start_h <= landmark_h AND end_h > landmark_h AS INTEGER)) AS current_exposure, max(agents) AS max_agents, round(max(start_h), 6) AS latest_start_h
+@query("h19_interval_exposure", f"""WITH {_IV} SELECT s.entity_key, s.landmark_h, 1 AS any_exposure, max(CAST(start_h <= landmark_h AND end_h >= landmark_h AS INTEGER)) AS current_exposure, max(agents) AS max_agents, round(max(start_h), 6) AS latest_start_h
 FROM isp s JOIN iv ON iv.entity_key = s.entity_key AND start_h <= landmark_h AND end_h > landmark_h - 720 GROUP BY ALL""")
 def _(spark, d):
     iv = _intervals(spark, d)
@@ -333,25 +333,38 @@ def _(spark, d):
     return rounded(outcome.evidence_union(evidence(spark, d, "purchase"), evidence(spark, d, "signup")))
 
 
-def _competing_sql(event, tolerance):
-    gap = f"abs(death_h - exit_h) < {tolerance}" if tolerance else "death_h = exit_h"
+#: Discharges of the adapted tables are no earlier than deaths; here a third of the entities leave 6 hours before they die, a third half a minute after.
+_LEFT = "CASE CAST(entity_key AS BIGINT) % 3 WHEN 0 THEN coalesce(death_h - 6, exit_h) WHEN 1 THEN coalesce(death_h + 1.0 / 120, exit_h) ELSE exit_h END"
+_MINUTE = 1 / 60
+
+
+def _with_exits(spark, d):
+    third = F.col("entity_key").cast("long") % 3
+    left = F.when(third == 0, F.coalesce(F.col("death_h") - 6, "exit_h")).when(third == 1, F.coalesce(F.col("death_h") + F.lit(1.0) / 120, "exit_h")).otherwise(F.col("exit_h"))
+    return outcomes(spark, d).withColumn("left_h", left)
+
+
+def _competing_sql(event):
     dead = f"coalesce(death_h > landmark_h AND death_h <= end_h AND ({event} IS NULL OR death_h < {event}), false)"
-    left = f"coalesce(exit_h > landmark_h AND exit_h <= end_h AND ({event} IS NULL OR exit_h < {event}), false)"
-    return f"CASE WHEN {dead} AND {left} AND coalesce({gap}, false) THEN 'both_same_time' WHEN {dead} AND (NOT {left} OR death_h < exit_h) THEN 'death' WHEN {left} THEN 'discharge' ELSE 'none' END"
+    left = f"coalesce(left_h > landmark_h AND left_h <= end_h AND ({event} IS NULL OR left_h < {event}), false)"
+    return f"CASE WHEN {dead} AND {left} AND coalesce(abs(death_h - left_h) < {_MINUTE}, false) THEN 'both_same_time' WHEN {dead} THEN 'death' WHEN {left} THEN 'discharge' ELSE 'none' END"
+
+
+_EXITS = OUTCOME + f", ends AS (SELECT *, {_LEFT} AS left_h FROM outcomes)"
 
 
-@query("i08_competing_events", f"WITH {OUTCOME} SELECT entity_key, landmark_h, horizon_h, {_competing_sql('strict_first_h', 1 / 60)} AS competing_event_type FROM outcomes")
+@query("i08_competing_events", f"WITH {_EXITS} SELECT entity_key, landmark_h, horizon_h, {_competing_sql('strict_first_h')} AS competing_event_type FROM ends")
 def _(spark, d):
-    return outcome.competing_event(outcomes(spark, d), "strict_first_h", tolerance_h=1 / 60).select(*KEYS, "horizon_h", "competing_event_type")
+    return outcome.competing_event(_with_exits(spark, d), "strict_first_h", exit_="left_h", tolerance_h=_MINUTE).select(*KEYS, "horizon_h", "competing_event_type")
 
 
 _PHENO = "CASE evidence_grade WHEN 'A' THEN strict_first_h WHEN 'Unknown' THEN broad_first_h END"
 
 
-@query("i09_phenotype_competing_events", f"WITH {OUTCOME} SELECT entity_key, landmark_h, horizon_h, {_competing_sql('(' + _PHENO + ')', 0)} AS competing_event_type FROM outcomes")
+@query("i09_phenotype_competing_events", f"WITH {_EXITS} SELECT entity_key, landmark_h, horizon_h, {_competing_sql('(' + _PHENO + ')')} AS competing_event_type FROM ends")
 def _(spark, d):
-    rows = outcomes(spark, d)
-    return outcome.competing_event(rows, outcome.phenotype_event(rows, {"A": "strict_first_h", "Unknown": "broad_first_h"})).select(*KEYS, "horizon_h", "competing_event_type")
+    rows = _with_exits(spark, d)
+    return outcome.competing_event(rows, outcome.phenotype_event(rows, {"A": "strict_first_h", "Unknown": "broad_first_h"}), exit_="left_h", tolerance_h=_MINUTE).select(*KEYS, "horizon_h", "competing_event_type")
 
 
 @query("i10_outcome_counts", f"WITH {OUTCOME} SELECT landmark_h, horizon_h, evidence_grade, count(*) AS n_rows, count(DISTINCT entity_key) AS n_entities FROM outcomes GROUP BY ALL")
@@ -369,14 +382,15 @@ def _(spark, d):
     return outcome.evaluable(landmarks(spark, d).select(*KEYS, "cluster_key"), outcomes(spark, d), 72, 168).select(*KEYS, "cluster_key", "outcome")
 
 
-@query("p07_reclassification_audit", f"""WITH {OUTCOME}, c AS (SELECT {_competing_sql('strict_first_h', 1 / 60)} AS stored, {_competing_sql('(' + _PHENO + ')', 0)} AS corrected FROM outcomes)
+@query("p07_reclassification_audit", f"""WITH {_EXITS}, c AS (SELECT {_competing_sql('strict_first_h')} AS stored, {_competing_sql('(' + _PHENO + ')')} AS corrected FROM ends)
 SELECT a.stored, b.corrected, coalesce(n, 0) AS n FROM (SELECT DISTINCT stored FROM c) a CROSS JOIN (SELECT DISTINCT corrected FROM c) b LEFT JOIN (SELECT stored, corrected, count(*) AS n FROM c GROUP BY ALL) x ON x.stored = a.stored AND x.corrected = b.corrected""")
 def _(spark, d):
     from tidemark.operators import scenarios
 
-    rows = outcomes(spark, d)
+    rows = _with_exits(spark, d)
     event = outcome.phenotype_event(rows, {"A": "strict_first_h", "Unknown": "broad_first_h"})
-    return scenarios.reclassification_audit(outcome.competing_event(rows, "strict_first_h", tolerance_h=1 / 60), outcome.competing_event(rows, event), "competing_event_type")
+    stored, corrected = (outcome.competing_event(rows, e, exit_="left_h", tolerance_h=_MINUTE) for e in ("strict_first_h", event))
+    return scenarios.reclassification_audit(stored, corrected, "competing_event_type")
 
 
 __all__ = ["predictor_matrix", "registry", "trajectory", "joins", "quality", "reshape"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +12,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where it is unset: one of our own in local mode, and the warehouse on a cluster, whose executors share no local folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = _own_dir() if spark.sparkContext.master.split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder of the cluster."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read from there: what was sampled or numbered stays as it is, and a lost executor costs a re-read."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | str | None = None) -> DataFrame:
     """A Parquet table; the filter and the column list reach the scan."""
     df = spark.read.parquet(path)
