@@ -7,6 +7,9 @@ import os
 import numpy as np
 import pytest
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
 from tidemark import plans
 from tidemark.operators import models
 from tidemark.plans import evaluation
@@ -70,3 +73,52 @@ def test_early_stopping_and_refit(spark):
     tuned = {r.outer_fold: r.median_iterations for r in found.tuning.collect()}
     assert found.predictions.count() == 300 and len(given) == 6
     assert all(n < total for v, _, total, n in given if v) and sorted(i for v, i, _, _ in given if not v) == sorted(int(x) for x in tuned.values())
+
+
+def test_stopping_reads_the_curve_like_a_loop():
+    def loop(curve, patience):
+        best, since = 0, 0
+        for i in range(1, len(curve)):
+            if curve[i] < curve[best]:
+                best, since = i, 0
+            else:
+                since += 1
+                if since == patience:
+                    break
+        return best + 1
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        curve = list(np.round(rng.normal(size=rng.integers(1, 30)).cumsum(), 1))
+        for patience in (1, 2, 5, 75):
+            assert models.stop_at(curve, patience) == loop(curve, patience)
+
+
+def test_rounds_come_from_the_validation_curve(spark):
+    """The curve is that of the models of 1, 2, … rounds; the model kept is that of its best round, whatever the first budget was."""
+    df = matrix(spark).withColumnRenamed("outcome", "label").withColumn("label", F.col("label").cast("double"))
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    train, held = rows.where("outer_fold > 2"), rows.where("outer_fold <= 2")
+    config = models.boosting_grid([2], [0.6])[0]
+    model, curve = models.fit_boosting_until(train, held, config, max_iter=12, patience=2)
+    assert model.getNumTrees == models.stop_at(curve, 2)
+
+    def loss(n):
+        p = models.scores(models.fit_boosting(train, config, n), held, ["label"]).toPandas()
+        margin = np.log(p.probability / (1 - p.probability)) / 2
+        return float(np.mean(2 * np.log1p(np.exp(-2 * margin * (2 * p.label - 1)))))
+
+    plain = [loss(n) for n in range(1, model.getNumTrees + 1)]
+    assert np.allclose(curve[: len(plain)], plain, rtol=1e-6)
+    a = models.scores(model, held, ["entity_key"]).toPandas().sort_values("entity_key").probability
+    b = models.scores(models.fit_boosting(train, config, model.getNumTrees), held, ["entity_key"]).toPandas().sort_values("entity_key").probability
+    assert np.allclose(a.to_numpy(), b.to_numpy())
+    again, longer = models.fit_boosting_until(train, held, config, max_iter=12, patience=3)
+    assert again.getNumTrees == models.stop_at(longer, 3)
+
+
+def test_ties_prefer_sparse_strong_and_shallow():
+    nets, trees = models.elastic_net_grid([0.0, 1.0], [0.1, 1.0]), models.boosting_grid([4, 6], [0.03, 0.07])
+    tied = lambda grid: [(1, 0, c.config_id, 0.5, 0.3, 1, 1, 0.5) for c in grid]
+    best = models._best(tied(nets), nets)
+    assert (best["l1_ratio"], best["C"]) == (1.0, 0.1) and models._best(tied(trees), trees).config_id == 1

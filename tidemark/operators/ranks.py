@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources import written
@@ -65,12 +67,56 @@ def row_numbers(rows: DataFrame, order: list[str], name: str, within: list[str]
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
-    """(by, quantiles): exact quantiles, interpolated between neighbours, of the values that aren't null."""
+    """(by, quantiles): exact quantiles, interpolated between neighbours, of the values that aren't null.
+
+    Values are counted first; the sums of sketched buckets tell which few
+    buckets hold the wanted ranks, and only these are sorted.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("n"))
-    rows = running(counts, by, "__v", ["n"])
+    keys = [*by, "__all"]
+    rows = with_bucket(counts.withColumn("__all", F.lit(0)), keys, "__v")
+    heights = rows.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__height"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("__height").over(group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    heights = heights.withColumns({"__below": upto - F.col("__height"), "__total": F.sum("__height").over(group)})
+    ranks = [f((F.col("__total") - 1) * q) for q in qs for f in (F.floor, F.ceil)]
+    wanted = F.lit(False)
+    for rank in ranks:
+        wanted = wanted | ((F.col("__below") <= rank) & (rank < F.col("__below") + F.col("__height")))
+    few = rows.join(heights.where(wanted), [*keys, "__bucket"])
+    inside = Window.partitionBy(*keys, "__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = few.withColumn("__upto", F.col("__below") + F.sum("n").over(inside))
     found = []
     for q in qs:
-        at = (F.col("total_n") - 1) * q
-        pick = lambda rank: F.max(F.when((F.col("upto_n") - F.col("n") <= rank) & (rank < F.col("upto_n")), F.col("__v")))
+        at = (F.col("__total") - 1) * q
+        pick = lambda rank: F.max(F.when((F.col("__upto") - F.col("n") <= rank) & (rank < F.col("__upto")), F.col("__v")))
         found.append((pick(F.floor(at)), pick(F.ceil(at)), F.max(at - F.floor(at))))
-    return rows.groupBy(*by).agg(F.array(*(low + part * (high - low) for low, high, part in found)).alias("quantiles"))
+    return few.groupBy(*keys).agg(F.array(*(low + part * (high - low) for low, high, part in found)).alias("quantiles")).drop("__all")
+
+
+def distinct_counts(rows: DataFrame, by: list[str], columns: dict[str, Column]) -> DataFrame:
+    """(by, a count per name): exact distinct counts of several columns, nulls left out.
+
+    Each is an aggregation of its own over its own column, so no row is
+    multiplied: integers are bits of bitmaps, which merge before they are
+    shuffled; other values are reduced to distinct ones first.
+    """
+    out = None
+    for name, column in columns.items():
+        one = rows.select(*by, column.alias("__x")).where("__x IS NOT NULL")
+        if one.schema["__x"].dataType.typeName() in ("byte", "short", "integer", "long"):
+            x = F.col("__x").cast("long")
+            bits = one.groupBy(*by, F.bitmap_bucket_number(x).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("__bits"))
+            found = bits.groupBy(*by).agg(F.sum(F.bitmap_count("__bits")).alias(name))
+        else:
+            found = one.distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+        groups = rows.select(*by).distinct() if out is None else out
+        out = _left_by(groups, found, by, name)
+    return out
+
+
+def _left_by(left: DataFrame, right: DataFrame, by: list[str], name: str) -> DataFrame:
+    """left with a count of right, 0 where it has none; null keys are equal."""
+    right = right.select(*(F.col(c).alias(f"__r_{c}") for c in by), name)
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by], F.lit(True))
+    return left.join(right, same, "left").drop(*(f"__r_{c}" for c in by)).withColumn(name, F.coalesce(name, F.lit(0).cast("long")))

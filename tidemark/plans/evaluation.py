@@ -470,17 +470,23 @@ def _(spark, d):
 ELASTIC_NET_GRID = models.elastic_net_grid([0.0, 0.25, 0.5, 0.75, 1.0], [0.01, 0.03, 0.1, 0.3, 1.0])
 
 
-#: Depths and rates of the boosting grid of six, and rounds: few, so that 95 fits of the small tables end soon.
-BOOSTING_GRID = models.boosting_grid([2, 3], [0.05, 0.1, 0.2])
+#: The grid of the reference. Rounds and patience are few, so that 95 fits of the small tables end soon.
+BOOSTING_GRID = models.boosting_grid([4, 6, 8], [0.03, 0.07])
 BOOSTING_ROUNDS = (2, 6)
+BOOSTING_PATIENCE = 2
 _RESULTS: dict = {}
 
 
 def _kept(spark, d, name, run):
-    """The tables of a nested cross-validation, written once for the queries of a session that read them."""
-    key = (spark.sparkContext.applicationId, d, name, len(ELASTIC_NET_GRID), len(BOOSTING_GRID))
+    """The tables of a nested cross-validation of the matrix, written once for the queries of a session that read them.
+
+    They are kept by a digest of the matrix, so that other rows behind the same path get results of their own.
+    """
+    rows = spark.read.parquet(_written(spark, d))
+    digest = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*rows.columns).cast("decimal(38, 0)"))).first()
+    key = (spark.sparkContext.applicationId, *digest, name, len(ELASTIC_NET_GRID), len(BOOSTING_GRID))
     if key not in _RESULTS:
-        found, _RESULTS[key] = run(spark.read.parquet(_written(spark, d))), {}
+        found, _RESULTS[key] = run(rows), {}
         for part in ("predictions", "tuning", "coefficients"):
             df = getattr(found, part)
             if df is not None:
@@ -496,7 +502,7 @@ def _elastic_net(spark, d):
 
 def _boosting(spark, d):
     least, most = BOOSTING_ROUNDS
-    return _kept(spark, d, "boosting", lambda rows: models.nested_boosting(rows, KEYS, "cluster_key", FEATURES, ["segment"], BOOSTING_GRID, most, least))
+    return _kept(spark, d, "boosting", lambda rows: models.nested_boosting(rows, KEYS, "cluster_key", FEATURES, ["segment"], BOOSTING_GRID, most, least, BOOSTING_PATIENCE))
 
 
 def _written(spark, d):
@@ -544,42 +550,56 @@ def _(spark, d):
     return models.refit_selection(_boosting(spark, d)["tuning"], *BOOSTING_ROUNDS)
 
 
+def _transported(spark, d):
+    """Scores of the target rows, and the model, fitted to the source rows with the configuration and rounds that the source's nested cross-validation selects."""
+    rows = spark.read.parquet(_written(spark, d))
+    best = models.refit_selection(_boosting(spark, d)["tuning"], *BOOSTING_ROUNDS).first()
+    config = next(c for c in BOOSTING_GRID if c.config_id == best["config_id"])
+    learner = lambda r, c, n: models.fit_boosting(r, c, max_iter=best["refit_iterations"])
+    source, target = rows.where("outer_fold > 2"), rows.where("outer_fold <= 2")
+    return source, target, models.transport(source, target, FEATURES, ["segment"], config, learner, [*KEYS, "outcome"], indicators=True)
+
+
 @query("l14_saved_model")
 def _(spark, d):
     """Scores of the target rows by a model that was fitted to the source rows, written, and read back."""
     from pyspark.ml.classification import GBTClassificationModel
 
-    rows, path = spark.read.parquet(_written(spark, d)), work_path(spark, "model")
-    source, target, keep = rows.where("outer_fold > 2"), rows.where("outer_fold <= 2"), [*KEYS, "outcome"]
-    learner = lambda r, c, n: models.fit_boosting(r, c, max_iter=3)
-    models.save_model(models.transport(source, target, FEATURES, ["segment"], models.boosting_grid([2], [0.1])[0], learner, keep, indicators=True)[1], path)
+    path, keep = work_path(spark, "model"), [*KEYS, "outcome"]
+    source, target, (_, model) = _transported(spark, d)
+    models.save_model(model, path)
     pre = models.fit_preprocessor(source, [f for f in FEATURES if f != "segment"], ["segment"], True)
     return models.scores(models.load_model(GBTClassificationModel, path), pre.transform(target, keep), keep)
 
 
 @query("l06_boosting_transport")
 def _(spark, d):
-    rows = spark.read.parquet(_written(spark, d))
-    config = models.boosting_grid([3], [0.1])[0]
-    learner = lambda r, c, n: models.fit_boosting(r, c, max_iter=5)
-    return models.transport(rows.where("outer_fold > 2"), rows.where("outer_fold <= 2"), FEATURES, ["segment"], config, learner, [*KEYS, "outcome"], indicators=True)[0]
+    return _transported(spark, d)[2][0]
 
 
 @query("l11_ablation_refit")
 def _(spark, d):
+    """Every outer fold refitted without a feature, with the configuration that it had selected with all of them."""
     rows = spark.read.parquet(_written(spark, d))
-    config = models.elastic_net_grid([0.5], [0.1])[0]
+    configs = models.selected_configs(_elastic_net(spark, d)["tuning"], ELASTIC_NET_GRID)
     kept = [f for f in FEATURES if f != "agents"]
-    found = models.refit_elastic_nets(rows, {f: config for f in models.outer_folds_of(rows)}, kept, ["segment"], [*KEYS, "outer_fold", "outcome"])
+    found = models.refit_elastic_nets(rows, configs, kept, ["segment"], [*KEYS, "outer_fold", "outcome"])
     return models.reconcile(found, rows, KEYS)
 
 
-@query("a08_resumable_parts", f"WITH {PREDICTIONS} SELECT model_id, outer_fold, count(*) AS n, CAST(sum(outcome) AS BIGINT) AS n_events FROM preds WHERE outer_fold <= 2 GROUP BY ALL")
+@query("l08_tuning_summary")
+def _(spark, d):
+    return rounded(_elastic_net(spark, d)["tuning"])
+
+
+@query("a08_resumable_parts", f"WITH {PREDICTIONS} SELECT model_id, outer_fold, count(*) AS n, CAST(sum(outcome) AS BIGINT) AS n_events FROM preds GROUP BY ALL")
 def _(spark, d):
+    """All parts, of which the first is there from a run before."""
     path, p = work_path(spark, "parts"), predictions(spark, d)
     make = lambda m, f: p.where((F.col("model_id") == m) & (F.col("outer_fold") == f)).select(*KEYS, "outcome")
-    resume_parts(spark, path, [("m1", 1)], make, KEYS)
-    found = resume_parts(spark, path, [(m, f) for m in ("m1", "m2") for f in (1, 2)], make, KEYS)
+    parts = [(m, f) for m in ("m1", "m2") for f in models.outer_folds_of(p)]
+    resume_parts(spark, path, parts[:1], make, KEYS)
+    found = resume_parts(spark, path, parts, make, KEYS)
     return found.groupBy("model_id", "outer_fold").agg(F.count(F.lit(1)).alias("n"), F.sum("outcome").alias("n_events"))
 
 

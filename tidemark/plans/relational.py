@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import sources
 from tidemark.functions import clip, distinct_list, earliest, expit, finite, hash_fold, latest, logit, ordinal_level, pattern_of, ratio, seconds_between, some, strict_double
 from tidemark.operators import joins, matrix, metrics, quality, reshape
-from tidemark.operators.ranks import exact_quantiles
+from tidemark.operators.ranks import distinct_counts, exact_quantiles
 from tidemark.plans.base import COHORT, HASH_FOLD, OBS, SPEC, SPINE, WOBS, cohort, landmarks, observations, query, rounded, table, work_path
 from tidemark.spec import KEYS, WindowSpec
 
@@ -26,10 +26,32 @@ def _(spark, d):
     return sources.scan_csv(spark, path, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
 
 
-@query("a04_catalog_table", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY ALL")
+@query("a03_csv_inferred", """SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN o_orderkey % 500 = 7 THEN 'n/a' ELSE CAST(CAST(o_custkey AS BIGINT) AS VARCHAR) END AS customer, CAST(o_totalprice AS DOUBLE) AS price, strftime(o_orderdate, '%d.%m.%Y') AS ordered,
+  'said "' || o_orderpriority || '", twice' AS note, CAST(0 AS BIGINT) AS broken FROM orders WHERE o_orderkey % 1000 <> 11 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, count(*) FROM orders WHERE o_orderkey % 1000 = 11 HAVING count(*) > 0""")
 def _(spark, d):
-    table(spark, d, "nation").createOrReplaceTempView("tidemark_nation")
-    return sources.catalog_table(spark, "tidemark_nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    """Orders as CSV lines, some without all fields, some customers not a number; read with inferred types, the broken lines counted at the end."""
+    o, path = table(spark, d, "orders"), work_path(spark, "lines")
+    quoted = F.concat(F.lit('"said ""'), "o_orderpriority", F.lit('"", twice"'))
+    customer = F.when(F.col("o_orderkey") % 500 == 7, "n/a").otherwise(F.col("o_custkey").cast("string"))
+    whole = F.concat_ws(",", "o_orderkey", customer, F.col("o_totalprice").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), quoted)
+    line = F.when(F.col("o_orderkey") % 1000 == 11, F.concat_ws(",", "o_orderkey", F.lit("cut"))).otherwise(whole)
+    head = spark.createDataFrame([("o_orderkey,customer,price,ordered,note",)], "value string")
+    head.unionByName(o.select(line.alias("value"))).coalesce(1).write.text(path)
+    rows, broken = sources.scan_csv_inferred(spark, path)
+    rows = rows.withColumns({"o_orderkey": F.col("o_orderkey").cast("long"), "ordered": F.date_format("ordered", "dd.MM.yyyy"), "broken": F.lit(0).cast("long")})
+    none = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c != "broken"]
+    return rows.unionByName(broken.agg(F.count(F.lit(1)).alias("broken")).where("broken > 0").select(*none, "broken"))
+
+
+@query("a04_catalog_table", "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def _(spark, d):
+    """A join of tables of two databases, by their qualified names."""
+    a, b = (work_path(spark, name).rpartition("/")[2].replace("-", "_") for name in ("places", "areas"))
+    for database, name in ((a, "nation"), (b, "region")):
+        sources.create_database(spark, database)
+        sources.save_table(table(spark, d, name), f"{database}.{name}")
+    nation, region = sources.catalog_table(spark, f"{a}.nation"), sources.catalog_table(spark, f"{b}.region")
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a05_sorted_parquet", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -225,16 +247,18 @@ def _(spark, d):
 FROM lineitem GROUP BY ALL""")
 def _(spark, d):
     rows, by = table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]
-    mid = exact_quantiles(rows, by, "l_quantity", [0.5]).select(*by, F.get("quantiles", F.lit(0)).alias("mid"))
-    spread = exact_quantiles(rows, by, "l_extendedprice", [0.25, 0.75]).select(*by, F.round(F.get("quantiles", F.lit(1)) - F.get("quantiles", F.lit(0)), 4).alias("iqr"))
+    both = F.array(F.struct(F.lit("mid").alias("c"), F.col("l_quantity").cast("double").alias("v")), F.struct(F.lit("iqr").alias("c"), F.col("l_extendedprice").cast("double").alias("v")))
+    quantiles = exact_quantiles(rows.select(*by, F.explode(both).alias("x")).select(*by, "x.c", "x.v"), [*by, "c"], "v", [0.25, 0.5, 0.75])
+    of = lambda c, i: F.max(F.when(F.col("c") == c, F.get("quantiles", F.lit(i))))
+    shape = quantiles.groupBy(*by).agg(of("mid", 1).alias("mid"), F.round(of("iqr", 2) - of("iqr", 0), 4).alias("iqr"))
+    distinct = distinct_counts(rows, by, {"suppliers": F.col("l_suppkey"), "pairs": F.struct("l_suppkey", "l_linenumber"), "taxed_parts": F.when(F.col("l_tax") > 0.04, F.col("l_partkey"))})
     return rounded(
         rows.groupBy(*by).agg(
             F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("qty"), F.round(F.avg("l_extendedprice"), 4).alias("price"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"),
-            F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct(F.struct("l_suppkey", "l_linenumber")).alias("pairs"), F.count_distinct(F.when(F.col("l_tax") > 0.04, F.col("l_partkey"))).alias("taxed_parts"),
             F.when(F.count(F.lit(1)) >= 2, F.stddev_samp("l_discount")).alias("sd"), F.round(F.sum(F.when(F.col("l_discount") > 0.05, F.col("l_quantity"))), 4).alias("promo_qty"),
             F.count_if(F.col("l_tax") == 0).alias("untaxed"), F.bool_or(F.col("l_quantity") > 49).alias("any_large"), F.bool_and(F.col("l_quantity") > 0).alias("all_positive"), F.avg((F.col("l_discount") > 0.02).cast("int")).alias("discounted"),
             distinct_list("l_linenumber").alias("lines"), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" rows")).alias("detail"), (F.sum(F.col("l_quantity") * F.col("l_tax")) / F.sum("l_quantity")).alias("weighted_tax"),
-        ).join(mid, by).join(spread, by)
+        ).join(shape, by).join(distinct, by)
     )
 
 
