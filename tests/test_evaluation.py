@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bootstrap, calibration, folds, joins, metrics, models, outcome, quality, scenarios
+from tidemark.operators import bootstrap, calibration, folds, joins, metrics, models, outcome, quality, scenarios, spine
+from tidemark.spec import WindowSpec
 
 
 def preds(spark, n=400, seed=1, groups=8):
@@ -234,3 +235,35 @@ def test_scenarios_copy_rows(spark):
     df = spark.createDataFrame([(1,), (0,), (9,)], "outcome int")
     got = scenarios.apply_scenarios(df, [scenarios.Scenario("s", F.col("outcome") != 9, F.col("outcome") == 1), scenarios.Scenario("p", F.lit(True), F.col("outcome") != 0)])
     assert sorted((r.scenario, r.outcome) for r in got.collect()) == [("p", 0), ("p", 1), ("p", 1), ("s", 0), ("s", 1)]
+
+
+def test_assertions_observed_while_writing(spark):
+    df = spark.createDataFrame([("v", 1.0), ("v", None), ("w", None)], "variable string, x double")
+    rules = quality.gate_rules([("v", 0.5), ("w", 0.1), ("absent", 0.0)], "x") | {"three rows": (F.count(F.lit(1)) == 3, F.count(F.lit(1)))}
+    written, found = quality.checked_write(df, "t", rules)
+    want = [("coverage of v", True, "0.5"), ("coverage of w", False, "0.0"), ("coverage of absent", True, "0.0"), ("three rows", True, "3")]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and written.count() == 3
+    assert sorted(map(tuple, quality.check(df, rules).collect())) == sorted(want)
+    with pytest.raises(Exception, match="assertion failed"):
+        quality.enforce(found).collect()
+
+
+def test_calibration_of_many_groups(spark):
+    """More groups than a driver should hold: parameters stay in tables, groups close one by one."""
+    rows = spark.range(100_000).select(F.col("id").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    rows = rows.select((F.col("g") % 20_000).alias("g"), ((F.pmod(F.xxhash64("g", "i"), F.lit(1000)) + 0.5) / 1000).alias("probability"), (F.pmod(F.xxhash64(F.lit(1), "g", "i"), F.lit(2))).cast("int").alias("outcome"))
+    found = calibration.calibration(rows.withColumn("outcome", F.when(F.col("g") == 5, 0).otherwise(F.col("outcome"))), ["g"])
+    status = {r.status: r.n for r in found.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(status.values()) == 20_000 and status["one_class"] >= 1 and status["converged"] > 19_000
+
+
+def test_landmarks_travel_with_the_entity(spark):
+    """Expansion equals the range join, from one exchange of the observations."""
+    spec = WindowSpec(24, 96, 24, 48, 24)
+    rng = np.random.default_rng(3)
+    obs = [(f"e{a}", float(t), "v", 1.0) for a, t in zip(rng.integers(0, 6, 300), np.round(rng.uniform(-40, 110, 300) * 2) / 2)]
+    marks = [(f"e{a}", t) for a in range(5) for t in (24, 48, 72, 96) if (a + t // 24) % 3]
+    got = spine.expand_to_landmarks(spark.createDataFrame(obs, "entity_key string, offset_h double, variable string, value double"), spark.createDataFrame(marks, "entity_key string, landmark_h long"), spec)
+    assert got._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
+    want = sorted((e, x, t) for e, x, _, _ in obs for m, t in marks if m == e and t - 48 < x <= t)
+    assert sorted((r.entity_key, r.offset_h, r.landmark_h) for r in got.collect()) == want

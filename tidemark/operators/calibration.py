@@ -19,20 +19,21 @@ CLIP = 1e-6
 LARGE, JOINT = "intercept", "intercept_slope"
 
 
-def _newton(counts: DataFrame, by: list[str], kinds: tuple[str, ...] = (LARGE, JOINT), steps: int = 25, tolerance: float = 1e-10) -> DataFrame:
+def _newton(counts: DataFrame, by: list[str], kinds: tuple[str, ...] = (LARGE, JOINT), steps: int = 60, tolerance: float = 1e-10) -> DataFrame:
     """(by, kind, a, b, status): unpenalised logistic fits of the outcome on a + b * lp, b fixed at 1 for LARGE.
 
     counts: (by, lp, tp, fp), written. The fits that are open are a table that
     each step replaces: one aggregation over the counts advances all of them
     and closes those that have converged, so their number is not bounded and
     no parameter goes through the driver. A step reads only groups that are
-    still open.
+    still open; where one has made the loss greater, half of it is taken back.
     """
     same = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
-    held = [F.col(f"s.{c}").alias(c) for c in [*by, "kind", "a", "b"]]
+    carried = ["kind", "a", "b", "was_a", "was_b", "was_loss"]
+    held = [F.col(f"s.{c}").alias(c) for c in [*by, *carried]]
     both = (F.sum("tp") > 0) & (F.sum("fp") > 0)
     begun = counts.groupBy(*by).agg(F.when(both, "open").otherwise("one_class").alias("status"))
-    state = begun.select(*by, F.explode(F.array(*(F.lit(k) for k in kinds))).alias("kind"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), "status")
+    state = begun.select(*by, F.explode(F.array(*(F.lit(k) for k in kinds))).alias("kind"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), *(F.lit(None).cast("double").alias(c) for c in carried[3:]), "status")
     state = written(state, "newton")
     closed = [state.where("status != 'open'")]
     for _ in range(steps):
@@ -40,11 +41,12 @@ def _newton(counts: DataFrame, by: list[str], kinds: tuple[str, ...] = (LARGE, J
         if open_.isEmpty():
             break
         rows = counts.alias("c").join(open_.alias("s"), reduce(Column.__and__, same, F.lit(True))).select(*held, "c.lp", "c.tp", "c.fp")
-        p = expit(F.col("a") + F.col("b") * F.col("lp"))
-        n = F.col("tp") + F.col("fp")
+        z = F.col("a") + F.col("b") * F.col("lp")
+        p, n = expit(z), F.col("tp") + F.col("fp")
+        loss = n * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))) - F.col("tp") * z
         v, r = n * p * (1 - p), F.col("tp") - n * p
-        sums = rows.groupBy(*by, "kind", "a", "b").agg(
-            F.sum(r).alias("r0"), F.sum(r * F.col("lp")).alias("r1"), F.sum(v).alias("v00"), F.sum(v * F.col("lp")).alias("v01"), F.sum(v * F.col("lp") * F.col("lp")).alias("v11")
+        sums = rows.groupBy(*by, *carried).agg(
+            F.sum(loss).alias("loss"), F.sum(r).alias("r0"), F.sum(r * F.col("lp")).alias("r1"), F.sum(v).alias("v00"), F.sum(v * F.col("lp")).alias("v01"), F.sum(v * F.col("lp") * F.col("lp")).alias("v11")
         )
         c = F.col
         slope, det = c("kind") == JOINT, c("v00") * c("v11") - c("v01") * c("v01")
@@ -58,8 +60,11 @@ def _newton(counts: DataFrame, by: list[str], kinds: tuple[str, ...] = (LARGE, J
         )
         most = F.greatest(F.abs("da"), F.abs("db"))
         damp = F.least(F.lit(1.0), 5.0 / F.greatest(most, F.lit(1e-300)))
-        status = F.when(c("stuck"), "not_estimable").when(most < tolerance, "converged").otherwise("open")
-        state = written(sums.select(*by, "kind", (c("a") + damp * c("da")).alias("a"), (c("b") + damp * c("db")).alias("b"), status.alias("status")), "newton")
+        far = F.coalesce(c("loss") > c("was_loss") + 1e-12 * F.abs(c("was_loss")), F.lit(False))
+        status = F.when(far, "open").when(c("stuck"), "not_estimable").when(most < tolerance, "converged").otherwise("open")
+        moved = [F.when(far, (c(x) + c(f"was_{x}")) / 2).otherwise(c(x) + damp * c(f"d{x}")).alias(x) for x in ("a", "b")]
+        kept = [F.when(far, c(f"was_{x}")).otherwise(c(x)).alias(f"was_{x}") for x in ("a", "b", "loss")]
+        state = written(sums.select(*by, "kind", *moved, *kept, status.alias("status")), "newton")
         closed.append(state.where("status != 'open'"))
     closed.append(state.where("status = 'open'").withColumn("status", F.lit("not_converged")))
     done = reduce(DataFrame.unionByName, closed)

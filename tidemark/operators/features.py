@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import earliest, latest, ordinal_level
 from tidemark.operators import joins
+from tidemark.operators.spine import expand_to_landmarks
 from tidemark.spec import KEYS, WindowSpec
 
 GROUP = [*KEYS, "variable"]
@@ -144,8 +145,11 @@ def trajectory_features(obs: DataFrame, spine: DataFrame, spec: WindowSpec, thre
 
     Bins, slopes and runs follow from arrays that are as short as a window.
     """
-    points = joins.expand(resolve_points(obs), spec).join(spine.select(*KEYS), KEYS)
-    binned = window_bins(points, spec)
+    seen = F.when(F.col("value").isNotNull(), F.struct("offset_h", "value"))
+    binned = expand_to_landmarks(obs, spine, spec, resolve=resolve_points).withColumn("bin_index", bin_index(spec)).groupBy(*GROUP, "bin_index").agg(
+        F.median("value").alias("bin_median"), F.count("value").alias("n_points"), F.max(seen).alias("last_point"), F.max("offset_h").alias("last_h")
+    )
+    binned = binned.withColumn("bin_midpoint_relative_h", (F.lit(-spec.lookback + spec.bin / 2) + spec.bin * F.col("bin_index")).cast("double"))
     per_bin = F.array_sort(F.collect_list(F.struct(F.col("bin_midpoint_relative_h").alias("x"), F.col("bin_median").alias("y"), "bin_index")))
     q = F.percentile("bin_median", F.array(F.lit(0.25), F.lit(0.75)))
     two = F.count("bin_median") >= 2
@@ -157,7 +161,11 @@ def trajectory_features(obs: DataFrame, spine: DataFrame, spec: WindowSpec, thre
         F.when(two, F.stddev_samp("bin_median")).alias("sd"),
         F.when(two, q[1] - q[0]).alias("iqr"),
         per_bin.alias("bins"),
+        F.sum("n_points").alias("measurement_count"),
+        F.max("last_point").alias("last_point"),
+        F.max("last_h").alias("latest_offset_h"),
     )
+    bins = bins.withColumn("latest_value", F.col("last_point")["value"])
     t = thresholds.select(F.col("variable").alias("__variable"), "below", "above")
     bins = bins.join(t, bins["variable"] == t["__variable"], "left").drop("__variable")
     bad = lambda b: F.coalesce(b["y"] < F.col("below"), F.lit(False)) | F.coalesce(b["y"] > F.col("above"), F.lit(False))
@@ -177,8 +185,10 @@ def trajectory_features(obs: DataFrame, spine: DataFrame, spec: WindowSpec, thre
             "abnormal_prop": F.when(known, F.size(F.filter("bins", bad)) / F.size("bins")),
             "longest_abnormal_run": F.when(known, run.cast("long")),
         }
-    ).drop("bins", "below", "above")
-    return point_stats(points).join(bins, GROUP)
+    )
+    measured = ["measurement_count", "latest_value", "latest_offset_h"]
+    levels = ["nonempty_bin_count", "median", "min", "max", "sd", "iqr", "theilsen_slope", "abnormal_prop", "longest_abnormal_run"]
+    return bins.select(*GROUP, *measured, *levels)
 
 
 def delta_features(expanded: DataFrame) -> DataFrame:
@@ -214,7 +224,7 @@ def ordinal_events(df: DataFrame, rules: list[tuple[str, int]], text: str, senti
 
 def ordinal_features(events: DataFrame, spine: DataFrame, spec: WindowSpec) -> DataFrame:
     """Latest and greatest level, rises over the level before, number of levels and age of the latest."""
-    rows = joins.expand(events, spec).join(spine.select(*KEYS), KEYS)
+    rows = expand_to_landmarks(events, spine, spec)
     before = F.lag("level").over(Window.partitionBy(*KEYS).orderBy("offset_h"))
     return (
         rows.withColumn("rise", (F.col("level") > before).cast("int"))
@@ -232,7 +242,7 @@ def ordinal_features(events: DataFrame, spine: DataFrame, spec: WindowSpec) -> D
 
 def nested_sums(events: DataFrame, spine: DataFrame, spec: WindowSpec, hours: list[int], low: float, high: float) -> DataFrame:
     """Sum and count of plausible amounts in several windows that end at the landmark, in one pass."""
-    rows = joins.expand(events.where((F.col("amount") >= low) & (F.col("amount") <= high)), spec, max(hours)).join(spine.select(*KEYS), KEYS)
+    rows = expand_to_landmarks(events.where((F.col("amount") >= low) & (F.col("amount") <= high)), spine, spec, max(hours))
     inside = {h: F.col("offset_h") > F.col("landmark_h") - h for h in hours}
     return rows.groupBy(*KEYS).agg(
         *(F.sum(F.when(c, F.col("amount"))).alias(f"sum_{h}h") for h, c in inside.items()),
@@ -253,7 +263,7 @@ def point_exposure(events: DataFrame, spine: DataFrame, spec: WindowSpec, fresh_
 
     agents counts the agents that were active anywhere in the window.
     """
-    rows = joins.expand(events, spec).join(spine.select(*KEYS), KEYS)
+    rows = expand_to_landmarks(events, spine, spec)
     per_agent = rows.groupBy(*KEYS, "agent").agg(F.max(F.col("active").cast("int")).alias("ever"), latest(F.col("active").cast("int"), "offset_h").alias("last"), F.max("offset_h").alias("at"))
     fresh = (F.col("last") == 1) & (F.col("at") >= F.col("landmark_h") - fresh_h)
     return per_agent.groupBy(*KEYS).agg(F.max("ever").alias("any_exposure"), F.max(fresh.cast("int")).alias("current_exposure"), F.sum("ever").alias("agents"), F.max("at").alias("latest_offset_h"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions import strict_double
 from tidemark.operators import joins
-from tidemark.sources import schema_table
+from tidemark.sources import schema_table, work_path
 from tidemark.spec import KEYS, WindowSpec
 
 
@@ -45,6 +46,27 @@ def check(df: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
     return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("a")).select("a.*")
 
 
+def checked_write(df: DataFrame, name: str, rules: dict[str, tuple[Column, Column]]) -> tuple[DataFrame, DataFrame]:
+    """df, written to the shared folder, and the assertions of check(), observed in the pass that writes it.
+
+    No rule costs a scan of its own; the assertions are a row per rule.
+    """
+    spark, seen, path = df.sparkSession, Observation(f"{name}-{uuid.uuid4().hex}"), work_path(df.sparkSession, name)
+    aggs = [c.alias(f"{kind}{i}") for i, (condition, detail) in enumerate(rules.values()) for kind, c in (("c", condition), ("d", detail.cast("string")))]
+    df.observe(seen, *aggs).write.option("compression", "zstd").parquet(path)
+    found = [(rule, bool(seen.get[f"c{i}"]), seen.get[f"d{i}"]) for i, rule in enumerate(rules)]
+    return spark.read.schema(df.schema).parquet(path), spark.createDataFrame(found, "assertion string, passed boolean, detail string")
+
+
+def gate_rules(floors: list[tuple[str, float]], value: str) -> dict[str, tuple[Column, Column]]:
+    """Rules for check() and checked_write(): a variable's share of rows with a value reaches its floor."""
+    rules = {}
+    for variable, floor in floors:
+        share = F.coalesce(F.avg(F.when(F.col("variable") == variable, F.col(value).isNotNull().cast("int"))), F.lit(0.0))
+        rules[f"coverage of {variable}"] = (share >= floor, F.round(share, 6))
+    return rules
+
+
 def unique_keys(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """An assertion that no key is repeated; keys with null parts count."""
     grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -56,14 +78,6 @@ def no_orphans(df: DataFrame, parent: DataFrame, keys: list[str], name: str) ->
     return check(lost, {name: (F.count(F.lit(1)) == 0, F.concat(F.count(F.lit(1)).cast("string"), F.lit(" orphans")))})
 
 
-def gates(df: DataFrame, floors: DataFrame, value: str) -> DataFrame:
-    """An assertion per variable: its share of rows with a value reaches the floor. floors: (variable, floor)."""
-    shares = df.groupBy("variable").agg(F.avg(F.col(value).isNotNull().cast("int")).alias("share"))
-    return floors.join(shares, "variable", "left").select(
-        F.concat(F.lit("coverage of "), F.col("variable")).alias("assertion"), F.coalesce(F.col("share") >= F.col("floor"), F.lit(False)).alias("passed"), F.round(F.coalesce("share", F.lit(0.0)), 6).cast("string").alias("detail")
-    )
-
-
 def reconcile(counts: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """An assertion per expected (keys, n): the count is as locked."""
     e = expected.withColumnRenamed("n", "expected")

@@ -13,15 +13,24 @@ from tidemark.sources import written
 BUCKETS = 64
 
 
+#: Of so many distinct values, one goes into the sketch of a group's order.
+SAMPLED = 16
+
+
 def with_bucket(rows: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """rows with __bucket, the place of a value among sketched quantiles of its group's rows.
+    """rows with __bucket, the place of a value among splitters of its group's rows: sketched quantiles of a hashed sample of them.
 
     The sketches are merged partition by partition, and a group has a few
-    edges; clumped values get buckets as full as spread ones.
+    edges; clumped values get buckets as full as spread ones. Splitters say
+    only where the buckets meet, so results do not depend on the sample; a
+    group of few values, which may have none, is one bucket.
     """
     qs = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    edges = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, qs, F.lit(1000))).alias("__edges"))
-    return rows.join(edges, by).withColumn("__bucket", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
+    seen = rows.where(F.pmod(F.xxhash64(value), F.lit(SAMPLED)) == 0)
+    edges = seen.groupBy(*(F.col(c).alias(f"__e_{c}") for c in by)).agg(F.array_distinct(F.percentile_approx(value, qs, F.lit(1000))).alias("__edges"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__e_{c}")) for c in by], F.lit(True))
+    place = F.when(F.col("__edges").isNull(), 0).otherwise(F.size(F.filter("__edges", lambda e: e < F.col(value))))
+    return rows.join(edges, same, "left").withColumn("__bucket", place).drop("__edges", *(f"__e_{c}" for c in by))
 
 
 def running(counts: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,15 @@ def observations(sources: list[DataFrame], spec: WindowSpec) -> DataFrame:
     return every.where(F.col("value").isNotNull() & (F.col("offset_h") > spec.start - spec.lookback) & (F.col("offset_h") <= spec.stop))
 
 
-def expand_to_landmarks(obs: DataFrame, spine: DataFrame, spec: WindowSpec, lookback: float | None = None) -> DataFrame:
-    """Observations under the landmarks of the spine whose look-back window holds them."""
-    return joins.expand(obs, spec, lookback).join(spine.select(*KEYS), KEYS)
+def expand_to_landmarks(obs: DataFrame, spine: DataFrame, spec: WindowSpec, lookback: float | None = None, resolve: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Observations under the landmarks of the spine whose look-back window holds them, from one exchange of the observations, by entity.
+
+    An entity's landmarks travel as one array, no longer than the grid. What
+    follows by entity and further keys needs no other exchange; so does
+    resolve, which is applied before observations are copied.
+    """
+    present = spine.groupBy(F.col("entity_key").alias("__entity")).agg(F.collect_set(F.col("landmark_h").cast("long")).alias("__present"))
+    rows = obs.repartition("entity_key")
+    rows = rows if resolve is None else resolve(rows)
+    held = F.array_intersect(joins.grid_of(F.col("offset_h"), spec, lookback), F.col("__present"))
+    return rows.join(present, rows["entity_key"] == present["__entity"]).withColumn("landmark_h", F.explode(held)).drop("__present", "__entity")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import hash_fold, strict_double
-from tidemark.operators import bootstrap, calibration, elastic_net, folds, joins, metrics, models, outcome, quality, scenarios
+from tidemark.operators import bootstrap, calibration, elastic_net, folds, joins, metrics, models, outcome, quality, scenarios, wide_nets
 from tidemark.plans.base import (
     COHORT, HASH_FOLD, METRICS, OBS, OUTCOME, PREDICTIONS, SPEC, SPINE, WOBS, cohort, expanded, landmarks, observations, outcomes, predictions, query, rounded, table, work_path,
 )
@@ -60,7 +60,8 @@ def _(spark, d):
         "bins in 1..6": ((F.min("nonempty_bin_count") >= 1) & (F.max("nonempty_bin_count") <= 6), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" rows"))),
         "slope needs four bins": (F.count_if(slope != (F.col("nonempty_bin_count") >= 4)) == 0, F.concat(F.count_if(slope).cast("string"), F.lit(" slopes"))),
     }
-    found = quality.check(rows, rules).unionByName(quality.unique_keys(rows, [*KEYS, "variable"], "keys are unique")).unionByName(quality.no_orphans(rows, landmarks(spark, d), KEYS, "every row has a landmark"))
+    rows, found = quality.checked_write(rows, "trajectory", rules)
+    found = found.unionByName(quality.unique_keys(rows, [*KEYS, "variable"], "keys are unique")).unionByName(quality.no_orphans(rows, landmarks(spark, d), KEYS, "every row has a landmark"))
     return quality.enforce(found)
 
 
@@ -88,8 +89,8 @@ def _(spark, d):
 @query("j07_coverage_gates", f"""WITH {_TRAJECTORY}, s AS (SELECT variable, avg(CAST(theilsen_slope IS NOT NULL AS INTEGER)) AS share FROM tr GROUP BY ALL)
 SELECT 'coverage of ' || variable AS assertion, share >= floor AS passed, CAST(floor(share * 10000) AS BIGINT) AS share_bp FROM s JOIN (VALUES ('view', 0.1), ('click', 0.1), ('error', 0.9)) f(variable, floor) USING (variable)""")
 def _(spark, d):
-    floors = spark.createDataFrame([("view", 0.1), ("click", 0.1), ("error", 0.9)], "variable string, floor double")
-    return quality.gates(trajectory(spark, d), floors, "theilsen_slope").select("assertion", "passed", F.floor(F.col("detail").cast("double") * 10000 + 1e-9).alias("share_bp"))
+    rules = quality.gate_rules([("view", 0.1), ("click", 0.1), ("error", 0.9)], "theilsen_slope")
+    return quality.checked_write(trajectory(spark, d), "gated", rules)[1].select("assertion", "passed", F.floor(F.col("detail").cast("double") * 10000 + 1e-9).alias("share_bp"))
 
 
 @query("j08_feature_summary", f"WITH {_TRAJECTORY} SELECT variable, count(*) AS n_rows, count(DISTINCT entity_key) AS n_entities, median(measurement_count) AS median_measurements, median(nonempty_bin_count) AS median_bins, round(avg(CAST(theilsen_slope IS NOT NULL AS INTEGER)), 6) AS slope_share FROM tr GROUP BY ALL")
@@ -116,8 +117,8 @@ def _(spark, d):
 
 @query("j12_prediction_validity", f"WITH {PREDICTIONS} SELECT a AS assertion, true AS passed, d AS detail FROM (VALUES ('no missing score', '0'), ('scores lie in [0, 1]', '0')) t(a, d) UNION ALL SELECT 'keys are unique', true, CAST(count(*) AS VARCHAR) || ' rows' FROM preds")
 def _(spark, d):
-    p = predictions(spark, d)
-    return quality.enforce(quality.check(p, quality.prediction_rules()).unionByName(quality.unique_keys(p, [*KEYS, "model_id"], "keys are unique")))
+    p, found = quality.checked_write(predictions(spark, d), "predictions", quality.prediction_rules())
+    return quality.enforce(found.unionByName(quality.unique_keys(p, [*KEYS, "model_id"], "keys are unique")))
 
 
 @query("j13_missingness", f"WITH {_TRAJECTORY}, n AS (SELECT count(*) AS n FROM tr) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, (SELECT count(*) FROM tr WHERE {c} IS NULL) AS n_missing, round(100.0 * (SELECT count(*) FROM tr WHERE {c} IS NULL) / n, 6) AS pct_missing FROM n" for c in ("latest_value", "sd", "theilsen_slope", "abnormal_prop")))
@@ -125,10 +126,17 @@ def _(spark, d):
     return rounded(quality.missingness(trajectory(spark, d), ["latest_value", "sd", "theilsen_slope", "abnormal_prop"]))
 
 
-@query("j14_reconciliation", "WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY ALL) SELECT event_type AS assertion, n = 2006 AS passed, CAST(n AS VARCHAR) || ' of 2006' AS detail FROM n")
+@query("j14_reconciliation", """WITH t AS (SELECT o_orderpriority AS p, max(l_linenumber) AS told, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority),
+g AS (SELECT p, CAST(sum(told) AS BIGINT) AS told, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY p) SELECT p AS assertion, n = told AS passed, n || ' of ' || told AS detail FROM g""")
 def _(spark, d):
-    counts = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return quality.reconcile(counts, counts.select("event_type", F.lit(2006).cast("long").alias("n")), ["event_type"])
+    """Counts of lines by priority against a table of what the line numbers of the orders promise."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    lines = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    path = work_path(spark, "expected")
+    last = lines.groupBy("o_orderkey", "o_orderpriority").agg(F.max("l_linenumber").cast("long").alias("n"))
+    last.groupBy("o_orderpriority").agg(F.sum("n").alias("n")).write.parquet(path)
+    counts = lines.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return quality.reconcile(counts, spark.read.parquet(path), ["o_orderpriority"])
 
 
 def _fold_rows(spark, d):
@@ -560,6 +568,51 @@ def _transported(spark, d):
     return source, target, models.transport(source, target, FEATURES, ["segment"], config, learner, [*KEYS, "outcome"], indicators=True)
 
 
+def _level_steps(c: float, steps: int = 14):
+    """Newton steps of a ridge fit of an intercept and a weight per level, as a CTE chain: rows of a level share one probability, and the intercept's step takes out what the levels will absorb."""
+    out = """lc AS (SELECT CAST(user_id AS VARCHAR) AS level, count(*) AS n, sum(CAST(event_type = 'purchase' AS INTEGER)) AS y FROM events GROUP BY ALL), tt AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM lc), w0 AS (SELECT level, n, y, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b0 FROM lc)"""
+    for i in range(1, steps + 1):
+        out += f""", w{i} AS MATERIALIZED (SELECT level, n, y, (h * w - g - h * d0) / d AS w, b0 + d0 AS b0 FROM (SELECT *, -(sum(g) OVER () + sum(h * e) OVER ()) / (sum(h) OVER () - sum(h * h / d) OVER ()) AS d0
+          FROM (SELECT *, (-w / ({c} * total) - g) / d AS e FROM (SELECT *, h + 1 / ({c} * total) AS d FROM (SELECT *, (n * p - y) / total AS g, n * p * (1 - p) / total AS h FROM (SELECT *, 1 / (1 + exp(-(b0 + w))) AS p FROM w{i - 1}, tt))))))"""
+    return out
+
+
+@query("l02_l03_level_weights", f"WITH {_level_steps(0.5)} SELECT level, round(w, 4) AS w, round(b0, 4) AS intercept FROM w14")
+def _(spark, d):
+    """Weights of all users, as levels of one column, for whether an event is a purchase."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), (F.col("event_type") == "purchase").cast("int").alias("outcome"))
+    net = wide_nets.fit_wide_net(rows, models.Preprocessor({}, {}), "key", models.elastic_net_grid([0.0], [0.5])[0])
+    return rounded(net.levels.select("level", "w", F.lit(float(net.dense[0])).alias("intercept")), 4)
+
+
+#: Stand-ins for configurations: powers of a score.
+POWERS = [0.5, 1.0, 2.0]
+_TUNED = PREDICTIONS + f""", inn AS (SELECT outer_fold, {HASH_FOLD.format(seed=5, value='entity_key', n=3)} AS inner_fold, config_id, outcome, probability ** power AS probability FROM preds, (VALUES {', '.join(f'({i + 1}, {x}::DOUBLE)' for i, x in enumerate(POWERS))}) t(config_id, power) WHERE model_id = 'm2'){METRICS.format(by='outer_fold, inner_fold, config_id', src='inn')},
+tn AS (SELECT outer_fold, config_id, avg(auprc) AS mean_auprc, avg(auroc) AS mean_auroc, avg(logloss) AS mean_logloss, CAST(max(n) AS INTEGER) AS max_iterations, median(n) AS median_iterations, median(events) AS median_nonzero, count(*) AS inner_folds FROM met GROUP BY ALL),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY outer_fold ORDER BY round(mean_auprc, 9) DESC, round(mean_logloss, 9), config_id) = 1 AS INTEGER) AS selected FROM tn)"""
+
+
+def _tuned(spark, d):
+    """The summary of inner folds' metrics of each configuration, with rows and events in place of rounds and coefficients."""
+    rows = predictions(spark, d).where("model_id = 'm2'").withColumn("inner_fold", folds.inner_fold("entity_key", 5))
+    cells = F.array(*(F.struct(F.lit(i + 1).alias("config_id"), F.pow(F.col("probability"), F.lit(x)).alias("probability")) for i, x in enumerate(POWERS)))
+    rows = rows.select("outer_fold", "inner_fold", "outcome", F.explode(cells).alias("c")).select("outer_fold", "inner_fold", "outcome", "c.*")
+    found = metrics.ranking_metrics(rows, by=["outer_fold", "inner_fold", "config_id"])
+    tuning = models.tuning_summary(found.withColumns({"iterations": F.col("n").cast("int"), "nonzero": F.col("events").cast("int")}))
+    return models.pick_config(rounded(tuning, 9), ["outer_fold"], [F.col("config_id")])
+
+
+@query("l08_tuning_rules", f"WITH {_TUNED} SELECT outer_fold, config_id, round(mean_auprc, 6) AS mean_auprc, round(mean_auroc, 6) AS mean_auroc, round(mean_logloss, 6) AS mean_logloss, max_iterations, median_iterations, median_nonzero, inner_folds, selected FROM rk")
+def _(spark, d):
+    return rounded(_tuned(spark, d))
+
+
+@query("l09_refit_rules", f"""WITH {_TUNED}, e AS (SELECT config_id, count(DISTINCT outer_fold) AS outer_folds, avg(round(mean_auprc, 9)) AS mean_auprc, avg(round(mean_logloss, 9)) AS mean_logloss, median(median_iterations) AS iterations FROM rk GROUP BY ALL)
+SELECT config_id, outer_folds, round(mean_auprc, 6) AS mean_auprc, round(mean_logloss, 6) AS mean_logloss, iterations, CAST(least(700, greatest(50, floor(iterations))) AS INTEGER) AS refit_iterations FROM e WHERE outer_folds = (SELECT count(DISTINCT outer_fold) FROM rk) ORDER BY mean_auprc DESC, mean_logloss, config_id LIMIT 1""")
+def _(spark, d):
+    return rounded(models.refit_selection(_tuned(spark, d)))
+
+
 @query("l14_saved_model")
 def _(spark, d):
     """Scores of the target rows by a model that was fitted to the source rows, written, and read back."""

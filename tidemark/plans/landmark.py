@@ -48,7 +48,7 @@ def _(spark, d):
 
 
 def _points(spark, d):
-    return spine.expand_to_landmarks(features.resolve_points(observations(spark, d)), landmarks(spark, d), SPEC)
+    return spine.expand_to_landmarks(observations(spark, d), landmarks(spark, d), SPEC, resolve=features.resolve_points)
 
 
 _BEST = WOBS + """, best AS (SELECT entity_key, landmark_h, variable, offset_h, median(value) AS value FROM
