@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import prose
-from tidemark.llm import decontaminate, line_dedup, near_dedup
+from tidemark.llm import decontaminate, exact_dedup, line_dedup, near_dedup
 
 TEXTS = {k: prose(900 + i, 60) for i, k in enumerate("tuvwxy")}
 TABLE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -32,6 +32,17 @@ def test_line_dedup_keeps_one_copy(rows):
     assert out.columns == rows.columns and kept(out) == ONE_EACH
 
 
+def test_exact_dedup_keeps_one_copy(rows):
+    out = exact_dedup.drop_copies(rows)
+    assert out.columns == rows.columns and kept(out) == ONE_EACH
+
+
+def test_exact_dedup_keeps_the_least_identifier(spark):
+    table = [(3, "a  b", "x"), (2, "a b", "y"), (None, "a\tb", "z"), (None, "c", "p"), (1, None, "q"), (0, "", "r")]
+    out = exact_dedup.drop_copies(spark.createDataFrame(table, "doc_id long, text string, id string").repartition(3))
+    assert sorted((str(r.doc_id), r.id) for r in out.collect()) == [("0", "r"), ("2", "y"), ("None", "p")]
+
+
 def test_near_dedup_keeps_one_copy(rows):
     out = near_dedup.drop_near_copies(rows)
     assert out.columns == rows.columns and kept(out) == ONE_EACH

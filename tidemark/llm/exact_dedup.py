@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import SPACE, Scratch
+from tidemark.llm.common import ROW, SPACE, Scratch, keyed
 
 #: Bytes of the normalised text that the splitters hold.
 HEAD = 64
@@ -113,6 +113,11 @@ def _runs(batches):
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose identifier is kept by exact_dedup, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of docs for each text, with all its columns: that with the least identifier, null last.
+
+    Rows are judged by numbers of their own, so of equal rows with one
+    identifier, or with none, one stays, and so do rows of one identifier that
+    have different texts.
+    """
+    rows = keyed(docs, id_col, Scratch(docs.sparkSession, "exact-dedup-rows"))
+    return rows.join(exact_dedup(rows, ROW, text_col).where("kept").select(ROW), ROW, "left_semi").drop(ROW).select(docs.columns)
