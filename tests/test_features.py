@@ -101,11 +101,12 @@ def test_ordinal_sentinel_and_escalations(spark):
 
 
 def test_interval_edges(spark):
-    iv = spark.createDataFrame([("a", 0.0, 12.0, 1), ("b", 24.0, 30.0, 2), ("c", 1.0, 24.0, 3), ("d", 24.5, 30.0, 1)], "entity_key string, start_h double, end_h double, agents int")
-    s = spark.createDataFrame([(e, 24) for e in "abcd"], "entity_key string, landmark_h long")
+    iv = spark.createDataFrame([("a", 0.0, 12.0, 1), ("b", 24.0, 30.0, 2), ("c", 1.0, 24.0, 3), ("d", 24.5, 30.0, 1), ("e", 1.0, 23.5, 1)], "entity_key string, start_h double, end_h double, agents int")
+    s = spark.createDataFrame([(e, 24) for e in "abcde"], "entity_key string, landmark_h long")
     got = by_key(features.interval_exposure(iv, s, SPEC), "entity_key")
-    assert sorted(got) == [("b",), ("c",)]
-    assert got[("b",)].current_exposure == 1 and got[("c",)].current_exposure == 0
+    assert sorted(got) == [("b",), ("c",), ("e",)]
+    # An interval that ends at the landmark is still active there.
+    assert [got[(e,)].current_exposure for e in "bce"] == [1, 1, 0]
 
 
 def test_unsupported_is_null_and_supported_is_zero(spark):
