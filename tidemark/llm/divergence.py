@@ -18,7 +18,7 @@ from tidemark.llm.common import Scratch
 class DivergenceConfig:
     min_docs: int = 10  #: documents of a language that have a kept term, at least
     top: int = 10  #: ranks of a group's terms
-    flush: int = 400_000  #: counters that a task holds before it sends them
+    flush: int = 250_000  #: counters that a task holds before it sends them
     part_terms: int = 1 << 14  #: kept terms for each part of the audit
     fan_in: int = 16  #: skybands merged at a time
     chunk: int = 1 << 20  #: bytes of a text that are cut into terms at a time
@@ -138,41 +138,41 @@ def _audit(config: DivergenceConfig):
         lang, part = kept.column("lang")[0].as_py(), kept.column("part")[0].as_py()
         names, sizes = groups.column("source").combine_chunks(), groups.column("size").to_numpy()
         terms, lang_size = groups.column("terms")[0].as_py(), groups.column("lang_size")[0].as_py()
-        total = kept.column("total").to_numpy()
-        per = kept.column("per").combine_chunks()
-        row = np.repeat(np.arange(len(total)), per.value_lengths().to_numpy(zero_copy_only=False))
-        flat = per.flatten()
-        source, n = pc.index_in(flat.field("source"), names).to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
+        # Terms in order, each with one row per source that has it.
+        encoded = kept.column("term").combine_chunks().dictionary_encode()
+        row, items = encoded.indices.to_numpy(), encoded.dictionary
+        total = np.zeros(len(items), np.int64)
+        total[row] = kept.column("total").to_numpy()
+        source, n = pc.index_in(kept.column("source"), names).to_numpy(), kept.column("n").to_numpy()
+        pairs = _pairs(lang, names, sizes, terms, len(items), row, source, n)
         out = []
         q = shares(total, np.int64(lang_size), terms)
         ahead = shares(n, sizes[source], terms) > q[row]
         row, source, n = row[ahead], source[ahead], n[ahead]
         order = np.lexsort((row, source))
         row, source, n = row[order], source[order], n[order]
-        items = kept.column("term").combine_chunks()
         for s in np.unique(source).tolist():
             lo, hi = np.searchsorted(source, [s, s + 1])
             band = skyband(n[lo:hi], total[row[lo:hi]], config.top) + lo
             out.append(_found(lang, source=[names[s].as_py()] * len(band), item=items.take(pa.array(row[band])), n=n[band], total=total[row[band]], part=np.full(len(band), part)))
-        return pa.concat_tables([*out, *_pairs(lang, names, sizes, terms, len(total), per), empty])
+        return pa.concat_tables([*out, *pairs, empty])
 
-    def _pairs(lang, names, sizes, terms, n_terms, per):
+    def _pairs(lang, names, sizes, terms, n_terms, rows, sources, n):
         k = len(sizes)
         sums = np.zeros((k, k), np.int64)
         step = max(1, (1 << 21) // k)
         for lo in range(0, n_terms, step):
-            part = per.slice(lo, step)
-            flat = part.flatten()
-            counts = np.zeros((len(part), k), np.int64)
-            row = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False))
-            counts[row, pc.index_in(flat.field("source"), names).to_numpy(zero_copy_only=False)] = flat.field("n").to_numpy(zero_copy_only=False)
+            first, last = np.searchsorted(rows, [lo, lo + step])
+            counts = np.zeros((min(step, n_terms - lo), k), np.int64)
+            counts[rows[first:last] - lo, sources[first:last]] = n[first:last]
             p = np.ascontiguousarray(shares(counts, sizes, terms).T)
             for s in range(k - 1):
                 apart = p[s + 1 :] - p[s]
                 sums[s, s + 1 :] += (apart * apart // (p[s + 1 :] + p[s])).sum(axis=1)
         a, b = np.triu_indices(k, 1)
         if len(a):
-            yield _found(lang, source=names.take(pa.array(a)), item=names.take(pa.array(b)), value=sums[a, b], part=np.full(len(a), -1))
+            return [_found(lang, source=names.take(pa.array(a)), item=names.take(pa.array(b)), value=sums[a, b], part=np.full(len(a), -1))]
+        return []
 
     return audit
 
@@ -213,16 +213,17 @@ def audit_sources(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """
     scratch = Scratch(docs.sparkSession, "divergence")
     counts = scratch.save(term_counts(docs, text_col, lang_col, source_col, config), "counts")
-    by_term = counts.where("term IS NOT NULL").groupBy("lang", "term")
-    kept = by_term.agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("per"))
-    kept = scratch.save(kept.where(F.col("docs") >= config.min_docs).select("lang", "term", "total", "per"), "kept")
+    found = counts.where("term IS NOT NULL")
+    totals = found.groupBy("lang", "term").agg(F.sum("docs").alias("all_docs"), F.sum("n").alias("total")).where(F.col("all_docs") >= config.min_docs)
+    totals = scratch.save(totals.select("lang", "term", "total"), "terms")
+    kept = scratch.save(found.select("lang", "source", "term", "n").join(totals, ["lang", "term"]), "kept")
     # A row per language, and one per language and source.
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("lang_size"))
-    sizes = kept.select("lang", F.explode("per").alias("x")).groupBy("lang", "x.source").agg(F.sum("x.n").alias("size"))
+    langs = totals.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("lang_size"))
+    sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     groups = counts.where("term IS NULL").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0)
     groups = scratch.save(groups, "groups")
 
-    parts = kept.count() // config.part_terms + 1
+    parts = totals.count() // config.part_terms + 1
     dealt = kept.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
     met = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     found = scratch.save(dealt.groupBy("lang", "part").cogroup(met.groupBy("lang", "part")).applyInArrow(_audit(config), _FOUND), "found")
