@@ -151,7 +151,14 @@ def _(spark, d):
     return folds.fold_inputs(_fold_rows(spark, d))
 
 
-@query("k02_greedy_folds")
+#: The scan over the clusters, one recursion each; l has events, event entities, rows and clusters of the five folds.
+_GREEDY = _CLUSTERS + """, o AS (SELECT *, row_number() OVER (ORDER BY n_events DESC, n_event_entities DESC, n_rows DESC, cluster_key) AS i FROM fi),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([[0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0]] AS BIGINT[][]) AS l, CAST(NULL AS VARCHAR) AS cluster_key, CAST(NULL AS BIGINT) AS b
+  UNION ALL SELECT i, list_transform(range(1, 6), lambda f: CASE WHEN f = b THEN [l[f][1] + n_events, l[f][2] + n_event_entities, l[f][3] + n_rows, l[f][4] + 1] ELSE l[f] END), cluster_key, b
+  FROM (SELECT o.*, l, list_sort(list_transform(range(1, 6), lambda f: CASE WHEN n_events > 0 THEN [l[f][1], l[f][2], l[f][3], l[f][4], f] ELSE [l[f][3], l[f][4], l[f][1], l[f][2], f] END))[1][5] AS b FROM g JOIN o ON o.i = g.i + 1))"""
+
+
+@query("k02_greedy_folds", f"WITH RECURSIVE {_GREEDY} SELECT cluster_key, CAST(b AS INTEGER) AS outer_fold FROM g WHERE i > 0")
 def _(spark, d):
     return folds.greedy_folds(folds.fold_inputs(_fold_rows(spark, d)), 5)
 
