@@ -544,15 +544,16 @@ def _(spark, d):
 
 @query("l03_l04_paths")
 def _(spark, d):
-    """Coefficients of every outer fold's training rows along the path of one l1_ratio, each fit started from that of the C before."""
+    """Coefficients of every outer fold's training rows along the paths of all l1_ratios, each fit started from that of the C before."""
     rows = spark.read.parquet(_written(spark, d))
     folds_ = models.outer_folds_of(rows)
-    grid = [c for c in ELASTIC_NET_GRID if c["l1_ratio"] == 0.5] or ELASTIC_NET_GRID
+    grid = ELASTIC_NET_GRID
     rows = elastic_net.with_splits(rows, [elastic_net.Split(f) for f in folds_], {})
     pres = elastic_net.fit_preprocessors(rows, len(folds_), [f for f in FEATURES if f != "segment"], ["segment"])
     nets = elastic_net.fit_paths(rows, pres, {i: grid for i in range(len(folds_))})
-    c = {g.config_id: g["C"] for g in grid}
-    return rounded(spark.createDataFrame([(folds_[m.split], c[m.config_id], f, float(w)) for m in nets for f, w in zip(pres[m.split].names, m.weights[1:])], "outer_fold int, C double, feature string, coefficient double"), 4)
+    by_id = {g.config_id: g for g in grid}
+    found = [(folds_[m.split], by_id[m.config_id]["l1_ratio"], by_id[m.config_id]["C"], f, float(w)) for m in nets for f, w in zip(pres[m.split].names, m.weights[1:])]
+    return rounded(spark.createDataFrame(found, "outer_fold int, l1_ratio double, C double, feature string, coefficient double"), 4)
 
 
 @query("l05_l06_boosting_nested_cv")
