@@ -153,5 +153,36 @@ def test_licenses(spark):
     assert all(got[i].licenses == "" for i, _ in filler) and got[106].n_paragraphs == 1 and got[100].n_confirmed == 1
 
 
+def test_licenses_over_line_breaks(spark):
+    long = " ".join(f"{w}" for w in prose(4, 5000).replace(".", "").split())
+    said = [
+        (200, "Permission is hereby granted, free\nof charge, to any person obtaining\na copy of this software.", "MIT"),
+        (201, "# This work is licensed under the GNU\n# General Public License, version 3.\n" + prose(6, 40), "GPL-3.0"),
+        (202, prose(7, 24) + "\nSubject to the terms of the Mozilla Public License, v.\n2.0. This Source Code Form is subject\nto the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+        (203, long + " This work is licensed under the GNU Affero\nGeneral Public License, version 3. " + long, "AGPL-3.0"),
+        (204, "This work is licensed under the GNU\n\nGeneral Public License, version 3.", ""),
+        (205, "He left his driving\nlicense and the version\nof events was his own", ""),
+        (206, "x" * 300_000 + "\n" + "y " * 20_000 + "\n\n\n", ""),
+    ]
+    df = spark.createDataFrame([*((i, prose(i, 40)) for i in range(40)), *((i, t) for i, t, _ in said)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert {i: got[i].licenses for i, _, _ in said} == {i: w for i, _, w in said}
+    assert [got[i].wrapped for i, _, _ in said] == [w for _, _, w in said] and got[200].n_confirmed == 0 and got[200].n_paragraphs == 3
+
+
+def test_license_identifiers(spark):
+    named = {"Apache-2.0": "Apache-2.0", "MIT": "MIT", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0", "LGPL-2.1": "LGPL", "BSD-3-Clause": "BSD", "MPL-2.0": "MPL-2.0", "AGPL-3.0": "AGPL-3.0", "ISC": "ISC", "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0"}
+    df = spark.createDataFrame([*((f"p{i}", prose(i, 40)) for i in range(40)), *((n, f"// SPDX-License-Identifier: {n}\n" + prose(3, 24)) for n in named)], "doc_id string, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(df).collect()}
+    assert {n: got[n] for n in named} == named and all(got[f"p{i}"] == "" for i in range(40))
+
+
+def test_licenses_give_a_row_per_row(spark):
+    rows = [(1, "Released under the MIT License.", "a", 1), (1, "Released under the MIT License.", "a", 1), (None, prose(2, 30), "b", 2), (None, None, "c", 3), (2, prose(5, 30), "d", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, paragraph string, row int")
+    got = sorted((str(r.doc_id), r.n_paragraphs, r.licenses) for r in licenses.scan_licenses(df).collect())
+    assert got == [("1", 1, "MIT"), ("1", 1, "MIT"), ("2", 3, ""), ("None", 1, ""), ("None", 3, "")]
+
+
 def test_licenses_on_an_empty_table(empty):
     assert licenses.scan_licenses(empty).count() == 0

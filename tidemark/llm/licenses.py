@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -10,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sentences that state a licence, by family.
+#: Sentences that state a licence, by family (fixed public wordings).
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "This project is released under the Apache License 2.0; you may not use this file except in compliance with the License."),
@@ -33,7 +34,15 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright; dedicated to the public domain under CC0 1.0."),
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "This document is confidential and proprietary; no part may be reproduced without permission."),
-]
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."),
+    ("EPL-2.0", "This program is made available under the terms of the Eclipse Public License 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((family, f"SPDX-License-Identifier: {family}") for family in (
+        "Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL", "BSD", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "AGPL-3.0", "ISC", "EPL-2.0", "Unlicense",
+    )),
+]
 FAMILIES = ["unknown", *dict.fromkeys(f for f, _ in TEMPLATES)]
 TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
 
@@ -47,10 +56,15 @@ class LicenseConfig:
     reg: float = 1e-3
     probability: float = 0.5  #: below it a paragraph is unknown
     coverage: float = 0.75  #: share of a template's word triples that confirms it
+    reach: int = 320  #: characters of a wrapped sentence that are read on each side of a line break; no template is longer
+    wrap: int = 8  #: lines after a break over which a sentence may go on
+
+
+_TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z]+|[0-9]+(?:\.[0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TERM), F.lit(0))
 
 
 def grams(words: Column, n: int) -> Column:
@@ -63,8 +77,43 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(TEMPLATES)], "template int, family string, statement string")
 
 
-def _paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("paragraph"))
+def _triples(statement: str) -> list[str]:
+    """grams(terms(statement), 3) of a template, each once."""
+    own = re.findall(_TERM, statement.lower())
+    return list(dict.fromkeys(" ".join(own[i : i + 3]) for i in range(max(1, len(own) - 2))))
+
+
+#: The end of a sentence: its mark follows two characters at least, so that "v. 2.0" goes on.
+_END = r"(?<=\S\S)[.!?]['\")\]]*(?=\s|$)"
+
+
+def _passages(lines: Column, config: LicenseConfig) -> Column:
+    """The lines, and the sentences that go on over a line break, as structs (passage, joint).
+
+    A sentence goes on where its line does not end with an end mark and
+    neither this line nor the next is blank. It is read from the last end mark
+    before the break to the first one after it, at most config.reach characters
+    on each side and config.wrap lines on.
+    """
+    blank = lambda c: ~c.rlike(r"\S")
+    tail = lambda c: F.substring(c, -config.reach, config.reach)
+    begun = lambda c: F.element_at(F.split(tail(c), _END), -1)
+
+    def rest(i: Column) -> Column:
+        """The text after line i, up to a blank line, an end mark or the bounds."""
+        after = F.array_join(F.transform(F.slice(lines, i + 2, config.wrap), lambda c: F.when(blank(c), F.lit("\n\n")).otherwise(F.substring(c, 1, config.reach))), " ")
+        return F.get(F.split(F.substring(F.substring_index(after, "\n\n", 1), 1, config.reach), _END, 2), F.lit(0))
+
+    breaks = F.when(F.size(lines) > 1, F.sequence(F.lit(0), F.size(lines) - 2)).otherwise(F.array().cast("array<int>"))
+    open_ = F.filter(breaks, lambda i: ~tail(F.get(lines, i)).rlike(_END + r"\s*$") & ~blank(F.get(lines, i)) & ~blank(F.get(lines, i + 1)))
+    joints = F.transform(open_, lambda i: F.struct(F.concat_ws(" ", begun(F.get(lines, i)), rest(i)).alias("passage"), F.lit(True).alias("joint")))
+    return F.concat(F.transform(lines, lambda c: F.struct(c.alias("passage"), F.lit(False).alias("joint"))), joints)
+
+
+def _paragraphs(docs: DataFrame, id_col: str, text_col: str, config: LicenseConfig) -> DataFrame:
+    """(id, row, paragraph, joint): what is classified, with a number of its own for every row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("lines"))
+    return rows.select("id", "row", F.explode(_passages(F.col("lines"), config)).alias("p")).select("id", "row", F.col("p.passage").alias("paragraph"), "p.joint")
 
 
 def _vectors(paragraphs: DataFrame, config: LicenseConfig) -> DataFrame:
@@ -78,10 +127,12 @@ def _training(docs: DataFrame, id_col: str, text_col: str, config: LicenseConfig
     """Labelled paragraphs: templates alone and within words of the corpus, and unknown ones from a bounded sample of documents."""
     spark = docs.sparkSession
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(config.unknown_docs).distinct()
-    sample = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(chosen), "id", "left_semi")
-    lines = sample.select(F.xxhash64("id").alias("order"), F.posexplode(F.slice(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), 1, config.unknown_lines)).alias("line", "paragraph"))
-    known = F.flatten(F.array(*(grams(terms(F.lit(t)), 3) for _, t in TEMPLATES)))
-    unknown = lines.where((F.size(F.array_intersect(grams(terms(F.col("paragraph")), 3), known)) == 0) & (F.size(terms(F.col("paragraph"))) > 0))
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
+    lines = sample.select(F.xxhash64("id").alias("order"), F.posexplode(F.slice(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), 1, config.unknown_lines)).alias("line", "paragraph"))
+    known = F.array(*(F.lit(g) for g in dict.fromkeys(g for _, t in TEMPLATES for g in _triples(t))))
+    # The filter is pushed below any column of words; a lambda's variable is computed once, not for every triple.
+    foreign = F.transform(F.array(terms(F.col("paragraph"))), lambda w: (F.size(w) > 0) & (F.size(F.array_intersect(grams(w, 3), known)) == 0))
+    unknown = lines.where(F.get(foreign, F.lit(0)))
     fillers = [r[0] for r in unknown.orderBy("order", "line", "paragraph").limit(config.variants).select(F.array_join(F.slice(terms(F.col("paragraph")), 1, 8), " ")).collect()]
     variants = _templates(spark).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(config.variants - 1))))
     own = F.get(F.array(*(F.lit(f) for f in fillers or [""])), F.pmod(F.col("v") + 7 * F.col("template"), F.lit(len(fillers) or 1)))
@@ -116,43 +167,40 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The licence statements of each document.
 
     A multinomial logistic regression over hashed words and word pairs gives
-    every paragraph (line) a licence family or the unknown class. It learns
-    from the templates, embedded in words of the corpus, and from the
-    paragraphs of config.unknown_docs documents. Probabilities are calibrated
-    by a temperature; below config.probability a paragraph is unknown. A
-    predicted family is confirmed if the paragraph holds
-    config.coverage of the word triples of one of the family's templates.
-
-    Returns one row per identifier: n_paragraphs, n_predicted, n_confirmed,
-    licenses (confirmed families, sorted, joined by commas) and unconfirmed
-    (predicted families without a confirmed paragraph). Null text counts as empty, which
-    is one paragraph; rows with one identifier, or a null one, are taken together.
+    every paragraph (line, and sentence that goes on over line breaks) a
+    licence family or the unknown class. It learns from the templates,
+    embedded in words of the corpus, and from the paragraphs of
+    config.unknown_docs documents. Probabilities are calibrated by a
+    temperature; below config.probability a paragraph is unknown. A predicted
+    family is confirmed if the paragraph holds config.coverage of the word
+    triples of one of the family's templates.
+
+    Returns one row per input row: identifier, n_paragraphs (lines),
+    n_predicted and n_confirmed (lines), licenses (confirmed families, sorted,
+    joined by commas), unconfirmed (families predicted for a line without a
+    confirmed paragraph) and wrapped (families of licenses that only sentences
+    over line breaks state; these count only where a template confirms
+    them). Null text counts as empty, which is one paragraph. Repeated
+    rows and identifiers, and null identifiers, stay rows of their own. Other
+    columns are ignored.
     """
     model, temperature = fit(docs, id_col, text_col, config)
-    scored = model.transform(_vectors(_paragraphs(docs, id_col, text_col), config))
-    likely = F.when(F.col("prediction") > 0, F.get(_softmax(vector_to_array(F.col("rawPrediction")), F.lit(temperature)), F.col("prediction").cast("int")) >= config.probability)
-    family = F.when(likely, F.get(F.array(*(F.lit(f) for f in FAMILIES)), F.col("prediction").cast("int")))
-    scored = scored.select("id", family.alias("family"), F.when(family.isNotNull(), grams(F.col("words"), 3)).alias("triples"))
-    by_family: dict[str, list[str]] = {}
-    for f, t in TEMPLATES:
-        by_family.setdefault(f, []).append(t)
-
-    def held(statement: str) -> Column:
-        own = grams(terms(F.lit(statement)), 3)
-        return F.size(F.array_intersect(own, F.col("triples"))) >= config.coverage * F.size(F.array_distinct(own))
-
-    confirmed = F.lit(False)
-    for f, statements in by_family.items():
-        match = F.lit(False)
-        for t in statements:
-            match = match | held(t)
-        confirmed = F.when(F.col("family") == f, match).otherwise(confirmed)
-    scored = scored.withColumn("confirmed", F.col("family").isNotNull() & confirmed)
-    found = scored.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n_paragraphs"),
-        F.count("family").alias("n_predicted"),
-        F.count_if("confirmed").alias("n_confirmed"),
+    scored = model.transform(_vectors(_paragraphs(docs, id_col, text_col, config), config))
+    class_ = F.col("prediction").cast("int")
+    likely = F.when(F.col("prediction") > 0, F.get(_softmax(vector_to_array(F.col("rawPrediction")), F.lit(temperature)), class_) >= config.probability)
+    family = F.when(likely, F.get(F.array(*(F.lit(f) for f in FAMILIES)), class_))
+    templates = [[_triples(t) for f, t in TEMPLATES if f == family] for family in FAMILIES]
+    held = lambda own: F.size(F.array_intersect(own, F.col("triples"))) >= config.coverage * F.size(own)
+    scored = scored.select("id", "row", "joint", class_.alias("class"), family.alias("family"), F.when(family.isNotNull(), grams(F.col("words"), 3)).alias("triples"))
+    scored = scored.withColumn("confirmed", F.col("family").isNotNull() & F.exists(F.get(F.lit(templates), F.col("class")), held))
+    line = ~F.col("joint")
+    found = scored.groupBy("id", "row").agg(
+        F.count_if(line).alias("n_paragraphs"),
+        F.count_if(line & F.col("family").isNotNull()).alias("n_predicted"),
+        F.count_if(line & F.col("confirmed")).alias("n_confirmed"),
         F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("sure"),
-        F.array_sort(F.collect_set("family")).alias("seen"),
+        F.collect_set(F.when(line & F.col("confirmed"), F.col("family"))).alias("plain"),
+        F.array_sort(F.collect_set(F.when(line, F.col("family")))).alias("seen"),
     )
-    return found.select(F.col("id").alias(id_col), "n_paragraphs", "n_predicted", "n_confirmed", F.array_join("sure", ",").alias("licenses"), F.array_join(F.array_except("seen", "sure"), ",").alias("unconfirmed"))
+    rest = {"unconfirmed": F.array_except("seen", "sure"), "wrapped": F.array_except("sure", "plain")}
+    return found.select(F.col("id").alias(id_col), "n_paragraphs", "n_predicted", "n_confirmed", F.array_join("sure", ",").alias("licenses"), *(F.array_join(c, ",").alias(n) for n, c in rest.items()))
