@@ -267,3 +267,12 @@ def test_landmarks_travel_with_the_entity(spark):
     assert got._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
     want = sorted((e, x, t) for e, x, _, _ in obs for m, t in marks if m == e and t - 48 < x <= t)
     assert sorted((r.entity_key, r.offset_h, r.landmark_h) for r in got.collect()) == want
+
+
+def test_numeric_profile_has_exact_quantiles_of_null_groups_too(spark):
+    rows = [("a", str(i)) for i in range(201)] + [(None, f" {i}.5 ") for i in range(10)] + [(None, "x"), ("b", None), ("b", "1f")]
+    df = spark.createDataFrame(rows, "k string, text string")
+    got = {r.k: r[1:] for r in quality.numeric_profile(df, "text", ["k"]).collect()}
+    assert got["a"] == (201, 1.0, 0.0, 100.0, 198.0, 200.0) and got["b"] == (2, 0.0, None, None, None, None)
+    assert got[None] == (11, pytest.approx(10 / 11), 0.5, 5.0, pytest.approx(9.41), 9.5)
+    assert quality.numeric_profile(df.drop("k"), "text", []).first().n_rows == 214

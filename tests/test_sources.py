@@ -109,3 +109,9 @@ def test_row_numbers(spark):
     for g in ("g0", "g1", "g2"):
         own = sorted(x for k, x in rows if k == g)
         assert [within[g, x] for x in own] == list(range(len(own)))
+
+
+def test_filled_schema_counts_values(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, None, None), (None, None, "")], "a long, `b.c` double, `d``e` string")
+    assert [tuple(r) for r in sources.filled_schema(df).orderBy("column_id").collect()] == [(0, "a", "bigint", 2), (1, "b.c", "double", 0), (2, "d`e", "string", 2)]
+    assert [r.n_values for r in sources.filled_schema(df.limit(0)).collect()] == [0, 0, 0]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import strict_double
 from tidemark.operators import joins
-from tidemark.sources import schema_table, work_path
+from tidemark.operators.ranks import exact_quantiles
+from tidemark.sources import filled_schema, work_path
 from tidemark.spec import KEYS, WindowSpec
 
 
@@ -98,16 +99,18 @@ def value_catalog(df: DataFrame, value: str, entity: str, site: str, top: int =
 
 
 def numeric_profile(df: DataFrame, text: str, by: list[str]) -> DataFrame:
-    """Shape of a numeric field that is stored as text."""
-    x = strict_double(text)
-    return df.withColumn("__x", x).groupBy(*by).agg(
+    """Shape of a numeric field that is stored as text, per group (a null is a group); quantiles are exact, and no group is sorted in one task."""
+    # A struct with null fields equals its like, so null groups keep their quantiles through joins.
+    parsed = df.withColumns({"__x": strict_double(text), "__key": F.struct(F.lit(0), *by)})
+    shape = parsed.groupBy(*by, "__key").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(F.col("__x").isNotNull().cast("int")).alias("parsed_share"),
         F.min("__x").alias("min"),
-        F.median("__x").alias("median"),
-        F.percentile("__x", F.lit(0.99)).alias("p99"),
         F.max("__x").alias("max"),
     )
+    levels = exact_quantiles(parsed.select("__key", "__x"), ["__key"], "__x", [0.5, 0.99])
+    at = lambda i: F.get("quantiles", F.lit(i))
+    return shape.join(levels, "__key", "left").select(*by, "n_rows", "parsed_share", "min", at(0).alias("median"), at(1).alias("p99"), "max")
 
 
 def feature_summary(features: DataFrame) -> DataFrame:
@@ -125,8 +128,8 @@ def period_counts(df: DataFrame, period: str) -> DataFrame:
 
 
 def schema_guard(df: DataFrame, prohibited: str, allowed: list[str] = ()) -> DataFrame:
-    """Columns whose names say that they hold what a model must not see; empty if the table is clean."""
-    return schema_table(df).where(F.col("name").rlike(prohibited) & ~F.col("name").isin(*allowed))
+    """Columns whose names say that they hold what a model must not see, with the rows in which they do (n_values); empty if the table is clean."""
+    return filled_schema(df).where(F.col("name").rlike(prohibited) & ~F.col("name").isin(*allowed))
 
 
 def group_leakage(df: DataFrame, group: str, fold: str) -> DataFrame:

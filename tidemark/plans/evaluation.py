@@ -81,9 +81,11 @@ def _(spark, d):
     return rounded(quality.numeric_profile(table(spark, d, "events").withColumn("text", text), "text", ["event_type"]))
 
 
-@query("j06_schema_guard", "SELECT * FROM (VALUES (6::INTEGER, 'outcome', 'int'), (8, 'probability', 'double')) t(column_id, name, type) WHERE name = 'outcome'")
+@query("j06_schema_guard", f"""WITH {OUTCOME}, c AS (SELECT count(outcome) AS n_outcome, count(strict_first_h) AS n_strict FROM outcomes)
+SELECT 7::INTEGER AS column_id, 'outcome' AS name, 'int' AS type, n_outcome AS n_values FROM c UNION ALL SELECT 5, 'strict_first_h', 'double', n_strict FROM c""")
 def _(spark, d):
-    return quality.schema_guard(outcomes(spark, d).select(*KEYS, "cluster_key", "horizon_h", "end_h", "evidence_grade", "outcome"), "(outcome|label|death)").where("column_id = 6")
+    """Columns of the outcome table that a model must not see, and the rows in which they hold something."""
+    return quality.schema_guard(outcomes(spark, d).select(*KEYS, "cluster_key", "horizon_h", "end_h", "strict_first_h", "evidence_grade", "outcome"), "(outcome|label|death|_first_h$)")
 
 
 @query("j07_coverage_gates", f"""WITH {_TRAJECTORY}, s AS (SELECT variable, avg(CAST(theilsen_slope IS NOT NULL AS INTEGER)) AS share FROM tr GROUP BY ALL)

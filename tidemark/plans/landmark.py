@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features, joins, matrix, outcome, quality, reshape, spine
 from tidemark.plans.base import (
-    ALIGNED, COHORT, HASH_FOLD, OBS, OUTCOME, SPEC, SPINE, THRESHOLDS, WOBS, cohort, evidence, expanded, landmarks, observations, outcomes, query, rounded, table,
+    ALIGNED, COHORT, HASH_FOLD, OBS, ORACLES, OUTCOME, SPEC, SPINE, THRESHOLDS, WOBS, cohort, evidence, expanded, landmarks, observations, outcomes, query, rounded, table,
 )
 from tidemark.spec import KEYS, WindowSpec
 from tidemark.functions import hash_fold
@@ -276,15 +276,21 @@ def _(spark, d):
 REGISTRY_KINDS = [("^(entity_key|landmark_h|cluster_key|outer_fold)$", "key"), ("_(latest|median|slope|run|delta)$", "longitudinal"), ("_ratio$", "derived")]
 
 
-def registry(spark, d):
+def registry(spark, d, filled=False):
     name = F.col("name")
     rules = {"m0": name.isin("landmark_h", "segment", "bmi"), "m1": name.rlike("_(latest|median)$") | name.isin("landmark_h", "bmi"), "m2": (F.col("kind") != "key") & ~name.rlike("^(height|weight)")}
-    return matrix.feature_registry(predictor_matrix(spark, d), rules, REGISTRY_KINDS)
+    return matrix.feature_registry(predictor_matrix(spark, d), rules, REGISTRY_KINDS, filled)
 
 
-@query("h24_feature_registry", "SELECT * FROM (VALUES ('derived', 1::BIGINT, 0::BIGINT, 0::BIGINT, 1::BIGINT), ('key', 4, 1, 1, 0), ('longitudinal', 25, 0, 10, 25), ('other', 5, 2, 1, 3)) t(kind, n, m0, m1, m2)")
+@query("h24_feature_registry", f"""WITH matrix AS ({ORACLES["h23_predictor_matrix"]}),
+c AS (UNPIVOT (SELECT count(COLUMNS(*)) AS '\\0' FROM matrix) ON COLUMNS(*) INTO NAME name VALUE n_values),
+k AS (SELECT *, CASE WHEN name IN ('entity_key', 'landmark_h', 'cluster_key', 'outer_fold') THEN 'key' WHEN regexp_matches(name, '_(latest|median|slope|run|delta)$') THEN 'longitudinal' WHEN name LIKE '%\\_ratio' ESCAPE '\\' THEN 'derived' ELSE 'other' END AS kind FROM c)
+SELECT kind, count(*) AS n, CAST(sum(CAST(name IN ('landmark_h', 'segment', 'bmi') AS INTEGER)) AS BIGINT) AS m0,
+  CAST(sum(CAST(regexp_matches(name, '_(latest|median)$') OR name IN ('landmark_h', 'bmi') AS INTEGER)) AS BIGINT) AS m1,
+  CAST(sum(CAST(kind <> 'key' AND NOT regexp_matches(name, '^(height|weight)') AS INTEGER)) AS BIGINT) AS m2, CAST(sum(n_values) AS BIGINT) AS n_values FROM k GROUP BY kind""")
 def _(spark, d):
-    return registry(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *(F.sum(m).alias(m) for m in ("m0", "m1", "m2")))
+    """Columns of the matrix by kind: how many, in which models, and how many values they hold."""
+    return registry(spark, d, filled=True).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *(F.sum(m).alias(m) for m in ("m0", "m1", "m2", "n_values")))
 
 
 @query("h25_left_closed_bins", f"WITH {_BEST} SELECT entity_key, landmark_h, variable, CAST(greatest(0, least(5, floor((offset_h - (landmark_h - 168)) / 28))) AS INTEGER) AS bin_index, round(median(value), 6) AS bin_median FROM best GROUP BY ALL")

@@ -61,9 +61,11 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
-@query("a07_schema_table", "SELECT CAST(ordinal_position - 1 AS INTEGER) AS column_id, column_name AS name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type FROM information_schema.columns WHERE table_name = 'lineitem'")
+@query("a07_schema_table", """SELECT CAST(ordinal_position - 1 AS INTEGER) AS column_id, name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type, n_values
+FROM (SELECT *, column_name AS name FROM information_schema.columns WHERE table_name = 'lineitem') JOIN (UNPIVOT (SELECT count(COLUMNS(*)) AS '\\0' FROM lineitem) ON COLUMNS(*) INTO NAME name VALUE n_values) USING (name)""")
 def _(spark, d):
-    return sources.schema_table(table(spark, d, "lineitem"))
+    """The columns of a table as rows, with the values that each has."""
+    return sources.filled_schema(table(spark, d, "lineitem"))
 
 
 @query("a09_literal_table", "SELECT event_type, w, count(*) AS n FROM events JOIN (VALUES ('view', 1), ('click', 2)) t(event_type, w) USING (event_type) GROUP BY ALL")

@@ -121,6 +121,13 @@ def schema_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_id int, name string, type string")
 
 
+def filled_schema(df: DataFrame) -> DataFrame:
+    """schema_table with n_values, the rows in which a column is not null; one aggregation counts all columns."""
+    counts = [F.count(F.col("`" + c.replace("`", "``") + "`")) for c in df.columns]
+    counted = df.agg(F.array(*counts).alias("n")).select(F.posexplode("n").alias("column_id", "n_values"))
+    return schema_table(df).join(counted, "column_id")
+
+
 def write_sorted(df: DataFrame, path: str, *keys: str) -> None:
     """Parquet with Zstandard, range-partitioned and sorted by the keys."""
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(path)
