@@ -159,3 +159,12 @@ def test_mixing_prefers_quality(spark):
 
 def test_mixing_nothing(empty):
     assert mixing.mix_sources(empty).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_decontamination_of_an_identifier_called_row(spark, block_bytes, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    bench = spark.createDataFrame([(1, prose(1, 20)), (2, prose(2, 20))], "item_id long, text string")
+    df = spark.createDataFrame([(1, prose(1, 20)), (1, prose(1, 20)), (None, prose(3, 20)), (2, prose(2, 20))], "row long, text string").repartition(3)
+    got = sorted((str(r.row), r.n_hit, r.n_items) for r in decontaminate.verdicts(decontaminate.contamination(df, bench, "row"), "row").collect())
+    assert got == [("1", 20, 1), ("1", 20, 1), ("2", 20, 1), ("None", 0, 0)]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,21 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import shared_dir
+
 #: ASCII white space, as a character class for regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
-@functools.cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-
-
 class Scratch:
     """Intermediate tables of one operator run, written to the shared folder.
 
@@ -36,7 +27,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"

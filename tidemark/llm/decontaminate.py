@@ -224,7 +224,8 @@ def contamination(
     can leave them), finds all test phrases by backward search and locates
     them by sampled suffix positions. The benchmark goes to the tasks in
     blocks of BLOCK_BYTES, one pass over the corpus each, so that what is sent
-    is bounded; spans of several blocks are merged by document.
+    is bounded; spans of several blocks are merged by document, whose rows are
+    numbered and written once.
 
     Returns one row per input row: identifier, n_words, spans (merged [start,
     end) word indices), items (identifiers as text, in string order; items
@@ -235,10 +236,12 @@ def contamination(
     separate rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.struct(F.col(id_col), F.monotonically_increasing_id().alias("row")).alias("key"), F.col(text_col).alias("text"))
+    docs = docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("key"), F.col(text_col).alias("text"))
     sized = benchmark.select(F.col(item_col).cast("string").alias("item"), F.encode(F.col(item_text_col), "utf-8").alias("raw")).where("raw IS NOT NULL")
     total = sized.agg(F.sum(F.length("raw"))).first()[0] or 0
     n_blocks = -(-total // BLOCK_BYTES) or 1
+    if n_blocks > 1:  # numbers that another scan gives may differ
+        docs = Scratch(spark, "decontamination").save(docs, "rows")
     blocks = sized.withColumn("block", F.pmod(F.xxhash64("item", "raw"), F.lit(n_blocks)))
     found = [
         _search(docs, [(r["item"], bytes(r["raw"])) for r in blocks.where(F.col("block") == b).select("item", "raw").collect()], "key", "text", window)
@@ -256,7 +259,7 @@ def contamination(
         every = every.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).withColumn("spans", spans)
     else:
         every = found[0]
-    return every.select(F.col("key")[id_col].alias(id_col), "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"))
+    return every.select(F.col("key")["id"].alias(id_col), "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def verdicts(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
