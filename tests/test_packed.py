@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pyspark.ml.feature import VectorAssembler
+
 from tests.test_elastic_net import fits
+from tests.test_nested import matrix
 from tidemark.operators import elastic_net, metrics, models, ranks
 
 
@@ -48,3 +51,12 @@ def test_all_splits_learn_what_each_learns_alone(spark):
         x = elastic_net.design(batch, got)
         plain = np.array([r["features"].toArray() for r in want.transform(df, []).collect()])
         assert np.allclose(x[:, 1:], plain)
+
+
+def test_few_rounds_are_trained_once(spark, monkeypatch):
+    df = matrix(spark).selectExpr("double(outcome) AS label", "outer_fold", "x")
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    given, fit = [], models.fit_boosting
+    monkeypatch.setattr(models, "fit_boosting", lambda r, c, n, seed: given.append(n) or fit(r, c, n, seed=seed))
+    _, curve = models.fit_boosting_until(rows.where("outer_fold > 2"), rows.where("outer_fold <= 2"), models.boosting_grid([2], [0.03])[0], max_iter=6, patience=2)
+    assert given == [6] and len(curve) == 6
