@@ -60,3 +60,10 @@ def test_few_rounds_are_trained_once(spark, monkeypatch):
     monkeypatch.setattr(models, "fit_boosting", lambda r, c, n, seed: given.append(n) or fit(r, c, n, seed=seed))
     _, curve = models.fit_boosting_until(rows.where("outer_fold > 2"), rows.where("outer_fold <= 2"), models.boosting_grid([2], [0.03])[0], max_iter=6, patience=2)
     assert given == [6] and len(curve) == 6
+
+
+def test_noise_does_not_select_the_refit(spark):
+    """Configurations that rank alike go by their log loss, whatever the last bits of their means are."""
+    rows = [(f, c, 0.5 + (1e-11 if c == 1 else 0.0), 0.3 + (0.1 if c == 1 else 0.0), 60.0) for f in (1, 2) for c in (1, 2)]
+    tuning = spark.createDataFrame(rows, "outer_fold int, config_id int, mean_auprc double, mean_logloss double, median_iterations double")
+    assert models.refit_selection(tuning).first()["config_id"] == 2
