@@ -74,6 +74,46 @@ def test_missing_bin_breaks_run(spark):
     assert (bundle.longest_abnormal_run, bundle.abnormal_prop, bundle.nonempty_bin_count, bundle.latest_value) == (2, 0.75, 4, 90.0)
 
 
+def test_thresholds_leave_rows_in_their_tasks(spark):
+    """Rows of a few variables are not dealt by variable, which would put them all into as many tasks."""
+    limits = spark.createDataFrame([("hr", None, 100.0)], "variable string, below double, above double")
+    entities = [f"e{i}" for i in range(40)]
+    rows = obs(spark, [(e, 13.0 + 2 * i, "hr", 90.0 + 20 * i, 1) for e in entities for i in range(3)])
+    present = spark.createDataFrame([(e, 24) for e in entities], "entity_key string, landmark_h long")
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        bins = features.window_bins(spine.expand_to_landmarks(rows, present, SPEC, resolve=features.resolve_points), SPEC)
+        for df in (features.longest_run(bins, limits), features.abnormal_burden(bins, limits), features.trajectory_features(rows, present, SPEC, limits)):
+            assert df.count() == 40 and df.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+
+
+def test_longest_runs_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    limits = spark.createDataFrame([("hr", 40.0, 60.0), ("bp", None, 50.0)], "variable string, below double, above double")
+    rows, expected = [], {}
+    for n in range(60):
+        for variable in ("hr", "bp", "no"):
+            best = now = 0
+            for i in range(12):
+                v = float(rng.uniform(20, 80)) if rng.random() < 0.9 else None
+                if rng.random() < 0.2:
+                    now = 0
+                    continue
+                rows.append((f"e{n}", 24, variable, i, v))
+                bad = v is not None and (v > 50 if variable == "bp" else not 40 <= v <= 60)
+                now = now + 1 if bad else 0
+                best = max(best, now)
+            if variable != "no":
+                expected[(f"e{n}", variable)] = best
+    bins = spark.createDataFrame(rows, "entity_key string, landmark_h long, variable string, bin_index int, bin_median double").repartition(3)
+    got = features.longest_run(bins, limits)
+    assert dict(got.dtypes)["longest_abnormal_run"] == "bigint"
+    assert {k: r.longest_abnormal_run for k, r in by_key(got, "entity_key", "variable").items()} == expected
+
+
 def test_global_bins_equal_window_bins_on_the_grid(spark):
     rng = np.random.default_rng(5)
     rows = obs(spark, [("a", float(t), "hr", float(v), 1) for t, v in zip(rng.uniform(10, 32, 60), rng.normal(80, 9, 60))])

@@ -119,9 +119,14 @@ def point_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*GROUP).agg(F.count("value").alias("measurement_count"), latest("value", "offset_h").alias("latest_value"), F.max("offset_h").alias("latest_offset_h"))
 
 
+def _limits(thresholds: DataFrame) -> DataFrame:
+    """Thresholds (variable, below, above) for a join that leaves the rows where they are; dealt by variable, they would go to as many tasks as there are variables."""
+    return F.broadcast(thresholds.select(F.col("variable").alias("__variable"), "below", "above"))  # a row per variable
+
+
 def _flag(bins: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Bins of the variables with thresholds (variable, below, above), flagged if under or over them."""
-    t = thresholds.select(F.col("variable").alias("__variable"), "below", "above")
+    t = _limits(thresholds)
     abnormal = F.coalesce(F.col("bin_median") < F.col("below"), F.lit(False)) | F.coalesce(F.col("bin_median") > F.col("above"), F.lit(False))
     return bins.join(t, bins["variable"] == t["__variable"]).select(*bins.columns, abnormal.alias("abnormal"))
 
@@ -133,11 +138,13 @@ def abnormal_burden(bins: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def longest_run(bins: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Most abnormal bins in a row; a missing bin ends a run; 0 if none is abnormal."""
-    flagged = _flag(bins, thresholds)
-    order = Window.partitionBy(*GROUP, "abnormal").orderBy("bin_index")
-    islands = flagged.withColumn("island", F.col("bin_index") - F.row_number().over(order))
-    runs = islands.groupBy(*GROUP, "abnormal", "island").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy(*GROUP).agg(F.coalesce(F.max(F.when(F.col("abnormal"), F.col("n"))), F.lit(0)).alias("longest_abnormal_run"))
+    order = Window.partitionBy(*GROUP).orderBy("bin_index")
+    # An abnormal bin's run began after the last bin that is missing or not abnormal; one sort by group, and no groups by run.
+    gap = F.coalesce(F.lag("bin_index").over(order) < F.col("bin_index") - 1, F.lit(True))
+    broken = F.when(~F.col("abnormal"), F.col("bin_index")).when(F.col("gap"), F.col("bin_index") - 1)
+    runs = _flag(bins, thresholds).withColumn("gap", gap).withColumn("broken", F.max(broken).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    length = F.when(F.col("abnormal"), F.col("bin_index") - F.col("broken"))
+    return runs.groupBy(*GROUP).agg(F.coalesce(F.max(length), F.lit(0)).cast("long").alias("longest_abnormal_run"))
 
 
 def trajectory_features(obs: DataFrame, spine: DataFrame, spec: WindowSpec, thresholds: DataFrame) -> DataFrame:
@@ -166,7 +173,7 @@ def trajectory_features(obs: DataFrame, spine: DataFrame, spec: WindowSpec, thre
         F.max("last_h").alias("latest_offset_h"),
     )
     bins = bins.withColumn("latest_value", F.col("last_point")["value"])
-    t = thresholds.select(F.col("variable").alias("__variable"), "below", "above")
+    t = _limits(thresholds)
     bins = bins.join(t, bins["variable"] == t["__variable"], "left").drop("__variable")
     bad = lambda b: F.coalesce(b["y"] < F.col("below"), F.lit(False)) | F.coalesce(b["y"] > F.col("above"), F.lit(False))
     known = F.col("below").isNotNull() | F.col("above").isNotNull()
