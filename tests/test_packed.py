@@ -41,6 +41,18 @@ def test_quantiles_of_counts(spark):
         assert found == pytest.approx(np.quantile(np.repeat([r[1] for r in own], [r[2 + i] for r in own]), qs))
 
 
+def test_buckets_are_the_same_in_every_evaluation(spark):
+    """Sketches that are merged in another order have other quantiles; the rows here are dealt anew each time."""
+    values = spark.range(600_000).selectExpr("0 AS c", "id * 0.001D AS v", "1L AS n0", "id % 2 AS n1", "reflect('java.lang.Math', 'random') AS r")
+    rows = ranks.with_bucket(values.repartition(16, "r").drop("r"), ["c"], "v")
+    found = [sorted(map(tuple, rows.groupBy("__bucket").count().collect())) for _ in range(2)]
+    assert len(found[0]) == ranks.BUCKETS and found[0] == found[1]
+    qs = [0.005, 0.5, 0.995]
+    got = ranks.quantiles_of_counts(values.repartition(16, "r").drop("r"), "c", "v", ["n0", "n1"], qs)
+    every = np.arange(600_000) * 0.001
+    assert got[0, 0] == pytest.approx(np.quantile(every, qs)) and got[0, 1] == pytest.approx(np.quantile(every[1::2], qs))
+
+
 def test_all_splits_learn_what_each_learns_alone(spark):
     df, _, pres, _ = fits(spark, models.elastic_net_grid([1.0], [0.1]))
     df = df.selectExpr("*", "3.5D AS same", "CASE WHEN outer_fold = 1 THEN x END AS rare", "CAST(NULL AS DOUBLE) AS none")
