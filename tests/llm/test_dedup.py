@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tidemark.llm import exact_dedup, line_dedup, near_dedup, repeats
@@ -182,6 +185,25 @@ def test_strings_equal_brute_force(docs, config):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_windows_of_busy_anchors_take_bounded_memory():
+    """A batch of busy anchors is examined part by part: no more windows are held than window_bytes has, and each kind of window is left once a part."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 2000, np.uint8)).decode() for _ in range(40)] * 50
+    own = [[{"kind": repeats._HOT, "lo": 0, "hi": 1901, "key": 1}]] * len(texts)
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("key", pa.int64())]))
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(own, kind)], names=["id", "text", "own"])
+    tracemalloc.start()
+    held, windows, covered = 0, set(), 0
+    for part in repeats._examined(repeats.RepeatConfig())(iter([batch])):
+        held += part.num_rows
+        covered += pc.sum(pc.subtract(part.column("hi"), part.column("lo"))).as_py() or 0
+        windows |= {w for w in part.column("bytes").to_pylist()[:50] if w}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(len(w) == 100 for w in windows) and covered >= 40 * 1901
+    assert held < 40 * 1901 * 40 and peak < 300e6  # 3.8 million windows of 100 bytes
+
+
 def test_run_length_index_statistics():
     rng = np.random.default_rng(1)
     parts = [bytes(rng.integers(97, 99, 40, np.uint8)) for _ in range(4)]
