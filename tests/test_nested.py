@@ -59,6 +59,28 @@ def test_registered_queries_score_the_matrix(spark, monkeypatch):
     assert evaluation.BOOSTING_ROUNDS[0] <= best.refit_iterations <= evaluation.BOOSTING_ROUNDS[1]
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_registered_boosting_has_all_rounds(spark, monkeypatch):
+    """The registered queries give the learner the reference's rounds and patience, and refits their clamp."""
+    given = []
+
+    def nested(rows, keys, cluster, features, categorical, grid, max_iter=700, least=50, patience=75, **_):
+        given.append((len(grid), max_iter, least, patience))
+        scored = rows.select(*keys, "outer_fold", "outcome", F.lit(0.5).alias("probability"))
+        tuned = spark.createDataFrame([(f, c.config_id, 0.5, 0.3, 9.0, 1) for f in (1, 2, 3, 4, 5) for c in grid], "outer_fold int, config_id int, mean_auprc double, mean_logloss double, median_iterations double, selected int")
+        return models.NestedResult(scored, tuned, None)
+
+    monkeypatch.setattr(evaluation, "_RESULTS", {})
+    monkeypatch.setattr(models, "nested_boosting", nested)
+    rounds = []
+    monkeypatch.setattr(models, "fit_boosting", lambda rows, config, max_iter, **_: rounds.append(max_iter) or models.GBTClassifier(labelCol="label", maxDepth=1, maxIter=1).fit(rows))
+    assert plans.queries()["l05_l06_boosting_nested_cv"](spark, DATA).count() > 0
+    assert plans.queries()["l09_refit_selection"](spark, DATA).first().refit_iterations == 50
+    assert plans.queries()["l06_boosting_transport"](spark, DATA).count() > 0
+    assert plans.queries()["l14_saved_model"](spark, DATA).count() > 0
+    assert given == [(6, 700, 50, 75)] and rounds == [50, 50]
+
+
 def test_early_stopping_and_refit(spark):
     """Boosted trees stop on the inner held-out rows, and the refit takes their clamped median iterations."""
     assert models.clamped_median([3, 900, 901], 50, 700) == 700 and models.clamped_median([3, 4], 1, 9) == 3 and models.clamped_median([1], 5, 9) == 5
